@@ -7,9 +7,9 @@ row per finding with their number. ``attribute_in_full`` lists them for chosen f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.text import case_of, stable_id
+from ..functions.text import case_of, stable_id, value_sql
 from .diff import DATASET_COLUMN, KEY
 
 # Rank of each relevance.
@@ -17,49 +17,44 @@ RELEVANCE_SCORE = {"HIGH": 3, "MEDIUM": 2, "LOW": 1, "NONE": 0}
 UNRELATED = "unrelated"
 
 
-def _cases(rule_aliases: dict[str, str] | None) -> list[tuple[Column, str, float, Column]]:
-    """(condition, relevance, confidence, reason) in order; the first that holds wins."""
-    rule = F.col("rule")
-    for alias, name in (rule_aliases or {}).items():
-        rule = F.when(rule == alias, name).otherwise(rule)
-    here = F.col("change_column") == F.col("column")
-    schema = F.col("change_kind") == "schema"
-    ctype, where = F.col("change_type"), F.col("change_column")
-    return [
-        (schema & here & (ctype == "type_changed"), "HIGH", 0.85,
-         F.concat(F.lit("Physical type of column '"), where, F.lit("' changed."))),
-        (schema & here & (ctype == "removed"), "HIGH", 0.95,
-         F.concat(F.lit("Column '"), where, F.lit("' was removed."))),
-        (schema & here & (ctype == "added"), "MEDIUM", 0.5,
-         F.concat(F.lit("Column '"), where, F.lit("' was recently added."))),
-        (schema, "LOW", 0.1, F.concat(F.lit("Unrelated schema change on '"), where, F.lit("'."))),
-        ((where == DATASET_COLUMN) & (ctype == "row_count_shift"), "MEDIUM", 0.5,
-         F.lit("Dataset-level row count shifted, potentially affecting data distribution.")),
-        (here & (rule == "UniqueRule") & (ctype == "cardinality_shift"), "HIGH", 0.9,
-         F.lit("Cardinality shift directly associates with uniqueness violation.")),
-        (here & (rule == "NotNullRule") & (ctype == "null_rate_shift"), "HIGH", 0.9,
-         F.lit("Null rate shift directly associates with missing value finding.")),
-        (here, "MEDIUM", 0.6,
-         F.concat(F.lit("Related statistical shift ("), ctype, F.lit(") on the affected column."))),
-        (F.lit(True), "LOW", 0.1, F.concat(F.lit("Unrelated "), ctype, F.lit(" on '"), where, F.lit("'."))),
-    ]
-
-
-def _scored(pairs: DataFrame, rule_aliases) -> DataFrame:
-    cases = _cases(rule_aliases)
-
-    def part(i: int) -> Column:
-        out = None
-        for case in cases:
-            out = F.when(case[0], case[i]) if out is None else out.when(case[0], case[i])
-        return out
-
-    return pairs.select(
-        stable_id("attr", F.col("finding_id"), F.col("change_id")).alias("attribution_id"),
-        "finding_id", *KEY, "column", "change_id", "change_kind", "change_column", "change_type",
-        part(1).alias("relevance"), part(2).alias("confidence"), part(3).alias("reason"),
-        F.lit(1).cast("bigint").alias("n_changes"),
+# (condition, relevance, confidence, reason) in order; the first that holds wins.
+CASES = [
+    ("change_kind = 'schema' AND change_column = column AND change_type = 'type_changed'", "HIGH", 0.85,
+     "'Physical type of column \\'' || change_column || '\\' changed.'"),
+    ("change_kind = 'schema' AND change_column = column AND change_type = 'removed'", "HIGH", 0.95,
+     "'Column \\'' || change_column || '\\' was removed.'"),
+    ("change_kind = 'schema' AND change_column = column AND change_type = 'added'", "MEDIUM", 0.5,
+     "'Column \\'' || change_column || '\\' was recently added.'"),
+    ("change_kind = 'schema'", "LOW", 0.1, "'Unrelated schema change on \\'' || change_column || '\\'.'"),
+    (f"change_column = '{DATASET_COLUMN}' AND change_type = 'row_count_shift'", "MEDIUM", 0.5,
+     "'Dataset-level row count shifted, potentially affecting data distribution.'"),
+    ("change_column = column AND _rule = 'UniqueRule' AND change_type = 'cardinality_shift'", "HIGH", 0.9,
+     "'Cardinality shift directly associates with uniqueness violation.'"),
+    ("change_column = column AND _rule = 'NotNullRule' AND change_type = 'null_rate_shift'", "HIGH", 0.9,
+     "'Null rate shift directly associates with missing value finding.'"),
+    ("change_column = column", "MEDIUM", 0.6,
+     "'Related statistical shift (' || change_type || ') on the affected column.'"),
+    ("true", "LOW", 0.1, "'Unrelated ' || change_type || ' on \\'' || change_column || '\\'.'"),
+]
+
+
+def _scored(pairs: DataFrame, rule_aliases: dict[str, str] | None) -> DataFrame:
+    """Score pairs. ``rule_aliases`` maps other rule names to UniqueRule or NotNullRule; none by default."""
+    aliased = pairs
+    rule = "rule"
+    for alias, known in (rule_aliases or {}).items():
+        rule = f"CASE WHEN rule = {value_sql(alias)} THEN {value_sql(known)} ELSE {rule} END"
+    aliased = aliased.withColumn("_rule", F.expr(rule))
+    arms = " ".join(
+        f"WHEN {cond} THEN named_struct('relevance', '{rel}', 'confidence', {value_sql(conf)}, 'reason', {reason})"
+        for cond, rel, conf, reason in CASES
     )
+    ident = stable_id("attr", "finding_id", "change_id")
+    scored = aliased.withColumn("_s", F.expr(f"CASE {arms} END")).select(
+        ident.alias("attribution_id"), "finding_id", *KEY, "column", "change_id", "change_kind", "change_column",
+        "change_type", "_s.*",
+    )
+    return scored.withColumn("n_changes", F.expr("1L"))
 
 
 def _change_side(changes: DataFrame) -> DataFrame:
@@ -89,14 +84,12 @@ def attribute(findings: DataFrame, changes: DataFrame, rule_aliases: dict[str, s
         .withColumn("n_changes", (F.col("_total") - F.coalesce("_near", F.lit(0))).cast("bigint"))
         .filter("n_changes > 0")
     )
-    count = F.col("n_changes").cast("string")
-    far = rest.select(
-        stable_id("attr", F.col("finding_id"), F.lit(UNRELATED)).alias("attribution_id"),
-        "finding_id", *KEY, "column",
-        F.lit(None).cast("string").alias("change_id"), F.lit(None).cast("string").alias("change_kind"),
-        F.lit(None).cast("string").alias("change_column"), F.lit(UNRELATED).alias("change_type"),
-        F.lit("LOW").alias("relevance"), F.lit(0.1).alias("confidence"),
-        F.concat(count, F.lit(" unrelated changes elsewhere in the dataset.")).alias("reason"), "n_changes",
+    ident = stable_id("attr", "finding_id", value_sql(UNRELATED)).alias("attribution_id")
+    far = rest.select(ident, "*").selectExpr(
+        "attribution_id", "finding_id", *KEY, "column", "CAST(NULL AS STRING) AS change_id",
+        "CAST(NULL AS STRING) AS change_kind", "CAST(NULL AS STRING) AS change_column",
+        f"{value_sql(UNRELATED)} AS change_type", "'LOW' AS relevance", "0.1D AS confidence",
+        "n_changes || ' unrelated changes elsewhere in the dataset.' AS reason", "n_changes",
     )
     return with_score(near.unionByName(far))
 
@@ -107,7 +100,7 @@ def attribute_in_full(findings: DataFrame, changes: DataFrame, rule_aliases: dic
 
 
 def with_score(attributions: DataFrame) -> DataFrame:
-    return attributions.withColumn("relevance_score", case_of(F.col("relevance"), RELEVANCE_SCORE, 0))
+    return attributions.withColumn("relevance_score", case_of("relevance", RELEVANCE_SCORE, 0))
 
 
 def ranked(attributions: DataFrame) -> DataFrame:
@@ -128,18 +121,15 @@ def primary_findings(findings: DataFrame) -> DataFrame:
 
 def evidence(attributions: DataFrame) -> DataFrame:
     """One HISTORY row per attribution."""
-    return attributions.select(
-        stable_id("ev", F.col("attribution_id")).alias("evidence_id"), "finding_id", "attribution_id",
-        F.lit("HISTORY").alias("type"), F.lit("HistoricalDiffEngine").alias("source"),
-        F.lit("attribution_match").alias("metric"), F.col("relevance").alias("value"),
-        F.concat(F.lit("Attribution match: "), F.col("reason")).alias("description"),
+    return attributions.select(stable_id("ev", "attribution_id").alias("evidence_id"), "*").selectExpr(
+        "evidence_id", "finding_id", "attribution_id", "'HISTORY' AS type", "'HistoricalDiffEngine' AS source",
+        "'attribution_match' AS metric", "relevance AS value", "'Attribution match: ' || reason AS description",
     )
 
 
 def hypotheses(attributions: DataFrame) -> DataFrame:
     """One PROPOSED hypothesis per attribution."""
-    text = F.concat(F.lit("System generated hypothesis based on historical change: "), F.col("reason"))
-    return attributions.select(
-        stable_id("hyp", F.col("attribution_id")).alias("hypothesis_id"), "finding_id", "attribution_id", *KEY,
-        text.alias("description"), F.lit("PROPOSED").alias("status"),
+    return attributions.select(stable_id("hyp", "attribution_id").alias("hypothesis_id"), "*").selectExpr(
+        "hypothesis_id", "finding_id", "attribution_id", *KEY,
+        "'System generated hypothesis based on historical change: ' || reason AS description", "'PROPOSED' AS status",
     )

@@ -56,77 +56,72 @@ def paired(p: DataFrame) -> DataFrame:
     return both.unionByName(total, allowMissingColumns=True)
 
 
-def _relative(delta: Column, base: Column, positive_only: bool) -> Column:
-    ok = base > 0 if positive_only else base != 0
-    return F.when(ok, delta / (base if positive_only else F.abs(base))).otherwise(F.lit(float("inf")))
-
-
-def _change(present: Column, kind: str, change_type: Column | str, metric: str | None = None, **values) -> Column:
-    """A change struct where ``present`` holds, else null."""
-    ctype = F.lit(change_type) if isinstance(change_type, str) else change_type
-
-    def val(name: str, dtype: str) -> Column:
-        v = values.get(name)
-        return (F.lit(None) if v is None else v).cast(dtype).alias(name)
-
-    body = F.struct(
-        F.lit(kind).alias("change_kind"),
-        F.lit(metric).cast("string").alias("metric"),
-        ctype.alias("change_type"),
-        val("previous_type", "string"), val("current_type", "string"),
-        val("previous_value", "string"), val("current_value", "string"),
-        val("previous_num", "double"), val("current_num", "double"),
-        val("absolute_delta", "double"), val("relative_delta", "double"),
-    )
-    return F.when(present, body)
+CHANGE_TYPES = {
+    "metric": "STRING", "previous_type": "STRING", "current_type": "STRING", "previous_value": "STRING",
+    "current_value": "STRING", "previous_num": "DOUBLE", "current_num": "DOUBLE",
+    "absolute_delta": "DOUBLE", "relative_delta": "DOUBLE",
+}
+
+
+def _change(present: str, kind: str, change_type: str, **values: str) -> str:
+    """SQL text of a change struct where ``present`` holds, else null."""
+    parts = [f"'change_kind', '{kind}'", f"'change_type', {change_type}"]
+    parts += [f"'{k}', CAST({values.get(k, 'NULL')} AS {t})" for k, t in CHANGE_TYPES.items()]
+    return f"CASE WHEN {present} THEN named_struct({', '.join(parts)}) END"
+
+
+def _relative(delta: str, base: str, positive_only: bool) -> str:
+    """Delta over the old value, infinite if that is zero."""
+    known, size = (f"{base} > 0", base) if positive_only else (f"{base} <> 0", f"abs({base})")
+    return f"CASE WHEN {known} THEN ({delta}) / {size} ELSE double('Infinity') END"
 
 
-def _shift(metric: str, change_type: str, positive_only: bool = True) -> Column:
+def _shift(metric: str, change_type: str, positive_only: bool = True) -> str:
     """Change of a fraction or a mean beyond the noise floor."""
-    prev, cur = F.col(f"prev_{metric}"), F.col(f"cur_{metric}")
-    delta = cur - prev
+    prev, cur = f"prev_{metric}", f"cur_{metric}"
+    delta = f"{cur} - {prev}"
     return _change(
-        F.abs(prev - cur) > NOISE_FLOOR, "column", change_type, metric,
+        f"abs({prev} - {cur}) > {NOISE_FLOOR}D", "column", f"'{change_type}'", metric=f"'{metric}'",
         previous_value=prev, current_value=cur, previous_num=prev, current_num=cur,
         absolute_delta=delta, relative_delta=_relative(delta, prev, positive_only),
     )
 
 
-def _bound(metric: str, change_type: str) -> Column:
-    """Change of a minimum or maximum; values that are no numbers get zero deltas."""
-    prev, cur = F.col(f"prev_{metric}"), F.col(f"cur_{metric}")
-    a, b = prev.try_cast("double"), cur.try_cast("double")
-    numeric = a.isNotNull() & b.isNotNull()
-    same_type = F.col("prev_type") == F.col("cur_type")
-    # Same type: compare the exact text, as a double cannot tell large longs apart. Else 5 equals 5.0.
-    differs = F.when(numeric & ~same_type, a != b).otherwise(prev != cur)
-    delta = b - a
+def _bound(metric: str, change_type: str) -> str:
+    """Change of a minimum or maximum; values that are no numbers get zero deltas.
+
+    Values of one type are compared by their exact text, as a double cannot tell large longs apart.
+    Across types 5 equals 5.0.
+    """
+    prev, cur = f"prev_{metric}", f"cur_{metric}"
+    a, b = f"try_cast({prev} AS DOUBLE)", f"try_cast({cur} AS DOUBLE)"
+    numeric = f"({a} IS NOT NULL AND {b} IS NOT NULL)"
+    differs = f"CASE WHEN {numeric} AND prev_type <> cur_type THEN {a} <> {b} ELSE {prev} <> {cur} END"
+    delta = f"{b} - {a}"
     return _change(
-        differs, "column", change_type, metric,
+        differs, "column", f"'{change_type}'", metric=f"'{metric}'",
         previous_value=prev, current_value=cur, previous_num=a, current_num=b,
-        absolute_delta=F.when(numeric, delta).otherwise(F.lit(0.0)),
-        relative_delta=F.when(numeric, _relative(delta, a, False)).otherwise(F.lit(0.0)),
+        absolute_delta=f"CASE WHEN {numeric} THEN {delta} ELSE 0.0D END",
+        relative_delta=f"CASE WHEN {numeric} THEN {_relative(delta, a, False)} ELSE 0.0D END",
     )
 
 
 def changes(p: DataFrame) -> DataFrame:
     """Schema and column changes of every version pair, from one join of the profile with itself."""
-    rows = paired(p)
-    real = F.col("column") != DATASET_COLUMN
-    before, after = F.col("prev_type"), F.col("cur_type")
-    kind = F.when(before.isNull(), "added").when(after.isNull(), "removed").otherwise("type_changed")
+    real = f"column <> '{DATASET_COLUMN}'"
     schema = _change(
-        real & (before.isNull() | after.isNull() | (before != after)), "schema", kind,
-        previous_type=before, current_type=after,
+        f"{real} AND (prev_type IS NULL OR cur_type IS NULL OR prev_type <> cur_type)", "schema",
+        "CASE WHEN prev_type IS NULL THEN 'added' WHEN cur_type IS NULL THEN 'removed' ELSE 'type_changed' END",
+        previous_type="prev_type", current_type="cur_type",
     )
-    prev_rows, cur_rows = F.col("prev_row_count"), F.col("cur_row_count")
-    row_delta = (cur_rows - prev_rows).cast("double")
+    row_delta = "CAST(cur_row_count - prev_row_count AS DOUBLE)"
     count = _change(
-        ~real & (prev_rows != cur_rows), "column", "row_count_shift", "row_count",
-        previous_value=prev_rows, current_value=cur_rows, previous_num=prev_rows, current_num=cur_rows,
-        absolute_delta=row_delta, relative_delta=_relative(row_delta, prev_rows, True),
+        f"NOT ({real}) AND prev_row_count <> cur_row_count", "column", "'row_count_shift'", metric="'row_count'",
+        previous_value="prev_row_count", current_value="cur_row_count",
+        previous_num="prev_row_count", current_num="cur_row_count",
+        absolute_delta=row_delta, relative_delta=_relative(row_delta, "prev_row_count", True),
     )
-    all_changes = F.array(
+    kinds = [
         schema,
         count,
         _shift("null_fraction", "null_rate_shift"),
@@ -134,9 +129,9 @@ def changes(p: DataFrame) -> DataFrame:
         _shift("mean", "distribution_shift", positive_only=False),
         _bound("min_value", "min_shift"),
         _bound("max_value", "max_shift"),
-    )
-    found = rows.select(*KEY, "column", F.explode(F.filter(all_changes, lambda c: c.isNotNull())).alias("_c"))
-    ident = stable_id("chg", F.col("dataset_id"), F.col("version_number"), F.col("column"), F.col("_c.change_type"))
+    ]
+    found = paired(p).selectExpr(*KEY, "column", f"explode(array_compact(array({', '.join(kinds)}))) AS _c")
+    ident = stable_id("chg", "dataset_id", "version_number", "column", "_c.change_type")
     return found.select(*KEY, "column", ident.alias("change_id"), "_c.*").select(*CHANGE_COLUMNS)
 
 
@@ -153,15 +148,12 @@ def column_changes(found: DataFrame) -> DataFrame:
 def summary(p: DataFrame, found: DataFrame) -> DataFrame:
     """Change counts and one sentence per version pair; pairs without changes are listed too."""
     counts = found.groupBy(*KEY).agg(
-        F.count_if(F.col("change_kind") == "schema").alias("n_schema"),
-        F.count_if(F.col("change_kind") == "column").alias("n_column"),
+        F.expr("count_if(change_kind = 'schema') AS n_schema"), F.expr("count_if(change_kind = 'column') AS n_column")
     )
     rows = version_pairs(p).select(*KEY).join(counts, KEY, "left").fillna(0, ["n_schema", "n_column"])
-    text = F.when((F.col("n_schema") == 0) & (F.col("n_column") == 0), "No changes detected.").otherwise(
-        F.concat(
-            F.lit("Detected "), F.col("n_schema").cast("string"), F.lit(" schema changes and "),
-            F.col("n_column").cast("string"), F.lit(" column statistical changes."),
-        )
+    text = F.expr(
+        "CASE WHEN n_schema = 0 AND n_column = 0 THEN 'No changes detected.' ELSE 'Detected ' || n_schema || "
+        "' schema changes and ' || n_column || ' column statistical changes.' END"
     )
     return rows.withColumn("summary", text)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import case_of, fixed, percent, stable_id
+from ..functions.text import case_sql, fixed_sql, percent_sql, stable_id
+from .diff import KEY
 
 # Rule, category, severity, confidence and impact of each change that raises a finding.
 DRIFT_RULES = {
@@ -20,61 +21,44 @@ UNIQUE_FRACTION_DROP = -0.05
 MEAN_RELATIVE_SHIFT = 0.1
 
 
-def _raised() -> Column:
-    ctype, delta = F.col("change_type"), F.col("absolute_delta")
-    return (
-        F.when(ctype == "null_rate_shift", delta > NULL_RATE_RISE)
-        .when(ctype == "cardinality_shift", delta < UNIQUE_FRACTION_DROP)
-        .when(ctype == "distribution_shift", F.abs("relative_delta") > MEAN_RELATIVE_SHIFT)
-        .otherwise(ctype.isin("type_changed", "removed", "added"))
-    )
-
-
-def _title() -> Column:
-    name = F.col("column")
-    texts = {
-        "null_rate_shift": F.concat(F.lit("Spike in null rate on "), name),
-        "cardinality_shift": F.concat(F.lit("Uniqueness degradation on "), name),
-        "distribution_shift": F.concat(F.lit("Data drift on "), name),
-        "type_changed": F.concat(F.lit("Schema drift: "), name, F.lit(" type changed")),
-        "removed": F.concat(F.lit("Schema drift: "), name, F.lit(" removed")),
-        "added": F.concat(F.lit("Schema change: "), name, F.lit(" added")),
-    }
-    return case_of(F.col("change_type"), texts)
-
-
-def _description() -> Column:
-    name, delta, now = F.col("column"), F.col("absolute_delta"), F.col("current_num")
-    texts = {
-        "null_rate_shift": F.concat(F.lit("Null rate increased by "), percent(delta), F.lit(" (now "), percent(now), F.lit(")")),
-        "cardinality_shift": F.concat(F.lit("Unique fraction dropped by "), percent(-delta), F.lit(" (now "), percent(now), F.lit(")")),
-        "distribution_shift": F.concat(
-            F.lit("Mean shifted by "), percent(F.col("relative_delta")), F.lit(" (from "),
-            fixed(F.col("previous_num"), 2), F.lit(" to "), fixed(now, 2), F.lit(")"),
-        ),
-        "type_changed": F.concat(
-            F.lit("Column "), name, F.lit(" type changed from "), F.col("previous_type"), F.lit(" to "), F.col("current_type")
-        ),
-        "removed": F.concat(F.lit("Column "), name, F.lit(" was removed")),
-        "added": F.concat(F.lit("New column "), name, F.lit(" of type "), F.col("current_type"), F.lit(" was added")),
-    }
-    return case_of(F.col("change_type"), texts)
+RAISED = f"""CASE change_type
+  WHEN 'null_rate_shift' THEN absolute_delta > {NULL_RATE_RISE}D
+  WHEN 'cardinality_shift' THEN absolute_delta < {UNIQUE_FRACTION_DROP}D
+  WHEN 'distribution_shift' THEN abs(relative_delta) > {MEAN_RELATIVE_SHIFT}D
+  ELSE change_type IN ('type_changed', 'removed', 'added') END"""
+
+TITLE = """CASE change_type
+  WHEN 'null_rate_shift' THEN 'Spike in null rate on ' || column
+  WHEN 'cardinality_shift' THEN 'Uniqueness degradation on ' || column
+  WHEN 'distribution_shift' THEN 'Data drift on ' || column
+  WHEN 'type_changed' THEN 'Schema drift: ' || column || ' type changed'
+  WHEN 'removed' THEN 'Schema drift: ' || column || ' removed'
+  ELSE 'Schema change: ' || column || ' added' END"""
+
+DESCRIPTION = f"""CASE change_type
+  WHEN 'null_rate_shift' THEN
+    'Null rate increased by ' || {percent_sql("absolute_delta")} || ' (now ' || {percent_sql("current_num")} || ')'
+  WHEN 'cardinality_shift' THEN
+    'Unique fraction dropped by ' || {percent_sql("(-absolute_delta)")} || ' (now ' || {percent_sql("current_num")} || ')'
+  WHEN 'distribution_shift' THEN 'Mean shifted by ' || {percent_sql("relative_delta")}
+    || ' (from ' || {fixed_sql("previous_num", 2)} || ' to ' || {fixed_sql("current_num", 2)} || ')'
+  WHEN 'type_changed' THEN 'Column ' || column || ' type changed from ' || previous_type || ' to ' || current_type
+  WHEN 'removed' THEN 'Column ' || column || ' was removed'
+  ELSE 'New column ' || column || ' of type ' || current_type || ' was added' END"""
 
 
 def findings(changes: DataFrame) -> DataFrame:
     """Findings of every version pair. Row-count and min/max changes raise none."""
-    ctype = F.col("change_type")
-
-    def part(i: int) -> Column:
-        return case_of(ctype, {k: v[i] for k, v in DRIFT_RULES.items()})
-
-    ident = stable_id("fnd", F.col("dataset_id"), F.col("version_number"), part(0), F.col("column"))
-    return changes.filter(_raised()).select(
-        ident.alias("finding_id"), "dataset_id", "version_number", "column", part(0).alias("rule"),
-        part(1).alias("category"), part(2).alias("severity"), part(3).alias("confidence"),
-        part(4).alias("impact_score"), _title().alias("title"), _description().alias("description"),
+    parts = ["rule", "category", "severity", "confidence", "impact_score"]
+    looked_up = [
+        f"{case_sql('change_type', {k: v[i] for k, v in DRIFT_RULES.items()})} AS {name}" for i, name in enumerate(parts)
+    ]
+    raised = changes.filter(RAISED).selectExpr(
+        *KEY, "column", *looked_up, f"{TITLE} AS title", f"{DESCRIPTION} AS description",
         "change_id", "change_type", "metric", "absolute_delta",
     )
+    ident = stable_id("fnd", "dataset_id", "version_number", "rule", "column")
+    return raised.select(ident.alias("finding_id"), "*")
 
 
 def drift_findings(changes: DataFrame) -> DataFrame:
@@ -87,24 +71,26 @@ def schema_findings(changes: DataFrame) -> DataFrame:
 
 def metric_evidence(found: DataFrame, constant_metric: bool = False) -> DataFrame:
     """One METRIC row per finding, named after the change's own metric unless ``constant_metric``."""
-    metric = F.lit("null_fraction") if constant_metric else F.coalesce("metric", F.lit("schema"))
+    metric = "'null_fraction'" if constant_metric else "coalesce(metric, 'schema')"
     return found.select(
-        stable_id("ev", F.col("finding_id"), F.lit("metric")).alias("evidence_id"), "finding_id",
-        F.lit("METRIC").alias("type"), F.lit("DataQualityEngine").alias("source"), metric.alias("metric"),
-        F.col("description").alias("value"), F.lit("Anomaly detected by baseline rules").alias("description"),
+        stable_id("ev", "finding_id", "'metric'").alias("evidence_id"),
+        F.expr("finding_id"),
+        F.expr("'METRIC' AS type"),
+        F.expr("'DataQualityEngine' AS source"),
+        F.expr(f"{metric} AS metric"),
+        F.expr("description AS value"),
+        F.expr("'Anomaly detected by baseline rules' AS description"),
     )
 
 
 def open_investigations(found: DataFrame) -> DataFrame:
     """One OPEN investigation per (dataset, version) that has findings."""
-    counts = found.groupBy("dataset_id", "version_number").agg(F.count(F.lit(1)).alias("n_findings"))
-    version = F.col("version_number").cast("string")
+    counts = found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_findings"))
     return counts.select(
-        stable_id("inv", F.col("dataset_id"), version).alias("investigation_id"),
-        "dataset_id", "version_number", F.lit("OPEN").alias("status"), "n_findings",
-        F.concat(F.lit("Automated Investigation: "), F.col("dataset_id"), F.lit(" v"), version).alias("title"),
-        F.concat(
-            F.lit("System detected "), F.col("n_findings").cast("string"),
-            F.lit(" anomalies in the latest dataset version."),
-        ).alias("description"),
+        stable_id("inv", *KEY).alias("investigation_id"),
+        *KEY,
+        F.expr("'OPEN' AS status"),
+        "n_findings",
+        F.expr("'Automated Investigation: ' || dataset_id || ' v' || version_number AS title"),
+        F.expr("'System detected ' || n_findings || ' anomalies in the latest dataset version.' AS description"),
     )

@@ -75,18 +75,15 @@ def status(error: Column) -> Column:
 
 def verdicts(experiments: DataFrame) -> DataFrame:
     """Verdict and QUERY evidence of each (experiment_id, hypothesis_id, row_count, error_message)."""
-    error, rows = F.col("error_message"), F.col("row_count")
-    verdict = F.when(error.isNotNull(), "REJECTED").when(rows > 0, "SUPPORTED").otherwise("REJECTED")
-    note = (
-        F.when(error.isNotNull(), F.concat(F.lit("Experiment failed to execute: "), error))
-        .when(rows > 0, F.concat(F.lit("Experiment found "), rows.cast("string"), F.lit(" rows supporting the hypothesis.")))
-        .otherwise("Experiment executed successfully but returned 0 rows, contradicting the hypothesis.")
-    )
-    value = F.to_json(F.struct(rows.alias("rows"), error.alias("error")), {"ignoreNullFields": "false"})
-    return experiments.select(
-        "experiment_id", "hypothesis_id", verdict.alias("verdict"), note.alias("note"),
-        stable_id("ev", F.col("experiment_id")).alias("evidence_id"),
-        F.lit("QUERY").alias("type"), F.lit("sql_experiment_result").alias("metric"), value.alias("value"),
+    ident = stable_id("ev", "experiment_id").alias("evidence_id")
+    return experiments.select(ident, "*").selectExpr(
+        "experiment_id", "hypothesis_id",
+        "CASE WHEN error_message IS NULL AND row_count > 0 THEN 'SUPPORTED' ELSE 'REJECTED' END AS verdict",
+        """CASE WHEN error_message IS NOT NULL THEN 'Experiment failed to execute: ' || error_message
+             WHEN row_count > 0 THEN 'Experiment found ' || row_count || ' rows supporting the hypothesis.'
+             ELSE 'Experiment executed successfully but returned 0 rows, contradicting the hypothesis.' END AS note""",
+        "evidence_id", "'QUERY' AS type", "'sql_experiment_result' AS metric",
+        "to_json(named_struct('rows', row_count, 'error', error_message), map('ignoreNullFields', 'false')) AS value",
     )
 
 

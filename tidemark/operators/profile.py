@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.text import fixed
+from ..functions.text import name_sql, percent_sql, value_sql
 from ..functions.types import is_countable, is_numeric, type_label
 
 COLUMNS_PER_PASS = 100  # keeps each aggregate within the size Spark compiles to one method
@@ -55,7 +55,7 @@ def profile(
         for k in by:
             on = on & F.col(f"p.`{k}`").eqNullSafe(F.col(f"d.`{k}`"))
         others = [F.col(f"p.`{c}`") for c in out.columns if c != "unique_count"]
-        missing = F.when(F.col("p.column").isin(exact_names), F.lit(0).cast("bigint"))
+        missing = F.when(F.col("p.column").isin(exact_names), F.lit(0).cast("bigint"))  # empty groups
         out = left.join(right, on, "left").select(
             *others, F.coalesce(F.col("d.unique_count"), F.col("p.unique_count"), missing).alias("unique_count")
         )
@@ -63,68 +63,62 @@ def profile(
 
 
 def _one_pass(df, by, fields, exact_names, rsd, quantiles) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs, rows = ["count(1) AS _rows"], []
+    cuts = ", ".join(str(float(q)) for q in quantiles)
     for i, f in fields:
-        c = _col(f.name)
-        aggs.append(F.count(c).alias(f"_{i}_n"))
+        c = name_sql(f.name)
+        x = f"CAST({c} AS DOUBLE)"
+        stats = {"n": f"count({c})"}
         if f.name not in exact_names and is_countable(f.dataType):
-            aggs.append(F.approx_count_distinct(c, rsd).alias(f"_{i}_u"))
+            stats["u"] = f"approx_count_distinct({c}, {rsd})"
         if is_numeric(f.dataType):
-            x = c.cast("double")
-            aggs += [F.min(c).alias(f"_{i}_lo"), F.max(c).alias(f"_{i}_hi")]
-            aggs += [F.avg(x).alias(f"_{i}_avg"), F.stddev_samp(x).alias(f"_{i}_sd")]
+            stats |= {"lo": f"min({c})", "hi": f"max({c})", "avg": f"avg({x})", "sd": f"stddev_samp({x})"}
             if quantiles:
-                aggs.append(F.percentile_approx(x, list(quantiles)).alias(f"_{i}_q"))
-    wide = df.groupBy(*[_col(k) for k in by]).agg(*aggs)
-
-    def stat(i: int, suffix: str, dtype: str, present: bool) -> Column:
-        return (F.col(f"_{i}_{suffix}") if present else F.lit(None)).cast(dtype)
-
-    rows = []
-    for i, f in fields:
-        num = is_numeric(f.dataType)
-        approx = f.name not in exact_names and is_countable(f.dataType)
-        entry = [
-            F.lit(i).cast("int").alias("ordinal"),
-            F.lit(f.name).alias("column"),
-            F.lit(type_label(f.dataType)).alias("type"),
-            (F.col("_rows") - F.col(f"_{i}_n")).alias("null_count"),
-            stat(i, "u", "bigint", approx).alias("unique_count"),
-            stat(i, "lo", "string", num).alias("min_value"),
-            stat(i, "hi", "string", num).alias("max_value"),
-            stat(i, "avg", "double", num).alias("mean"),
-            stat(i, "sd", "double", num).alias("std_dev"),
-        ]
+                stats["q"] = f"percentile_approx({x}, array({cuts}))"
+        aggs += [f"{agg} AS _{i}_{k}" for k, agg in stats.items()]
+
+        def stat(k: str, dtype: str) -> str:
+            return f"CAST({f'_{i}_{k}' if k in stats else 'NULL'} AS {dtype})"
+
+        entry = {
+            "ordinal": f"CAST({i} AS INT)",
+            "column": value_sql(f.name),
+            "type": value_sql(type_label(f.dataType)),
+            "null_count": f"_rows - _{i}_n",
+            "unique_count": stat("u", "BIGINT"),
+            "min_value": stat("lo", "STRING"),
+            "max_value": stat("hi", "STRING"),
+            "mean": stat("avg", "DOUBLE"),
+            "std_dev": stat("sd", "DOUBLE"),
+        }
         if quantiles:
-            entry.append(stat(i, "q", "array<double>", num).alias("quantiles"))
-        rows.append(F.struct(*entry))
-    return wide.select(*[_col(k) for k in by], F.col("_rows").alias("row_count"), F.explode(F.array(*rows)).alias("_c")).select(
-        *[_col(k) for k in by], "row_count", "_c.*"
-    )
+            entry["quantiles"] = stat("q", "ARRAY<DOUBLE>")
+        rows.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in entry.items()) + ")")
+    keys = [name_sql(k) for k in by]
+    wide = df.groupBy(*[F.col(k) for k in keys]).agg(*[F.expr(a) for a in aggs])
+    long = wide.selectExpr(*keys, "_rows AS row_count", f"explode(array({', '.join(rows)})) AS _c")
+    return long.selectExpr(*keys, "row_count", "_c.*")
 
 
 def _finish(p: DataFrame, by: Sequence[str], with_quantiles: bool) -> DataFrame:
-    rows = F.col("row_count")
+    def share(c: str) -> str:
+        return f"CASE WHEN row_count > 0 THEN {c} / row_count ELSE 0.0D END"
 
-    def share(c: str) -> Column:
-        return F.when(rows > 0, F.col(c) / rows).otherwise(F.lit(0.0))
-
-    tail = ["quantiles"] if with_quantiles else []
-    return p.select(
-        *[_col(k) for k in by],
+    return p.selectExpr(
+        *[name_sql(k) for k in by],
         "ordinal",
         "column",
         "type",
         "row_count",
         "null_count",
-        share("null_count").alias("null_fraction"),
+        f"{share('null_count')} AS null_fraction",
         "unique_count",
-        F.when(F.col("unique_count").isNotNull(), share("unique_count")).alias("unique_fraction"),
+        f"CASE WHEN unique_count IS NOT NULL THEN {share('unique_count')} END AS unique_fraction",
         "min_value",
         "max_value",
         "mean",
         "std_dev",
-        *tail,
+        *(["quantiles"] if with_quantiles else []),
     )
 
 
@@ -150,16 +144,47 @@ def _unpivot(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFr
     return texts.unpivot([_col(k) for k in by], [_col(c) for c in columns], "column", "value")
 
 
+def _plain_value(f: T.StructField, text: Column) -> tuple[str, Column]:
+    """(kind, value): columns of one kind have values of one type, equal exactly when the originals are."""
+    c = _col(f.name)
+    if isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
+        return "bigint", c.cast("bigint")
+    if isinstance(f.dataType, T.DateType):
+        return "bigint", F.unix_date(c).cast("bigint")
+    if isinstance(f.dataType, T.TimestampType):
+        return "bigint", F.unix_micros(c)
+    if isinstance(f.dataType, T.TimestampNTZType):
+        return "timestamp_ntz", c
+    if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        return "double", c.cast("double") + F.lit(0.0)
+    return "string", text
+
+
 def distinct_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Exact distinct non-null values per column.
 
-    Equal values collapse before and after the first shuffle, so a frequent value costs one row per task.
+    Columns of one kind are stacked as (column number, value) and counted together, so a columnar file is
+    read once over all kinds and shuffled rows are narrow and typed. Equal values collapse before the
+    shuffle: a frequent value costs one row per task. Store a CSV or a join result before counting it.
     """
+    keys = [_col(k) for k in by]
     if len(columns) == 1:
-        counted = df.groupBy(*[_col(k) for k in by]).agg(F.count_distinct(_col(columns[0])).alias("unique_count"))
-        return counted.select(*[_col(k) for k in by], F.lit(columns[0]).alias("column"), "unique_count")
-    values = _unpivot(df, by, columns)
-    return values.groupBy(*[_col(k) for k in by], "column").agg(F.count_distinct("value").alias("unique_count"))
+        counted = df.groupBy(*keys).agg(F.count_distinct(_col(columns[0])).alias("unique_count"))
+        return counted.select(*keys, F.lit(columns[0]).alias("column"), "unique_count")
+    kinds: dict[str, list[tuple[str, Column]]] = {}
+    for c in columns:
+        kind, value = _plain_value(df.schema[c], value_text(df, c))
+        kinds.setdefault(kind, []).append((c, value))
+    out = None
+    for members in kinds.values():
+        values = df.select(*keys, *[v.alias(f"_v{i}") for i, (_, v) in enumerate(members)])
+        pairs = ", ".join(f"{i}, _v{i}" for i in range(len(members)))
+        stacked = values.selectExpr(*[name_sql(k) for k in by], f"stack({len(members)}, {pairs}) AS (_i, _v)")
+        counts = stacked.groupBy(*keys, "_i").agg(F.count_distinct("_v").alias("unique_count"))
+        names = ", ".join(value_sql(c) for c, _ in members)
+        rows = counts.selectExpr(*[name_sql(k) for k in by], f"array({names})[_i] AS column", "unique_count")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def value_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -177,9 +202,5 @@ def from_records(records: DataFrame) -> DataFrame:
 
 def report(p: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One line of text per column: ``name (type): n unique, p% nulls``."""
-    line = F.concat(
-        F.col("column"), F.lit(" ("), F.col("type"), F.lit("): "),
-        F.col("unique_count").cast("string"), F.lit(" unique, "),
-        fixed(F.col("null_fraction") * 100, 1), F.lit("% nulls"),
-    )
-    return p.select(*[_col(k) for k in by], "ordinal", line.alias("line"))
+    line = f"column || ' (' || type || '): ' || unique_count || ' unique, ' || {percent_sql('null_fraction')} || ' nulls'"
+    return p.selectExpr(*[name_sql(k) for k in by], "ordinal", f"{line} AS line")

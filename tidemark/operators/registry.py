@@ -88,9 +88,9 @@ def page(investigations: DataFrame, number: int = 1, size: int = 10) -> DataFram
 
 def highest_severity(investigations: DataFrame, findings: DataFrame) -> DataFrame:
     """Highest severity per investigation, null if it has only INFO findings or none."""
-    rank = case_of(F.col("severity"), SEVERITY_RANK, 0)
+    rank = case_of("severity", SEVERITY_RANK, 0)
     top = findings.groupBy("investigation_id").agg(F.max(rank).alias("_rank"))
-    name = case_of(F.col("_rank"), {v: k for k, v in SEVERITY_RANK.items()})
+    name = case_of("_rank", {v: k for k, v in SEVERITY_RANK.items()})
     return investigations.select("investigation_id").join(top, "investigation_id", "left").select(
         "investigation_id", name.alias("highest_severity")
     )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.text import case_of, stable_id
+from ..functions.text import case_sql, stable_id
 
 # Score of each relevance; (score change, confidence) of each validation.
 BASE_SCORE = {"HIGH": 0.6, "MEDIUM": 0.4, "LOW": 0.2}
@@ -17,14 +17,8 @@ VALIDATION_TEXT = {
 }
 
 
-def _status(rejected: Column) -> Column:
-    score, conf = F.round("score", 6), F.col("confidence")
-    return (
-        F.when(rejected, "DISQUALIFIED")
-        .when((score >= 0.8) & (conf >= 0.8), "STRONG")
-        .when(score >= 0.4, "PLAUSIBLE")
-        .otherwise("UNLIKELY")
-    )
+STATUS = """CASE WHEN _rejected THEN 'DISQUALIFIED' WHEN round(score, 6) >= 0.8 AND confidence >= 0.8 THEN 'STRONG'
+  WHEN round(score, 6) >= 0.4 THEN 'PLAUSIBLE' ELSE 'UNLIKELY' END"""
 
 
 def from_hypotheses(attributions: DataFrame, hypotheses: DataFrame, validations: DataFrame) -> DataFrame:
@@ -36,36 +30,31 @@ def from_hypotheses(attributions: DataFrame, hypotheses: DataFrame, validations:
         attr, "attribution_id", "left"
     )
     rows = rows.join(validations.select("hypothesis_id", "verdict", "note", "evidence_id"), "hypothesis_id", "left")
-    verdict = F.col("verdict")
-    base = F.coalesce(case_of(F.col("relevance"), BASE_SCORE), F.lit(0.0))
-    moved = base + F.coalesce(case_of(verdict, VALIDATION_SCORE), F.lit(0.0))
-    outcome = F.when(
-        verdict.isNull(), "Hypothesis is proposed but not yet validated."
-    ).otherwise(F.concat(case_of(verdict, VALIDATION_TEXT), F.col("note")))
-    history = F.concat(F.lit("Based on historical change: "), F.col("reason"))
-    known = F.col("relevance").isNotNull()
-    return rows.select(
+    moved = f"coalesce({case_sql('relevance', BASE_SCORE)}, 0.0D) + coalesce({case_sql('verdict', VALIDATION_SCORE)}, 0.0D)"
+    outcome = (
+        "CASE WHEN verdict IS NULL THEN 'Hypothesis is proposed but not yet validated.' "
+        f"ELSE {case_sql('verdict', VALIDATION_TEXT)} || note END"
+    )
+    return rows.selectExpr(
         "finding_id", "hypothesis_id",
-        F.when(known, F.col("attribution_id")).alias("attribution_id"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved)).alias("score"),
-        F.coalesce(case_of(verdict, VALIDATION_CONFIDENCE), F.col("_conf"), F.lit(0.5)).alias("confidence"),
-        F.when(verdict == "SUPPORTED", F.col("evidence_id")).alias("supporting_evidence"),
-        F.when(verdict == "REJECTED", F.col("evidence_id")).alias("contradicting_evidence"),
-        F.concat_ws(" ", history, outcome).alias("explanation"),
-        (F.coalesce(verdict, F.col("_hyp")) == "REJECTED").alias("_rejected"),
+        "CASE WHEN relevance IS NOT NULL THEN attribution_id END AS attribution_id",
+        f"greatest(0.0D, least(1.0D, {moved})) AS score",
+        f"coalesce({case_sql('verdict', VALIDATION_CONFIDENCE)}, _conf, 0.5D) AS confidence",
+        "CASE WHEN verdict = 'SUPPORTED' THEN evidence_id END AS supporting_evidence",
+        "CASE WHEN verdict = 'REJECTED' THEN evidence_id END AS contradicting_evidence",
+        f"concat_ws(' ', 'Based on historical change: ' || reason, {outcome}) AS explanation",
+        "coalesce(verdict, _hyp) = 'REJECTED' AS _rejected",
     )
 
 
 def from_attributions(attributions: DataFrame, hypotheses: DataFrame) -> DataFrame:
     """Candidates of attributions no hypothesis refers to."""
     left = attributions.join(hypotheses.select("attribution_id", "finding_id"), ["attribution_id", "finding_id"], "left_anti")
-    return left.select(
-        "finding_id", F.lit(None).cast("string").alias("hypothesis_id"), "attribution_id",
-        F.coalesce(case_of(F.col("relevance"), BASE_SCORE), F.lit(0.0)).alias("score"), "confidence",
-        F.lit(None).cast("string").alias("supporting_evidence"),
-        F.lit(None).cast("string").alias("contradicting_evidence"),
-        F.concat(F.lit("System-proposed candidate based on historical change: "), F.col("reason")).alias("explanation"),
-        F.lit(False).alias("_rejected"),
+    return left.selectExpr(
+        "finding_id", "CAST(NULL AS STRING) AS hypothesis_id", "attribution_id",
+        f"coalesce({case_sql('relevance', BASE_SCORE)}, 0.0D) AS score", "confidence",
+        "CAST(NULL AS STRING) AS supporting_evidence", "CAST(NULL AS STRING) AS contradicting_evidence",
+        "'System-proposed candidate based on historical change: ' || reason AS explanation", "false AS _rejected",
     )
 
 
@@ -74,13 +63,13 @@ def candidates(attributions: DataFrame, hypotheses: DataFrame, validations: Data
     rows = from_hypotheses(attributions, hypotheses, validations).unionByName(
         from_attributions(attributions, hypotheses)
     )
-    ident = stable_id("rcc", F.col("finding_id"), F.coalesce("hypothesis_id", "attribution_id"))
+    ident = stable_id("rcc", "finding_id", "coalesce(hypothesis_id, attribution_id)")
     order = W.partitionBy("finding_id").orderBy(
         F.desc(F.round("score", 6)), F.desc("confidence"), F.coalesce("hypothesis_id", "attribution_id")
     )
     return (
         rows.withColumn("candidate_id", ident)
-        .withColumn("status", _status(F.col("_rejected")))
+        .withColumn("status", F.expr(STATUS))
         .withColumn("rank", F.row_number().over(order))
         .drop("_rejected")
     )

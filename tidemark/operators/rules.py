@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import case_of, fixed, stable_id
+from ..functions.text import case_sql, fixed_sql, percent_sql, stable_id, value_sql
 from .profile import distinct_counts, profile
 from .semantics import classify
 
@@ -181,57 +181,41 @@ def results_from_profile(p: DataFrame) -> DataFrame:
     No further scan of the data is needed: the profile already holds both counts.
     """
     keys = [c for c in ("dataset_id", "version_number") if c in p.columns]
-    name = F.col("column")
-    entries = F.array(
-        F.struct(
-            F.lit("NotNullRule").alias("rule"),
-            F.concat(F.lit("SELECT COUNT(*) FROM dataset WHERE "), name, F.lit(" IS NULL")).alias("check"),
-            F.col("null_count").cast("bigint").alias("violations"),
-        ),
-        F.struct(
-            F.lit("UniqueRule").alias("rule"),
-            F.concat(
-                F.lit("SELECT COUNT(*) as total, COUNT(DISTINCT "), name, F.lit(") as unique_count FROM dataset")
-            ).alias("check"),
-            (F.col("row_count") - F.col("unique_count")).cast("bigint").alias("violations"),
-        ),
-    )
-    rows = p.select(*keys, "column", "row_count", F.explode(entries).alias("_r"))
+    entries = """explode(array(
+      named_struct('rule', 'NotNullRule', 'check', 'SELECT COUNT(*) FROM dataset WHERE ' || column || ' IS NULL',
+        'violations', null_count),
+      named_struct('rule', 'UniqueRule',
+        'check', 'SELECT COUNT(*) as total, COUNT(DISTINCT ' || column || ') as unique_count FROM dataset',
+        'violations', row_count - unique_count))) AS _r"""
+    rows = p.selectExpr(*keys, "column", "row_count", entries)
     return rows.select(*keys, "_r.rule", "column", "_r.check", "row_count", "_r.violations").withColumn(
         "status", status(F.col("violations"))
     )
 
 
-def _applicability(part: int, fallback) -> Column:
-    rule, role = F.col("rule"), F.col("semantic_role")
-    out = None
-    for (name, r), value in APPLICABILITY.items():
-        cond = (rule == name) & ((role == r) if r else F.lit(True))
-        out = F.when(cond, value[part]) if out is None else out.when(cond, value[part])
-    return out.otherwise(fallback)
+def _applicability_sql(part: int, fallback) -> str:
+    arms = []
+    for (rule, role), value in APPLICABILITY.items():
+        cond = f"rule = '{rule}'" + (f" AND semantic_role = '{role}'" if role else "")
+        arms.append(f"WHEN {cond} THEN {value_sql(value[part])}")
+    return f"CASE {' '.join(arms)} ELSE {value_sql(fallback)} END"
 
 
-def applicability_reason() -> Column:
-    rule, role = F.col("rule"), F.col("semantic_role")
-    return (
-        F.when((rule == "UniqueRule") & role.isin("IDENTIFIER", "MEASURE", "CATEGORY"),
-               F.concat(F.lit("Column is classified as "), role))
-        .when(rule == "UniqueRule", F.concat(F.lit("Uniqueness generally not expected for "), role))
-        .when((rule == "NotNullRule") & (role == "IDENTIFIER"), "Identifiers usually should not be null")
-        .when((rule == "NotNullRule") & (role == "TEXT"), "Free text columns often contain nulls")
-        .when((rule == "NotNullRule") & role.isin("MEASURE", "CATEGORY", "DATETIME"),
-              F.concat(role, F.lit(" applicability depends on domain")))
-        .when(rule == "NotNullRule", "Unknown applicability")
-        .otherwise("Rule was requested for this column")
-    )
+REASON = """CASE
+  WHEN rule = 'UniqueRule' AND semantic_role IN ('IDENTIFIER', 'MEASURE', 'CATEGORY') THEN 'Column is classified as ' || semantic_role
+  WHEN rule = 'UniqueRule' THEN 'Uniqueness generally not expected for ' || semantic_role
+  WHEN rule <> 'NotNullRule' THEN 'Rule was requested for this column'
+  WHEN semantic_role = 'IDENTIFIER' THEN 'Identifiers usually should not be null'
+  WHEN semantic_role = 'TEXT' THEN 'Free text columns often contain nulls'
+  WHEN semantic_role IN ('MEASURE', 'CATEGORY', 'DATETIME') THEN semantic_role || ' applicability depends on domain'
+  ELSE 'Unknown applicability' END"""
 
 
 def with_applicability(rows: DataFrame) -> DataFrame:
     """Add applicable, confidence and reason to rows holding rule and semantic_role."""
-    return (
-        rows.withColumn("applicable", _applicability(0, True))
-        .withColumn("confidence", _applicability(1, 0.9))
-        .withColumn("reason", applicability_reason())
+    return rows.selectExpr(
+        "*", f"{_applicability_sql(0, True)} AS applicable", f"{_applicability_sql(1, 0.9)} AS confidence",
+        f"{REASON} AS reason",
     )
 
 
@@ -244,108 +228,67 @@ def applicability(semantics: DataFrame) -> DataFrame:
 
 def with_impact(rows: DataFrame) -> DataFrame:
     """Add affected_fraction, impact_score and severity to rows with rule, role, counts and confidence."""
-    total = F.col("row_count")
-    affected = F.when(total > 0, F.col("violations") / total).otherwise(F.lit(0.0))
-    staged = rows.withColumn("affected_fraction", affected)
-    factor = F.greatest(F.lit(IMPACT_FLOOR), F.least(F.lit(1.0), F.col("affected_fraction")))
-    certainty = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))
+    affected = "CASE WHEN row_count > 0 THEN violations / row_count ELSE 0.0D END AS affected_fraction"
     score = (
-        case_of(F.col("rule"), RULE_CRITICALITY, 0.5)
-        * factor
-        * F.coalesce(case_of(F.col("semantic_role"), ROLE_WEIGHT), F.lit(0.1))
-        * certainty
+        f"{case_sql('rule', RULE_CRITICALITY, 0.5)} * greatest({IMPACT_FLOOR}D, least(1.0D, affected_fraction)) "
+        f"* coalesce({case_sql('semantic_role', ROLE_WEIGHT)}, 0.1D) * greatest(0.0D, least(1.0D, confidence))"
     )
-    staged = staged.withColumn("_score", score)
+    cuts = " ".join(f"WHEN _score >= {cut}D THEN '{name}'" for cut, name in SEVERITY_CUTS)
     return (
-        staged.withColumn("impact_score", fixed(F.col("_score"), 4).cast("double"))
-        .withColumn("severity", severity(F.col("_score")))
+        rows.selectExpr("*", affected)
+        .selectExpr("*", f"{score} AS _score")
+        .selectExpr("*", f"CAST({fixed_sql('_score', 4)} AS DOUBLE) AS impact_score", f"CASE {cuts} ELSE 'INFO' END AS severity")
         .drop("_score")
     )
 
 
-def severity(score: Column) -> Column:
-    out = None
-    for cut, name in SEVERITY_CUTS:
-        out = F.when(score >= cut, name) if out is None else out.when(score >= cut, name)
-    return out.otherwise("INFO")
-
-
 def findings(results: DataFrame, semantics: DataFrame) -> DataFrame:
     """Failed, applicable results as findings, scored by impact. Rules on absent columns drop out."""
     keys = [c for c in ("dataset_id", "version_number") if c in results.columns and c in semantics.columns]
     roles = semantics.select(*keys, "column", "semantic_role")
     failed = results.filter(F.col("status") == "failed").join(roles, [*keys, "column"])
     scored = with_impact(with_applicability(failed).filter("applicable"))
-    short = F.regexp_replace("rule", "Rule$", "")
-    count = F.col("violations").cast("string")
-    detail = (
-        F.when(F.col("rule") == "NotNullRule", F.concat(F.lit("Found "), count, F.lit(" null values")))
-        .when(F.col("rule") == "UniqueRule", F.concat(F.lit("Found "), count, F.lit(" duplicate records/groups")))
-        .otherwise(F.concat(F.lit("Found "), count, F.lit(" violating values")))
-    )
-    return scored.select(
+    ident = stable_id("fnd", *keys, "rule", "column").alias("finding_id")
+    return scored.select(ident, "*").selectExpr(
         *keys,
-        stable_id("fnd", *[F.col(k) for k in keys], F.col("rule"), F.col("column")).alias("finding_id"),
+        "finding_id",
         "column",
         "rule",
-        case_of(F.col("rule"), CATEGORY_OF_RULE, "UNKNOWN").alias("category"),
+        f"{case_sql('rule', CATEGORY_OF_RULE, 'UNKNOWN')} AS category",
         "severity",
         "confidence",
         "impact_score",
         "affected_fraction",
         "violations",
-        F.concat(F.lit("Column '"), F.col("column"), F.lit("' failed "), short, F.lit(" rule")).alias("title"),
-        F.concat(detail, F.lit(". Context: "), F.col("reason")).alias("description"),
+        "'Column \\'' || column || '\\' failed ' || regexp_replace(rule, 'Rule$', '') || ' rule' AS title",
+        """'Found ' || violations || CASE rule WHEN 'NotNullRule' THEN ' null values'
+             WHEN 'UniqueRule' THEN ' duplicate records/groups' ELSE ' violating values' END
+           || '. Context: ' || reason AS description""",
         "check",
     )
 
 
-def quality_findings(df: DataFrame, rules: Sequence[Rule] | None = None, settle=None) -> DataFrame:
-    """Findings of a table: profile, classify, evaluate, score.
-
-    The first pass is approximate. Exact distinct counts are taken only for the columns that are
-    identifiers, as Unique applies to no other role. ``settle`` may store the first profile.
-    """
-    first = profile(df)
-    semantics = classify(settle(first) if settle else first)
-    if rules is None:
-        ids = [r[0] for r in semantics.filter("semantic_role = 'IDENTIFIER'").select("column").collect()]
-        rules = [not_null(c) for c in df.columns] + [unique(c) for c in ids]
-    return findings(evaluate(df, rules), semantics)
-
-
 def ranked(found: DataFrame) -> DataFrame:
     return found.orderBy(F.desc("impact_score"), "column", "rule")
 
 
 def observations(found: DataFrame) -> DataFrame:
     """The measured fact behind each finding."""
-    short = F.lower(F.regexp_replace("rule", "Rule$", ""))
-    return found.select(
-        stable_id("obs", F.col("finding_id")).alias("observation_id"),
-        "finding_id",
-        F.concat(short, F.lit("_violation")).alias("metric"),
-        F.col("violations").alias("value"),
-        "column",
+    return found.select(stable_id("obs", "finding_id").alias("observation_id"), "*").selectExpr(
+        "observation_id", "finding_id", "lower(regexp_replace(rule, 'Rule$', '')) || '_violation' AS metric",
+        "violations AS value", "column",
     )
 
 
 def finding_evidence(found: DataFrame) -> DataFrame:
     """Two evidence rows per finding: the count, and the text of the check."""
-    count = F.col("violations").cast("string")
-    rows = F.array(
-        F.struct(
-            F.lit("METRIC").alias("type"), F.lit("violation_count").alias("metric"), count.alias("value"),
-            F.concat(F.lit("Observed "), count, F.lit(" violations")).alias("description"),
-        ),
-        F.struct(
-            F.lit("QUERY").alias("type"), F.lit("evaluation_query").alias("metric"), F.col("check").alias("value"),
-            F.lit("SQL query used to detect the violation").alias("description"),
-        ),
-    )
-    out = found.select("finding_id", F.col("rule").alias("source"), F.explode(rows).alias("_e"))
-    ident = stable_id("ev", F.col("finding_id"), F.col("_e.metric"))
-    return out.select(ident.alias("evidence_id"), "finding_id", "source", "_e.*")
+    rows = """explode(array(
+      named_struct('type', 'METRIC', 'metric', 'violation_count', 'value', CAST(violations AS STRING),
+        'description', 'Observed ' || violations || ' violations'),
+      named_struct('type', 'QUERY', 'metric', 'evaluation_query', 'value', check,
+        'description', 'SQL query used to detect the violation'))) AS _e"""
+    out = found.selectExpr("finding_id", "rule AS source", rows)
+    return out.select(stable_id("ev", "finding_id", "_e.metric").alias("evidence_id"), "finding_id", "source", "_e.*")
 
 
 # Mark of each severity in the text report.
@@ -354,12 +297,11 @@ SEVERITY_ICONS = {"CRITICAL": "🔴", "HIGH": "🟠", "MEDIUM": "🟡", "LOW": "
 
 def findings_report(found: DataFrame) -> DataFrame:
     """One line of text per finding."""
-    line = F.concat(
-        case_of(F.col("severity"), SEVERITY_ICONS, "⚪"), F.lit(" ["), F.col("severity"), F.lit("] "),
-        F.col("title"), F.lit(" | affected "), fixed(F.col("affected_fraction") * 100, 1),
-        F.lit("% | confidence "), fixed(F.col("confidence") * 100, 0), F.lit("%"),
+    line = (
+        f"{case_sql('severity', SEVERITY_ICONS, '⚪')} || ' [' || severity || '] ' || title || ' | affected ' || "
+        f"{percent_sql('affected_fraction')} || ' | confidence ' || {percent_sql('confidence', 0)} AS line"
     )
-    return found.select("finding_id", "impact_score", line.alias("line"))
+    return found.selectExpr("finding_id", "impact_score", line)
 
 
 def export_rules(found: DataFrame) -> DataFrame:

@@ -12,31 +12,20 @@ PII_WORDS = [
 ]
 
 
-def semantic_role() -> Column:
-    """Role from name, class and counts; the first rule that holds wins.
-
-    Reads the columns physical_type, column, row_count, unique_count and null_fraction.
-    """
-    name = F.lower("column")
-    kind = F.col("physical_type")
-    rows = F.col("row_count")
-    unique = F.coalesce(F.col("unique_count"), F.lit(0))
-    ratio = F.when(rows > 0, unique / rows)
-    nulls = F.coalesce(F.col("null_fraction"), F.lit(1.0))
-    key_like = (ratio > 0.95) & kind.isin("INTEGER", "STRING") & (nulls < 0.05)
-    few = (ratio < 0.05) | ((rows > 0) & (unique < 100))
-    return (
-        F.when((kind == "DATETIME") | name.endswith("_at") | name.endswith("_date"), "DATETIME")
-        .when((name == "id") | name.endswith("_id"), "IDENTIFIER")
-        .when(key_like, "IDENTIFIER")
-        .when((kind == "BOOLEAN") | name.startswith("is_") | name.startswith("has_"), "BOOLEAN")
-        .when(kind == "DOUBLE", "MEASURE")
-        .when((kind == "INTEGER") & (rows > 100) & (unique < 10), "CATEGORY")
-        .when(kind == "INTEGER", "MEASURE")
-        .when((kind == "STRING") & few, "CATEGORY")
-        .when(kind == "STRING", "TEXT")
-        .otherwise("UNKNOWN")
-    )
+# Fixed order: the first rule that holds wins. A missing null fraction counts as 1.
+ROLE = """CASE
+  WHEN physical_type = 'DATETIME' OR endswith(lower(column), '_at') OR endswith(lower(column), '_date') THEN 'DATETIME'
+  WHEN lower(column) = 'id' OR endswith(lower(column), '_id') THEN 'IDENTIFIER'
+  WHEN row_count > 0 AND coalesce(unique_count, 0) / nullif(row_count, 0) > 0.95
+    AND physical_type IN ('INTEGER', 'STRING') AND coalesce(null_fraction, 1.0D) < 0.05 THEN 'IDENTIFIER'
+  WHEN physical_type = 'BOOLEAN' OR startswith(lower(column), 'is_') OR startswith(lower(column), 'has_') THEN 'BOOLEAN'
+  WHEN physical_type = 'DOUBLE' THEN 'MEASURE'
+  WHEN physical_type = 'INTEGER' AND row_count > 100 AND coalesce(unique_count, 0) < 10 THEN 'CATEGORY'
+  WHEN physical_type = 'INTEGER' THEN 'MEASURE'
+  WHEN physical_type = 'STRING' AND row_count > 0
+    AND (coalesce(unique_count, 0) / nullif(row_count, 0) < 0.05 OR coalesce(unique_count, 0) < 100) THEN 'CATEGORY'
+  WHEN physical_type = 'STRING' THEN 'TEXT'
+  ELSE 'UNKNOWN' END"""
 
 
 def sensitivity(name: Column) -> Column:
@@ -47,6 +36,6 @@ def classify(p: DataFrame) -> DataFrame:
     """Add physical_type, semantic_role and sensitivity to a long profile."""
     return (
         p.withColumn("physical_type", physical_type(F.col("type")))
-        .withColumn("semantic_role", semantic_role())
+        .withColumn("semantic_role", F.expr(ROLE))
         .withColumn("sensitivity", sensitivity(F.col("column")))
     )

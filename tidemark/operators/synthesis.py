@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import fixed
+from ..functions.text import fixed_sql
 
 KEY = ["dataset_id", "version_number"]
 MAX_CONTEXT_CHARS = 100_000  # fixed value
@@ -70,16 +70,9 @@ def strongest_of_investigation(findings: DataFrame, strongest: DataFrame) -> Dat
 
 def change_lines(changes: DataFrame) -> DataFrame:
     """Text of each schema and column change."""
-    text = F.when(
-        F.col("change_kind") == "schema",
-        F.concat(F.lit("- Schema "), F.col("change_type"), F.lit(" on column '"), F.col("column"), F.lit("'")),
-    ).otherwise(
-        F.concat(
-            F.lit("- "), F.col("metric"), F.lit(" on '"), F.col("column"), F.lit("' shifted (delta: "),
-            fixed(F.col("absolute_delta"), 4), F.lit(")"),
-        )
-    )
-    return changes.select(*KEY, "change_id", "change_kind", text.alias("line"))
+    line = f"""CASE WHEN change_kind = 'schema' THEN '- Schema ' || change_type || ' on column \\'' || column || '\\''
+      ELSE '- ' || metric || ' on \\'' || column || '\\' shifted (delta: ' || {fixed_sql('absolute_delta', 4)} || ')' END AS line"""
+    return changes.selectExpr(*KEY, "change_id", "change_kind", line)
 
 
 def report(
@@ -134,7 +127,7 @@ def report(
             F.col("strongest_candidate_id").isNotNull(),
             F.concat(
                 F.lit("- "), F.col("strongest_explanation"), F.lit(" Status: "), F.col("strongest_status"),
-                F.lit(" Confidence: "), fixed(F.col("strongest_confidence") * 100, 1), F.lit("%"),
+                F.lit(" Confidence: "), F.expr(fixed_sql("(strongest_confidence * 100)", 1)), F.lit("%"),
             ),
         )
         .when(F.col("_have"), "- Multiple candidates exist, but none are strong enough.")

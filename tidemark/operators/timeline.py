@@ -107,4 +107,4 @@ def build(
         out = out.unionByName(
             _event(resolutions, 9, "RESOLUTION_CREATED", F.col("investigation_id"), text, "ENGINEER")
         )
-    return out.withColumn("event_id", stable_id("evt", F.col("event_type"), F.col("entity_id")))
+    return out.withColumn("event_id", stable_id("evt", "event_type", "entity_id"))
