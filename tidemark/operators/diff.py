@@ -45,8 +45,7 @@ def paired(p: DataFrame) -> DataFrame:
         "dataset_id", (F.col("version_number") + 1).alias("version_number"), "column",
         *[F.col(c).alias(f"prev_{c}") for c in SIDE],
     )
-    ids = pairs.select(*KEY)
-    both = cur.join(ids, KEY, "left_semi").join(prev.join(ids, KEY, "left_semi"), [*KEY, "column"], "full")
+    both = cur.join(prev, [*KEY, "column"], "full").join(pairs.select(*KEY), KEY, "left_semi")
     total = pairs.select(
         *KEY,
         F.lit(DATASET_COLUMN).alias("column"),

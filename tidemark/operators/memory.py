@@ -9,14 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.ordered import pick_by
-
 # Weights of a shared dataset, metric and column, and the highest score.
 SAME_DATASET = 0.5
 SHARED_METRIC = 0.3
 SHARED_COLUMN = 0.3
 MAX_SCORE = 1.0
-SALTS = 32
 
 
 def signatures(investigations: DataFrame, traits: DataFrame) -> DataFrame:
@@ -61,7 +58,7 @@ def similar(current: DataFrame, resolved: DataFrame, k: int = 3) -> DataFrame:
     past = _newest_members(_signature(resolved), k + 1)
     now = _signature(current.select("investigation_id", "dataset_name", "metrics", "columns"))
 
-    past_sig = pick_by(past, ["_sig"], ["created_at", "investigation_id"], last=True)
+    past_sig = past.filter("_nth = 1")
     now_sig = now.select("_sig", "dataset_name", "metrics", "columns").dropDuplicates(["_sig"])
     a = now_sig.select("_sig", F.explode(_tokens()).alias("token")).alias("a")
     newest = F.struct("created_at", "investigation_id").alias("newest")
@@ -90,19 +87,17 @@ def similar(current: DataFrame, resolved: DataFrame, k: int = 3) -> DataFrame:
         F.desc("similarity_score"), F.desc("created_at"), F.desc("investigation_id")
     )
     top = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return top.withColumn("matched_factors", factors()).drop("_now", "_past", "_cm", "_cc", "metrics", "columns")
+    return top.withColumn("matched_factors", factors()).drop("_now", "_past", "_nth", "_cm", "_cc", "metrics", "columns")
 
 
 def _newest_members(resolved: DataFrame, n: int) -> DataFrame:
-    """The newest ``n`` of each signature: later ones outrank no member that is kept.
+    """The newest ``n`` of each signature, numbered: later ones outrank no member that is kept.
 
-    A first cut inside salted parts keeps a signature shared by very many investigations off one task.
+    Spark applies the row-number limit before the shuffle too, so a signature shared by very many
+    investigations sends at most ``n`` rows per task.
     """
-    newest = [F.desc("created_at"), F.desc("investigation_id")]
-    salted = resolved.withColumn("_salt", F.pmod(F.xxhash64("investigation_id"), F.lit(SALTS)))
-    inside = W.partitionBy("_sig", "_salt").orderBy(*newest)
-    cut = salted.withColumn("_r", F.row_number().over(inside)).filter(F.col("_r") <= n).drop("_r", "_salt")
-    return cut.withColumn("_r", F.row_number().over(W.partitionBy("_sig").orderBy(*newest))).filter(F.col("_r") <= n).drop("_r")
+    newest = W.partitionBy("_sig").orderBy(F.desc("created_at"), F.desc("investigation_id"))
+    return resolved.withColumn("_nth", F.row_number().over(newest)).filter(F.col("_nth") <= n)
 
 
 def score() -> Column:

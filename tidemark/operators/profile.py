@@ -50,6 +50,8 @@ def profile(
         out = out.unionByName(p)
     if exact_names:
         counts = distinct_counts(df, by, exact_names)
+        if not by:
+            counts = F.broadcast(counts)  # one row per column
         left, right = out.alias("p"), counts.alias("d")
         on = F.col("p.column") == F.col("d.column")
         for k in by:
@@ -168,23 +170,21 @@ def distinct_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) ->
     shuffle: a frequent value costs one row per task. Store a CSV or a join result before counting it.
     """
     keys = [_col(k) for k in by]
-    if len(columns) == 1:
-        counted = df.groupBy(*keys).agg(F.count_distinct(_col(columns[0])).alias("unique_count"))
-        return counted.select(*keys, F.lit(columns[0]).alias("column"), "unique_count")
+    names = [name_sql(k) for k in by]
     kinds: dict[str, list[tuple[str, Column]]] = {}
     for c in columns:
         kind, value = _plain_value(df.schema[c], value_text(df, c))
         kinds.setdefault(kind, []).append((c, value))
     out = None
     for members in kinds.values():
-        values = df.select(*keys, *[v.alias(f"_v{i}") for i, (_, v) in enumerate(members)])
+        values = df.select(*[_col(k) for k in by], *[v.alias(f"_v{i}") for i, (_, v) in enumerate(members)])
         pairs = ", ".join(f"{i}, _v{i}" for i in range(len(members)))
-        stacked = values.selectExpr(*[name_sql(k) for k in by], f"stack({len(members)}, {pairs}) AS (_i, _v)")
-        counts = stacked.groupBy(*keys, "_i").agg(F.count_distinct("_v").alias("unique_count"))
-        names = ", ".join(value_sql(c) for c, _ in members)
-        rows = counts.selectExpr(*[name_sql(k) for k in by], f"array({names})[_i] AS column", "unique_count")
+        stacked = values.selectExpr(*names, f"stack({len(members)}, {pairs}) AS (_i, _v)")
+        labels = ", ".join(value_sql(c) for c, _ in members)
+        # Nulls stay until after the distinct: a column of nothing but nulls must still count 0 per group.
+        rows = stacked.distinct().selectExpr(*names, f"array({labels})[_i] AS column", "_v IS NOT NULL AS _known")
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out.groupBy(*names, "column").agg(F.expr("count_if(_known) AS unique_count"))
 
 
 def value_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:

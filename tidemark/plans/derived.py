@@ -85,7 +85,7 @@ class Case:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.profiles = pair_profiles(spark, sf_dir)
         self.changes = settle(diff.changes(self.profiles))
-        self.findings = settle(drift.findings(self.changes))
+        self.findings = drift.findings(self.changes)
         self.investigations = drift.open_investigations(self.findings)
 
     def attribute(self) -> Case:
@@ -104,7 +104,7 @@ class Case:
             F.concat(F.lit("exp_"), "hypothesis_id").alias("experiment_id"), "hypothesis_id",
             F.col("null_count").alias("row_count"), F.lit(None).cast("string").alias("error_message"),
         )
-        self.validations = settle(experiment.verdicts(runs))
+        self.validations = experiment.verdicts(runs)
         return self
 
     def rank(self) -> Case:

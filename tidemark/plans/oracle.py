@@ -376,6 +376,15 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "daily_pairs": (("daily",), PAIRS.format("daily")),
     "daily_joined": (("daily", "daily_pairs"), joined_sql("daily", "daily_pairs")),
+    "weekly": (
+        (),
+        profile_sql(
+            "events", "events", version_keys("events", "1 + floor((dayofmonth(ts) - 1) / 7)"),
+            "GROUP BY floor((dayofmonth(ts) - 1) / 7)",
+        ),
+    ),
+    "weekly_pairs": (("weekly",), PAIRS.format("weekly")),
+    "weekly_joined": (("weekly", "weekly_pairs"), joined_sql("weekly", "weekly_pairs")),
     "datasets": (
         (),
         "SELECT n_nationkey AS dataset_id, n_name AS name, 'ws_' || n_regionkey AS workspace_id FROM nation",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.shared import settle
 from ..operators import experiment, memory, registry, synthesis, timeline
 from . import derived
 from .catalog import query, select
@@ -255,29 +256,35 @@ GROUP BY ALL
 SIGNATURE_TABLES = ("incidents", "versions", "datasets", "issue")
 
 
-def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = registry.enriched(
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.enriched(
         derived.investigations(spark, sf_dir), derived.versions(spark, sf_dir), derived.datasets(spark, sf_dir)
     ).drop("dataset_version_number", "version_id", "description")
-    return memory.signatures(named, derived.findings(spark, sf_dir).select("investigation_id", "metric", "column"))
+
+
+def _traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.findings(spark, sf_dir).select("investigation_id", "metric", "column")
 
 
 @query("memory_signature", select(f"""
 SELECT investigation_id, dataset_name, array_to_string(metrics, ',') AS metrics, array_to_string(columns, ',') AS columns FROM ({SIGNATURE_SQL})""", *SIGNATURE_TABLES))
 def memory_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _signatures(spark, sf_dir).select(
+    return memory.signatures(_named(spark, sf_dir), _traits(spark, sf_dir)).select(
         "investigation_id", "dataset_name", F.array_join("metrics", ",").alias("metrics"), F.array_join("columns", ",").alias("columns")
     )
 
 
 def _recall(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Matches of the newest investigation under way in each dataset."""
-    rows = _signatures(spark, sf_dir)
-    newest = rows.filter("status = 'INVESTIGATING'").groupBy("dataset_name").agg(
+    named = _named(spark, sf_dir)
+    newest = named.filter("status = 'INVESTIGATING'").groupBy("dataset_name").agg(
         F.max(F.struct("created_at", "investigation_id"))["investigation_id"].alias("investigation_id")
     )
-    current = rows.join(newest.select("investigation_id"), "investigation_id", "left_semi")
-    return memory.similar(current, rows.filter("status = 'RESOLVED'"), k)
+    current = named.join(newest.select("investigation_id"), "investigation_id", "left_semi")
+    wanted = current.unionByName(named.filter("status = 'RESOLVED'"))
+    traits = _traits(spark, sf_dir).join(wanted.select("investigation_id"), "investigation_id", "left_semi")
+    rows = settle(memory.signatures(wanted, traits))
+    return memory.similar(rows.filter("status = 'INVESTIGATING'"), rows.filter("status = 'RESOLVED'"), k)
 
 
 RECALL_SQL = f"""

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.shared import new_path
 from ..operators import profile as prof, transform
 from ..sources import fingerprints, readers, store
+from ..streaming import ingest
 from .catalog import query, select
 from .derived import daily_profiles, event_versions, keyed, order_versions, read
-from .oracle import SCHEMAS, columns, profile_sql
+from .oracle import CHANGES, SCHEMAS, columns, profile_sql
 
 GIVEN = [t for t in SCHEMAS if t not in ("ev2", "ord2")]
 CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
@@ -326,3 +327,31 @@ def transform_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev2 = event_versions(spark, sf_dir)[1]
     out = transform.transform_check(ev2, transform.fill_nulls(ev2, "value", 0.0), ["value"])
     return out.withColumn("absolute_delta", F.round("absolute_delta", 6))
+
+
+# Ingestion
+
+
+@query("ingest_stream", select(
+    'SELECT dataset_id, CAST(version_number AS BIGINT) AS version_number, "column", change_kind, metric, change_type, '
+    f"round(absolute_delta, 6) AS absolute_delta FROM ({CHANGES.replace('FROM joined', 'FROM weekly_joined').replace('FROM pairs', 'FROM weekly_pairs')})",
+    "weekly_joined"))
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks of events arriving as versions, one of them twice, through the streaming ingest."""
+    root = new_path(spark, "ingest")
+    events = read(spark, sf_dir, "events")
+    week = F.floor((F.dayofmonth("ts") - 1) / 7).cast("int") + 1
+    events.withColumn("week", week).write.partitionBy("week").parquet(f"{root}/events")
+    for arrival, w in enumerate([1, 2, 2, 3, 4, 5], start=1):
+        row = spark.range(1).select(
+            F.lit("events").alias("dataset_id"), F.lit(f"{root}/events/week={w}").alias("path"),
+            F.lit("parquet").alias("format"),
+            F.lit(f"hash{w}").alias("file_hash"), F.lit(arrival).cast("bigint").alias("arrival"),
+        )
+        row.coalesce(1).write.mode("append").json(f"{root}/manifests")
+    ingest.watch(spark, f"{root}/manifests", f"{root}/registry", f"{root}/checkpoint", per_batch=3).awaitTermination()
+    found = spark.read.parquet(f"{root}/registry/changes")
+    return found.select(
+        "dataset_id", "version_number", "column", "change_kind", "metric", "change_type",
+        F.round("absolute_delta", 6).alias("absolute_delta"),
+    )
