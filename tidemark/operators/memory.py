@@ -57,37 +57,41 @@ def similar(current: DataFrame, resolved: DataFrame, k: int = 3) -> DataFrame:
     """
     past = _newest_members(_signature(resolved), k + 1)
     now = _signature(current.select("investigation_id", "dataset_name", "metrics", "columns"))
-
-    past_sig = past.filter("_nth = 1")
-    now_sig = now.select("_sig", "dataset_name", "metrics", "columns").dropDuplicates(["_sig"])
-    a = now_sig.select("_sig", F.explode(_tokens()).alias("token")).alias("a")
-    newest = F.struct("created_at", "investigation_id").alias("newest")
-    b = past_sig.select("_sig", newest, F.explode(_tokens()).alias("token")).alias("b")
-    kind = F.left(F.col("a.token"), F.lit(1))
+    # Each signature goes by the id of one member: numbers make smaller keys than the signature text.
+    past_sig = past.filter("_nth = 1").withColumnRenamed("investigation_id", "_past")
+    now_sig = now.groupBy("_sig").agg(
+        F.min("investigation_id").alias("_now"),
+        *[F.any_value(c).alias(c) for c in ("dataset_name", "metrics", "columns")],
+    )
+    a = now_sig.select("_now", F.explode(_tokens()).alias("_token"))
+    b = past_sig.select("_past", "created_at", F.explode(_tokens()).alias("_token"))
+    kind = F.left("_token", F.lit(1))
     overlap = (
-        a.join(b, F.col("a.token") == F.col("b.token"))
-        .groupBy(F.col("a._sig").alias("_now"), F.col("b._sig").alias("_past"))
+        a.join(b, "_token")
+        .groupBy("_now", "_past", "created_at")
         .agg(
-            F.max((kind == "d").cast("int")).alias("same_dataset"),
+            F.count_if(kind == "d").alias("same_dataset"),
             F.count_if(kind == "m").alias("n_metrics"),
             F.count_if(kind == "c").alias("n_columns"),
-            F.max("b.newest").alias("_newest"),
         )
     )
-    scored = overlap.withColumn("similarity_score", score())
-    best = _best_signatures(scored, k + 1)
+    best = _best_signatures(overlap.withColumn("similarity_score", score()), k + 1)
+    wanted = now.select(
+        F.col("investigation_id").alias("current_id"), "_sig", F.col("dataset_name").alias("current_dataset"),
+        F.col("metrics").alias("_cm"), F.col("columns").alias("_cc"),
+    )
+    members = past.join(past_sig.select("_sig", "_past"), "_sig").drop("_sig", "_nth")
     pairs = (
-        now.select(F.col("investigation_id").alias("current_id"), F.col("_sig").alias("_now"),
-                   F.col("dataset_name").alias("current_dataset"), F.col("metrics").alias("_cm"), F.col("columns").alias("_cc"))
+        wanted.join(now_sig.select("_sig", "_now"), "_sig")
         .join(best, "_now")
-        .join(past.withColumnRenamed("_sig", "_past"), "_past")
+        .join(members, "_past")
         .filter(F.col("current_id") != F.col("investigation_id"))
     )
     order = W.partitionBy("current_id").orderBy(
         F.desc("similarity_score"), F.desc("created_at"), F.desc("investigation_id")
     )
     top = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return top.withColumn("matched_factors", factors()).drop("_now", "_past", "_nth", "_cm", "_cc", "metrics", "columns")
+    return top.withColumn("matched_factors", factors()).drop("_sig", "_now", "_past", "_cm", "_cc", "metrics", "columns")
 
 
 def _newest_members(resolved: DataFrame, n: int) -> DataFrame:
@@ -112,8 +116,8 @@ def _best_signatures(scored: DataFrame, n: int) -> DataFrame:
 
     Any other signature has ``n`` better ones, each with a member that outranks all of its own.
     """
-    top = W.partitionBy("_now").orderBy(F.desc("similarity_score"), F.desc("_newest"))
-    return scored.withColumn("_rank", F.row_number().over(top)).filter(F.col("_rank") <= n).drop("_rank", "_newest")
+    top = W.partitionBy("_now").orderBy(F.desc("similarity_score"), F.desc("created_at"), F.desc("_past"))
+    return scored.withColumn("_rank", F.row_number().over(top)).filter(F.col("_rank") <= n).drop("_rank", "created_at")
 
 
 def factors() -> Column:
