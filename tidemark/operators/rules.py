@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.shared import settle
 from ..functions.text import case_sql, fixed_sql, percent_sql, stable_id, value_sql
 from .profile import distinct_counts, profile
 from .semantics import classify
@@ -268,6 +269,19 @@ def findings(results: DataFrame, semantics: DataFrame) -> DataFrame:
     )
 
 
+def quality_findings(df: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """Findings of a table: profile, classify, evaluate, score.
+
+    The first pass is approximate. Exact distinct counts are taken only for the columns that are
+    identifiers, as Unique applies to no other role.
+    """
+    semantics = settle(classify(profile(df)))
+    if rules is None:
+        ids = semantics.filter("semantic_role = 'IDENTIFIER'").select("column").collect()  # at most all columns
+        rules = [not_null(c) for c in df.columns] + [unique(r[0]) for r in ids]
+    return findings(evaluate(df, rules), semantics)
+
+
 def ranked(found: DataFrame) -> DataFrame:
     return found.orderBy(F.desc("impact_score"), "column", "rule")
 
