@@ -40,5 +40,5 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_every_query_but_file_listings_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"file_fingerprint", "file_hash", "oversize_files"}
+def test_every_query_has_sql():
+    assert set(entry.queries()) == set(entry.oracle_sql())

@@ -15,7 +15,8 @@ ALLOWED_MOVES = ["OPEN>INVESTIGATING", "OPEN>REJECTED", "INVESTIGATING>RESOLVED"
 
 def new_arrivals(versions: DataFrame, arrivals: DataFrame, order: list[str]) -> DataFrame:
     """Arrivals whose (dataset_id, file_hash) is unknown, one per hash; the first arrival stays."""
-    fresh = arrivals.join(versions.select("dataset_id", "file_hash"), ["dataset_id", "file_hash"], "left_anti")
+    known = versions.select("dataset_id", "file_hash").distinct()
+    fresh = arrivals.join(known, ["dataset_id", "file_hash"], "left_anti")
     return pick_by(fresh, ["dataset_id", "file_hash"], order)
 
 
@@ -73,7 +74,8 @@ def search(
         out = out.filter(F.col("title").ilike(f"%{literal}%") | F.col("description").ilike(f"%{literal}%"))
     if severity is not None:
         matching = findings.filter(F.col("severity") == severity).select("investigation_id")
-        out = out.join(matching, "investigation_id", "left_semi")
+        # Distinct first: an investigation with very many findings joins as one row.
+        out = out.join(matching.distinct(), "investigation_id", "left_semi")
     return out
 
 

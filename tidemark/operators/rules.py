@@ -269,17 +269,20 @@ def findings(results: DataFrame, semantics: DataFrame) -> DataFrame:
     )
 
 
-def quality_findings(df: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """Findings of a table: profile, classify, evaluate, score.
+def quality_findings(df: DataFrame, extra: Sequence[Rule] = ()) -> DataFrame:
+    """Findings of a table by NotNull and Unique on every column they apply to, and by any extra rules.
 
-    The first pass is approximate. Exact distinct counts are taken only for the columns that are
-    identifiers, as Unique applies to no other role.
+    One approximate profile gives the roles and the exact null counts. Exact distinct counts are then taken
+    for the identifiers alone, as Unique applies to no other role; only those columns are read again.
     """
-    semantics = settle(classify(profile(df)))
-    if rules is None:
-        ids = semantics.filter("semantic_role = 'IDENTIFIER'").select("column").collect()  # at most all columns
-        rules = [not_null(c) for c in df.columns] + [unique(r[0]) for r in ids]
-    return findings(evaluate(df, rules), semantics)
+    p = settle(profile(df))
+    semantics = classify(p)
+    ids = semantics.filter("semantic_role = 'IDENTIFIER'").select("column").collect()  # at most all columns
+    results = results_from_profile(p).filter("rule = 'NotNullRule'")
+    checks = [unique(r[0]) for r in ids] + list(extra)
+    if checks:
+        results = results.unionByName(evaluate(df, checks))
+    return findings(results, semantics)
 
 
 def ranked(found: DataFrame) -> DataFrame:

@@ -104,6 +104,12 @@ def quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.ranked(_found(spark, sf_dir))
 
 
+@query("investigate_table", select("SELECT * EXCLUDE (dataset_id, finding_id) FROM quality WHERE dataset_id = 'events'", "quality"))
+def investigate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of one table from an approximate profile, with exact counts for its identifiers only."""
+    return rules.ranked(rules.quality_findings(event_versions(spark, sf_dir)[1])).drop("finding_id")
+
+
 @query("impact_scores", select(
     'SELECT dataset_id, rule, "column", semantic_role, violations, affected_fraction, confidence, impact_score FROM impacts', "impacts"))
 def impact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

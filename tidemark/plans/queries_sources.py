@@ -93,19 +93,49 @@ def schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.schema_fingerprint(_schemas(spark, sf_dir))
 
 
-@query("file_fingerprint")
-def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.file_fingerprints(spark, sf_dir)
+FILES_SQL = """
+SELECT CAST(floor(c_custkey / 500) AS BIGINT) AS part, string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10) AS body
+FROM customer GROUP BY 1
+"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> str:
+    """Customer names written as text files of up to 500 lines in key order, one file per part."""
+    customer = read(spark, sf_dir, "customer").withColumn("part", F.floor(F.col("c_custkey") / 500))
+    path = new_path(spark, "names")
+    placed = customer.repartition("part").sortWithinPartitions("part", "c_custkey")
+    placed.select("part", F.col("c_name").alias("value")).write.partitionBy("part").text(path)
+    return path
 
 
-@query("file_hash")
+@query("file_hash", f"SELECT part, CAST(strlen(body) AS BIGINT) AS length, sha256(body) AS sha256 FROM ({FILES_SQL})")
 def file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.file_hashes(spark, sf_dir)
+    return _with_part(fingerprints.file_hashes(spark, _files(spark, sf_dir))).select("part", "length", "sha256")
 
 
-@query("oversize_files")
+@query("file_fingerprint", f"SELECT part, CAST(strlen(body) AS BIGINT) AS length, true AS stable, true AS schema_matters FROM ({FILES_SQL})")
+def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints stay the same when listed again, and change with the schema fingerprint."""
+    path = _files(spark, sf_dir)
+    one = fingerprints.file_fingerprints(spark, path, "a").alias("one")
+    two = fingerprints.file_fingerprints(spark, path, "a").alias("two")
+    other = fingerprints.file_fingerprints(spark, path, "b").alias("other")
+    joined = one.join(two, F.col("one.path") == F.col("two.path")).join(other, F.col("one.path") == F.col("other.path"))
+    out = joined.select(
+        F.col("one.path").alias("path"), F.col("one.length").alias("length"),
+        (F.col("one.fingerprint") == F.col("two.fingerprint")).alias("stable"),
+        (F.col("one.fingerprint") != F.col("other.fingerprint")).alias("schema_matters"),
+    )
+    return _with_part(out).select("part", "length", "stable", "schema_matters")
+
+
+@query("oversize_files", f"SELECT part, CAST(strlen(body) AS BIGINT) AS length FROM ({FILES_SQL}) WHERE strlen(body) > 1500")
 def oversize_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.oversize_files(spark, sf_dir, max_bytes=100_000)
+    return _with_part(readers.oversize_files(spark, _files(spark, sf_dir), max_bytes=1500)).select("part", "length")
+
+
+def _with_part(files: DataFrame) -> DataFrame:
+    return files.withColumn("part", F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint"))
 
 
 @query(
