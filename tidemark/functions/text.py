@@ -39,10 +39,6 @@ def percent_sql(fraction: str, digits: int = 1) -> str:
     return f"{fixed_sql(f'({fraction} * 100)', digits)} || '%'"
 
 
-def fixed(value: str, digits: int) -> Column:
-    return F.expr(fixed_sql(value, digits))
-
-
 def stable_id(prefix: str, *parts: str) -> Column:
     """Id made from a natural key given as SQL texts, so that a rerun yields the same rows."""
     texts = ", ".join(f"coalesce(CAST({p} AS STRING), '')" for p in parts)

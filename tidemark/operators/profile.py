@@ -193,13 +193,6 @@ def value_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> Da
     return values.groupBy(*[_col(k) for k in by], "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def from_records(records: DataFrame) -> DataFrame:
-    """Profile rows from given statistics, with the derived fraction filled in."""
-    rows = F.col("row_count")
-    filled = F.when(rows > 0, F.col("unique_count") / rows).otherwise(F.lit(0.0))
-    return records.withColumn("unique_fraction", F.coalesce(F.col("unique_fraction"), filled))
-
-
 def report(p: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One line of text per column: ``name (type): n unique, p% nulls``."""
     line = f"column || ' (' || type || '): ' || unique_count || ' unique, ' || {percent_sql('null_fraction')} || ' nulls'"

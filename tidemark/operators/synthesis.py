@@ -107,8 +107,11 @@ def report(
     out = out.unionByName(lines(changed, 2, order, F.col("line")))
     quiet = ids.join(changes.select(*KEY), KEY, "left_anti")
     out = out.unionByName(lines(quiet, 2, F.lit("1"), F.lit("- No historical changes detected.")))
+    best_first = (
+        "concat_ws('|', 9 - relevance_score, format_string('%.3f', 1 - confidence), change_column, change_type, finding_id)"
+    )
     out = out.unionByName(
-        lines(attributions.join(ids, KEY), 3, F.col("attribution_id"),
+        lines(attributions.join(ids, KEY), 3, F.expr(best_first),
               F.concat(F.lit("- ["), F.col("relevance"), F.lit("] "), F.col("reason")))
     )
     tested = hypotheses.join(ids, KEY).join(validations.select("hypothesis_id", "verdict"), "hypothesis_id", "left")

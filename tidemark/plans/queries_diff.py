@@ -419,6 +419,32 @@ def experiment_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, row_count bigint, columns string, n_sample bigint, status string")
 
 
+GUARDED = {
+    "plain": "SELECT * FROM dataset",
+    "with": "WITH e AS (SELECT * FROM dataset WHERE event_type = 'error') SELECT user_id FROM e",
+    "delete": "DELETE FROM dataset WHERE value > 0",
+    "insert": "INSERT INTO dataset SELECT * FROM dataset",
+    "create": "CREATE TABLE copy AS SELECT * FROM dataset",
+    "two statements": "SELECT 1; DROP VIEW dataset",
+    "setting": "SET spark.sql.runSQLOnFiles = true",
+    "another table": "SELECT * FROM other",
+    "jvm call": "SELECT reflect('java.lang.System', 'nanoTime') FROM dataset",
+    "afterwards": "SELECT event_id FROM dataset",
+}
+
+
+@query("experiment_guard", "\nUNION ALL ".join(
+    f"SELECT '{name}' AS name, '{'COMPLETED' if kept else 'FAILED'}' AS status, count(*) FILTER (WHERE {kept or 'false'}) AS row_count FROM events"
+    for name, kept in {**dict.fromkeys(GUARDED), "plain": "true", "with": "event_type = 'error'", "afterwards": "true"}.items()))
+def experiment_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries run over the whole table; any other statement fails and leaves the table as it is."""
+    rows = []
+    for name, sql in GUARDED.items():
+        r = experiment.run(spark, _load(sf_dir, "events"), sql, sample_limit=1)
+        rows.append((name, r.status, r.row_count))
+    return spark.createDataFrame(rows, "name string, status string, row_count bigint")
+
+
 # Audit of responses
 
 VIOLATION = "SELECT response_id, '{0}' AS \"check\", '{1}' AS severity, {2} AS detail FROM "
