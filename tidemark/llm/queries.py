@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import line_chunks
+from .byte_bpe import round_trip
 from .decontaminate import decontaminate
+from .order_minhash import near_duplicates
 from .quality_rules import quality_rules
 from .tables import table
 
@@ -15,13 +18,29 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = line_chunks.dedup_lines(table(spark, sf_dir, "documents"), n_lines_col="n_lines", n_removed_col="n_removed_lines")
+    return made.select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_byte_bpe": op4_byte_bpe,
     "op7_decontamination": op7_decontamination,
+    "op8_line_chunks": op8_line_chunks,
+    "op10_order_minhash": op10_order_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_chunks": line_chunks.ORACLE}
