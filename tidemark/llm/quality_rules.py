@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.shared import settle
 from .blocks import ALNUM, NOT_BLANK, blocks, byte_table, counts, kgrams, mix, word_hashes, word_spans
+from .labelled import teaching_labels
 from .tables import free_name
 
 MIN_WORDS = 20
@@ -171,12 +172,6 @@ def certify(cells: pd.DataFrame, strata: int, alpha: float, delta: float) -> pd.
     return pd.DataFrame({"stratum": [cells["stratum"].iloc[0]], "cutoffs": [cutoffs]})
 
 
-def teaching_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    """One row per id: id and label. Ids with contradicting or missing labels are left out."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).dropna()
-    return known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("top")).where("label = top").select("id", "label")
-
-
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Cutoffs by stratum, as a small stored table (stratum, cutoffs).
 
