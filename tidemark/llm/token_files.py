@@ -26,6 +26,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,11 +39,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from ..functions.shared import new_path, settle
+from .memo import Memo
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 SHARD_IDS = 8_000_000
-MEMO = 400_000
+MEMO = 150_000
 EVERY = 512
 #: Shards are read by at most so many tasks, each one shard at a time.
 MOST_READERS = 20_000
@@ -145,22 +147,19 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
-        self.memo: dict[str, bytes] = {}
+        self.pieces, self.words = Memo(self._piece, MEMO), Memo(self._word, MEMO)
+
+    def _piece(self, piece: str) -> bytes:
+        return array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isprintable() and "<|" not in word:
-            ids = [t.id for piece in _ASCII.findall(word.lower()) for t in self.model.tokenize(piece)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, np.int32).tobytes()
+            return b"".join(map(self.pieces.__getitem__, _ASCII.findall(word.lower())))
+        return array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         words = _WORDS.findall(text) if _SEPARATORS.search(text) else text.split()
-        for w in set(words).difference(self.memo):
-            if len(self.memo) >= MEMO + len(words):
-                self.memo = {x: self.memo[x] for x in words if x in self.memo}
-            self.memo[w] = self._word(w)
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
 
 
 @lru_cache(2)
