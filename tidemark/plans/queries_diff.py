@@ -429,13 +429,19 @@ GUARDED = {
     "setting": "SET spark.sql.runSQLOnFiles = true",
     "another table": "SELECT * FROM other",
     "jvm call": "SELECT reflect('java.lang.System', 'nanoTime') FROM dataset",
+    "jvm call by identifier": "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home') FROM dataset",
+    "jvm call behind comments": "SELECT java_method /* a /* b */ c */ ('java.lang.System', 'nanoTime') FROM dataset",
+    "another session": "SELECT * FROM global_temp.secret",
+    "catalog table": "SELECT * FROM default.secret",
+    "relation by identifier": "SELECT * FROM IDENTIFIER('dataset')",
+    "text literal": "SELECT 'see reflect (docs)' AS note FROM dataset",
     "afterwards": "SELECT event_id FROM dataset",
 }
 
 
 @query("experiment_guard", "\nUNION ALL ".join(
     f"SELECT '{name}' AS name, '{'COMPLETED' if kept else 'FAILED'}' AS status, count(*) FILTER (WHERE {kept or 'false'}) AS row_count FROM events"
-    for name, kept in {**dict.fromkeys(GUARDED), "plain": "true", "with": "event_type = 'error'", "afterwards": "true"}.items()))
+    for name, kept in {**dict.fromkeys(GUARDED), "plain": "true", "text literal": "true", "with": "event_type = 'error'", "afterwards": "true"}.items()))
 def experiment_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries run over the whole table; any other statement fails and leaves the table as it is."""
     rows = []
