@@ -1,0 +1,314 @@
+"""Operators that look at one text at a time, against plain Python and the libraries."""
+
+import base64
+import collections
+import hashlib
+import io
+import json
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tidemark.llm import byte_bpe, quality_rules, secret_scan, token_counts, token_files
+
+ALPHABET = [*"abAB01 '  \n\n\t.,!srtvelldméß中  \u0085\x1c😀́̈\x00", "<|endoftext|>", "'re", "'ll", " the", "ing", "AKIA"]
+
+
+def random_texts(n, seed, size=18):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, size))) for _ in range(n)]
+
+
+def pairs_of(texts):
+    return [*enumerate(texts)]
+
+
+# Quality rules
+
+
+def measures(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    grams = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    covered = {j for i in range(len(words) - 7) if grams[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+
+
+def measured(df):
+    rows = quality_rules.measure_texts(df, "doc_id", "text", "lang").select("id", "m.*").collect()
+    return sorted(((r["id"], *(r[m] for m in quality_rules.MEASURES)) for r in rows), key=repr)
+
+
+def test_measures_equal_brute_force(frame, edges, small):
+    for df, rows in ((frame(edges), edges), (small[0], [(r.doc_id, r.text) for r in small[1]])):
+        assert measured(df) == sorted(((i, *measures(t)) for i, t in rows), key=repr)
+
+
+def test_binomial_tail():
+    from math import comb
+
+    for n, k, p in ((10, 0, 0.05), (100, 3, 0.05), (400, 12, 0.05), (7, 7, 0.3)):
+        exact = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+        assert quality_rules.tail(n, k, p) == pytest.approx(exact, rel=1e-9)
+
+
+def brute_rules(rows, labels, alpha, delta):
+    """The same procedure row by row."""
+    def signals(text):
+        n, chars, symbols, dup, rep = measures(text)
+        raw = text.encode()
+        lines = len([x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        capitals, letters = len(re.findall(rb"[A-Z]", raw)), len(re.findall(rb"[A-Za-z]", raw))
+        punctuation = len(re.findall(rb"[^\x20\x09-\x0D0-9A-Za-z\x80-\xff]", raw))
+        return [symbols / max(n, 1), dup / max(lines, 1), rep / max(n, 1), capitals / max(letters, 1), punctuation / max(chars, 1), chars / max(n, 1)]
+
+    data, out = collections.defaultdict(list), {}
+    for r in rows:
+        m = measures(r.text)
+        failed = m[0] < 20 or 100 * m[4] > 30 * m[0]
+        out[r.doc_id] = [failed, not failed, r.lang, signals(r.text)]
+        if not failed and r.doc_id in labels:
+            data[r.lang].append((zlib.crc32(str(r.doc_id).encode()) % 2, labels[r.doc_id] == 1, out[r.doc_id][3]))
+    picks = {}
+    for lang, own in data.items():
+        best = []
+        for s in range(6):
+            good = [x[2][s] for x in own if x[0] == 0 and x[1]]
+            bad = [x[2][s] for x in own if x[0] == 0 and not x[1]]
+            gains = [(sum(v > g for v in bad) / max(len(bad), 1), sum(v > g for v in good) / max(len(good), 1)) for g in quality_rules.GRID]
+            scores = [b - quality_rules.GOOD_WEIGHT * a for b, a in gains]
+            j = int(np.argmax(scores))
+            best.append(quality_rules.GRID[j] if scores[j] >= quality_rules.LEAST_GAIN and gains[j][0] >= quality_rules.LEAST_GAIN else None)
+        if any(c is not None for c in best):
+            picks[lang] = best
+    cutoffs = {}
+    for lang, best in picks.items():
+        good = [max([x[2][s] / c for s, c in enumerate(best) if c is not None]) for x in data[lang] if x[0] == 1 and x[1]]
+        for factor in sorted(quality_rules.PATH, reverse=True):
+            if quality_rules.tail(len(good), sum(v > factor for v in good), alpha) > delta / len(picks):
+                break
+            cutoffs[lang] = [None if c is None else c * factor for c in best]
+    for r in out.values():
+        r[1] = r[1] and not any(c is not None and v > c for v, c in zip(r[3], cutoffs.get(r[2], [None] * 6), strict=True))
+    return {i: (r[0], r[1]) for i, r in out.items()}, cutoffs
+
+
+def test_quality_rules_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.quality_rules(docs, labels).collect()}
+    want, cutoffs = brute_rules(docs.collect(), {r.doc_id: r.quality for r in labels.collect()}, quality_rules.ALPHA, quality_rules.DELTA)
+    assert cutoffs and got == want
+    good = [kept for i, (failed, kept) in got.items() if not failed and i in {r.doc_id for r in labels.where("quality = 1").collect()}]
+    assert sum(good) >= (1 - quality_rules.ALPHA) * len(good)
+
+
+def test_quality_rules_on_edges(spark, frame, edges):
+    labels = spark.createDataFrame([(4, 1), (4, 0), (9, None), (None, 1), (10, 0)], "doc_id bigint, quality int")
+    got = quality_rules.quality_rules(frame(edges), labels)
+    assert got.columns[:8] == ["doc_id", *quality_rules.MEASURES, "base_failed", "kept"]
+    assert all(r.kept == (not r.base_failed) for r in got.collect())  # nothing can be certified
+    kept = quality_rules.keep_good(frame(edges), labels)
+    assert kept.columns == frame(edges).columns
+    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(map(repr, (r.doc_id for r in got.where("kept").collect())))
+    assert kept.where("`row` <> 'own row' OR m <> 'own m'").isEmpty()
+    assert quality_rules.quality_rules(frame([]), labels).count() == 0
+    assert quality_rules.keep_good(frame([]), labels.limit(0)).count() == 0
+
+
+# Token counts
+
+
+def test_token_counts_equal_the_library(frame, edges, small):
+    library = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
+    pieces = [" <|endoftext|>a<|endoftext|>", "a" * 3000, "ab" * 700, "中" * 300, "'s's 'll'x don't '' !'s\r\n \n a", "   x"]
+    texts = edges + pairs_of(random_texts(3000, 5) + pieces) + [(r.doc_id, r.text) for r in small[1]]
+    got = sorted((tuple(r) for r in token_counts.token_counts(frame(texts)).collect()), key=repr)
+    want = []
+    for i, t in texts:
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        want.append((i, len((t or "").encode()), n, n > 1024))
+    assert got == sorted(want, key=repr)
+    assert token_counts.token_counts(frame([])).count() == 0
+
+
+def test_chunk_maps_compose():
+    rng = np.random.default_rng(1)
+    symbols = rng.integers(0, token_counts.CLASSES, 5000).astype(np.uint16)
+    symbols[0] += token_counts.CLASSES
+    to, here, before = token_counts.splitter()
+    state, begins = 0, set()
+    for i, s in enumerate(symbols):
+        if here[state, s]:
+            begins.add(i)
+        if before[state, s]:
+            begins.add(i - 1)
+        state = to[state, s]
+    if before[state, 2 * token_counts.CLASSES]:
+        begins.add(len(symbols) - 1)
+    assert set(token_counts.piece_starts(symbols).tolist()) == begins
+
+
+def test_states_are_forgotten_without_harm(monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.llm.blocks import blocks
+
+    monkeypatch.setattr(token_counts, "STATES", 50)
+    own = token_counts.Counter(public_tokenizers.path(token_counts.VOCABULARY))
+    library = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
+    for seed in range(3):
+        texts = [*random_texts(50, seed), "".join(random_texts(40, seed)).replace(" ", "")]
+        got = [n for _, _, data, at in blocks(pa.array(texts)) for n in token_counts.count_block(own, data, at).tolist()]
+        assert got == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+# Byte-level BPE
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    made = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.RANKS))
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=made, special_tokens={})
+
+
+def test_byte_bpe_equals_ranks(frame, edges, small, ranks):
+    texts = edges + pairs_of(random_texts(3000, 6)) + [(r.doc_id, r.text) for r in small[1]]
+    got = sorted((tuple(r) for r in byte_bpe.round_trip(frame(texts)).collect()), key=repr)
+    want = []
+    for i, t in texts:
+        ids = ranks.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+    assert byte_bpe.round_trip(frame([])).count() == 0
+
+
+def test_every_character_class(ranks):
+    own = byte_bpe.codec(public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN)
+    for point in [*range(0x3400), *range(0xFE00, 0x10000, 3), *range(0x10000, 0x20000, 31)]:
+        if not 0xD800 <= point < 0xE000:
+            text = f"a{chr(point)}b {chr(point)}1 !{chr(point)}! {chr(point)} "
+            assert own.encode(text).tolist() == ranks.encode_ordinary(text), hex(point)
+
+
+def test_offsets_and_split_characters(frame):
+    texts = ["héllo 中文 😀!", "", None, "plain words", "é" * 20]
+    made = byte_bpe.with_ids(frame(pairs_of(texts))).select("doc_id", "text", "_tokens.*", byte_bpe.decoded(F.col("_tokens.ids")).alias("back")).collect()
+    split = 0
+    for r in made:
+        text = r.text or ""
+        assert bytes(r.back) == text.encode()
+        assert r.byte_start == [0, *r.byte_end][: len(r.ids)]
+        for a, b, c, d in zip(r.byte_start, r.byte_end, r.char_start, r.char_end, strict=True):
+            assert text[c:d].encode().find(text.encode()[a:b]) >= 0
+            split += text.encode()[a:b] != text[c:d].encode()
+    assert split > 0
+    own = byte_bpe.codec(public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN)
+    assert "�" in own.decode_text(own.encode("😀")[:1])
+
+
+# Token files
+
+
+def test_elias_fano():
+    rng = random.Random(2)
+    for top in (0, 1, 50, 10**6, 10**12):
+        for n in (0, 1, 2, 511, 513, 3000):
+            values = sorted(rng.randint(0, top) for _ in range(n))
+            made = token_files.EliasFano.read(io.BytesIO(token_files.EliasFano.of(np.array(values, np.uint64)).to_bytes()))
+            assert made.values().tolist() == values
+            assert [made.select(i) for i in range(0, n, 97)] == values[::97]
+            assert n < 500 or len(made.to_bytes()) * 8 <= n * (2.6 + max(0, (top / n)).__ceil__().bit_length()) + 800
+
+
+def test_token_files_read_back(spark, frame, edges, small, monkeypatch):
+    library = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
+    texts = edges + pairs_of(random_texts(800, 7)) + [(-5, "below zero"), (2**62, "far")]
+    for df, rows in ((frame(texts), texts), (small[0], [(r.doc_id, r.text) for r in small[1]])):
+        got = token_files.through_files(df).collect()
+        want = collections.Counter()
+        for i, t in rows:
+            ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+            want[i, len(ids), zlib.crc32(ids.tobytes())] += 1
+        assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+        ordered = sorted(got, key=lambda r: r.start)
+        assert [r.start for r in ordered] == [sum(r.n_tokens for r in ordered[:i]) for i in range(len(ordered))]
+        known = [r.doc_id for r in ordered if r.doc_id is not None]
+        assert known == sorted(known) and all(r.doc_id is None for r in ordered[: len(ordered) - len(known)])
+    assert token_files.through_files(frame([])).count() == 0
+
+
+def test_shards_open_at_any_document(spark, frame, tmp_path):
+    texts = [(i, f"document number {i}") for i in range(40)]
+    manifest = token_files.write_token_files(frame(texts), str(tmp_path / "out")).collect()
+    own, seen = token_files.encoder(public_tokenizers.path(token_files.VOCABULARY)), []
+    for m in manifest:
+        with open(tmp_path / "out" / m["file"], "rb") as f:
+            shard = token_files.Shard(f)
+            for i in reversed(range(shard.n_docs)):
+                seen.append(shard.document(i))
+                assert shard.ids(i).tolist() == [*own.encode(f"document number {shard.document(i)}"), 2]
+    assert sorted(seen) == list(range(40))
+    assert not [x for x in os.listdir(tmp_path / "out") if x.startswith(".") and not x.endswith(".crc")]
+
+
+# Secrets
+
+
+def tlv(tag, data):
+    size = len(data)
+    return bytes([tag]) + (bytes([size]) if size < 128 else bytes([0x82, size >> 8, size & 255])) + data
+
+
+def test_base_spans_equal_the_patterns(frame, edges, small):
+    parts = ["password", "PassWd", "token", "api_key", "apikey", '"', "'", " ", ":", "=", "abcdef", "abc", "AKIA", "ABCD0123456789XYZ", "0123456789abcdef", "\n", "é", "ſecret", "K"]
+    rng = random.Random(9)
+    texts = edges + [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))) for i in range(2000)] + [(r.doc_id, r.text) for r in small[1]]
+    want = []
+    for i, t in texts:
+        t = t or ""
+        found = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+        access = [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        hexes = [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+        text = ",".join(x[2] for x in sorted(found + access + hexes))
+        want.append((i, len(found), len(access), len(hexes), hashlib.sha256(text.encode()).hexdigest(), text))
+    got = [tuple(r) for r in secret_scan.scan_secrets(frame(texts)).collect()]
+    assert sum(w[1] for w in want) and sum(w[2] for w in want) and sum(w[3] for w in want)
+    assert sorted(got, key=repr) == sorted(want, key=repr)  # no structure among these, so no more spans
+    assert secret_scan.scan_secrets(frame([])).count() == 0
+
+
+def test_structures_are_confirmed():
+    rng = random.Random(4)
+    integers = b"".join(tlv(2, rng.randbytes(64)) for _ in range(8))
+    rsa = tlv(0x30, tlv(2, b"\0") + integers)
+    oid = tlv(6, b"\x2a\x86\x48")
+    pkcs8 = tlv(0x30, tlv(2, b"\0") + tlv(0x30, oid) + tlv(4, rsa))
+    sealed = tlv(0x30, tlv(0x30, oid + tlv(0x30, oid)) + tlv(4, rng.randbytes(64)))
+    public = tlv(0x30, tlv(0x30, oid) + tlv(3, b"\0" + rng.randbytes(64)))
+    part = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + part(b"none") * 2 + part(b"") + (1).to_bytes(4, "big") + part(b"x" * 50) + part(b"y" * 100)
+    b64 = lambda b: base64.b64encode(b).decode()
+    url = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).rstrip(b"=").decode()
+    pem = lambda label, b: f"-----BEGIN {label}PRIVATE KEY-----\n{base64.encodebytes(b).decode()}-----END {label}PRIVATE KEY-----"
+    kinds = lambda t: [k for _, _, k in secret_scan.confirmed_spans(t)]
+    for text, kind in (
+        (b64(rsa), "der"), (b64(pkcs8), "der"), (b64(sealed), "der"), (rsa.hex(), "der"), (b64(ssh), "ssh"), (pem("RSA ", rsa), "pem"), (pem("OPENSSH ", ssh), "pem"),
+        (f"{url({'alg': 'HS256'})}.{url({'sub': 1})}.c2ln", "jwt"),
+    ):
+        at = [s for s in secret_scan.confirmed_spans(f"é {text} end") if s[2] == kind]
+        assert at == [(2, 2 + len(text), kind)]
+    for text in (b64(public), b64(rsa[:-1]), b64(rsa + b"\0"), b64(ssh[:-1]), f"{url({'typ': 'x'})}.{url({})}.c2ln", f"{url({'alg': 'x'})}.!!.c", b64(rng.randbytes(300)), "M" * 5000, pem("RSA ", public), "-----BEGIN RSA PRIVATE KEY-----" * 300):
+        assert kinds(text) == []
