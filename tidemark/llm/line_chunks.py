@@ -73,9 +73,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     base = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
     go = removals(chunks(base))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    rows = df.select(row, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-    met = rows.join(go.withColumnsRenamed({"id": "gone_id", "h": "gone_h"}), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left")
-    cut = _steps(met.withColumn("t", F.expr("if(gone IS NULL, '', t)")), 4)
+    rows = df.select(row, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    # What goes grows with the corpus, so it is never broadcast, however small it is here.
+    go = go.withColumnsRenamed({"id": "gone_id", "h": "gone_h"}).hint("merge")
+    met = rows.join(go, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left")
+    cut = _steps(met.select("row", "gone", F.expr(f"if(gone IS NULL, '', row.`{text_col}`) AS t")), 4)
     left = "array_join(filter(texts, (x, j) -> NOT array_contains(gone, j)), '\\n')"
     text: Column = F.expr(f"if(gone IS NULL, row.`{text_col}`, {left})")
     columns = [text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns]
