@@ -25,6 +25,36 @@ def test_unchanged(spark):
     assert diff.summary(p, diff.changes(p)).first()["summary"] == "No changes detected."
 
 
+def test_nan_and_infinity_are_no_change(spark):
+    nan, inf = float("nan"), float("inf")
+    for values in ([1.0, nan, 2.0], [inf, 1.0], [-inf, inf], [nan]):
+        p = prof.profile(spark.createDataFrame([(v,) for v in values], "x double"), exact=True)
+        found = diff.compare(p, p)
+        assert found.isEmpty() and drift.findings(found).isEmpty()
+    p1, p2 = (prof.profile(spark.createDataFrame([(v,)], "x double"), exact=True) for v in (1.0, nan))
+    assert not [r for r in drift.findings(diff.compare(p1, p2)).collect() if "NaN" in r["description"]]
+
+
+def test_approximate_counts_raise_no_cardinality_change(spark):
+    one, two = spark.range(5000).withColumn("k", F.col("id") % 4000), spark.range(5000).withColumn("k", F.col("id") % 2000)
+    kinds = lambda exact: {r["change_type"] for r in diff.compare(prof.profile(one, exact=exact), prof.profile(two, exact=exact)).filter("column = 'k'").collect()}
+    assert "cardinality_shift" in kinds(True) and "cardinality_shift" not in kinds(False)
+
+
+def test_row_diff_over_widened_types(spark):
+    one = spark.createDataFrame([(1, 5, "2024-01-01", 7), (2, 6, None, 8)], "k int, v int, d string, s int").withColumn("d", F.to_date("d"))
+    two = spark.createDataFrame([(1, 5, "2024-01-01", "7"), (2, 7, None, "9")], "k bigint, v bigint, d string, s string").withColumn("d", F.to_timestamp_ntz("d"))
+    got = {r["k"]: (r["row_status"], r["changed_columns"]) for r in diff.row_diff(one, two, ["k"]).collect()}
+    assert got == {1: ("same", []), 2: ("modified", ["v", "s"])}
+
+
+def test_frequencies_keep_whole_values(spark):
+    long = "x" * 500
+    df = spark.createDataFrame([(long, [1]), (long, [2]), (None, None)], "t string, a array<int>")
+    got = {(r["column"], r["value"]): r["n_current"] for r in diff.frequency_diff(df, df, ["t", "a"]).collect()}
+    assert got["t", long] == 2 and got["t", None] == 1 and got["a", '{"a":[1]}'] == 1
+
+
 def test_added_and_removed(spark):
     got = changes(spark, record(1, "old"), record(2, "new"))
     assert set(got) == {("old", "removed"), ("new", "added")}

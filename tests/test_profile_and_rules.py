@@ -196,6 +196,64 @@ def test_referential(spark):
     assert (r["row_count"], r["violations"]) == (5, 2)
 
 
+def test_one_bad_rule_leaves_the_others_alone(spark):
+    df = spark.createDataFrame([("a", 1, None), ("b", 2, "x")], "s string, n int, t string")
+    checks = [
+        rules.not_null("t"), rules.in_range("s", 1, 5), rules.in_range("n", "low", "high"), rules.fresh("n", F.current_timestamp(), 1),
+        rules.matches("s", "(open"), rules.matches("n", "x"), rules.castable("s", "no_type"), rules.member_of("n", ["a"]), rules.in_range("n", 0, 1),
+    ]
+    got = [(r["rule"], r["violations"], r["status"]) for r in rules.evaluate(df, checks).collect()]
+    assert sorted((n, v, s) for n, v, s in got if s != "unknown") == [("NotNullRule", 1, "failed"), ("RangeRule", 1, "failed")]
+    assert len(got) == len(checks)
+
+
+def test_parameters_survive_the_round_trip(spark):
+    df = spark.createDataFrame([("a", 1, "2024-01-01"), ("b", 20, "2024-01-02")], "s string, n int, d string").withColumn("d", F.to_date("d"))
+    checks = [
+        rules.in_range("n", 0, 9), rules.in_range("d", datetime.date(2024, 1, 2)), rules.matches("s", "^a"), rules.member_of("s", ["a", "it's"]),
+        rules.castable("s", "int"), rules.fresh("d", F.lit("2024-02-01"), 24),
+    ]
+    semantics_of = semantics.classify(prof.profile(df))
+    found = rules.findings(rules.evaluate(df, checks), semantics_of)
+    again = rules.rules_from_json([r["rule_json"] for r in rules.export_rules(found).collect()], now=F.lit("2024-02-01"))
+
+    def results(rs):
+        return sorted((r["rule"], r["column"], r["violations"], r["status"]) for r in rules.evaluate(df, rs).collect())
+
+    assert results(again) == results(checks) and all(s == "failed" for *_, s in results(again))
+    ref = rules.referential(df, "n", df.filter("n = 1"), "n", "n")
+    (text,) = [r["rule_json"] for r in rules.export_rules(rules.findings(ref, semantics_of)).collect()]
+    with pytest.raises(ValueError):
+        rules.rules_from_json([text])
+
+
+def test_unique_columns_are_found_without_a_name(spark):
+    for n in (3000, 5000, 7000):
+        df = spark.range(n).select(F.col("id").alias("serial"), (F.col("id") % 7).alias("kind")).union(spark.createDataFrame([(0, 0)], "serial long, kind long"))
+        found = {(r["rule"], r["column"], r["violations"]) for r in rules.quality_findings(df).collect()}
+        assert ("UniqueRule", "serial", 1) in found
+
+
+def test_schema_and_distribution_findings(spark):
+    before, after = spark.createDataFrame([(1, "x")], "a int, b string"), spark.createDataFrame([("1", 2.0)], "a string, c double")
+    p = prof.profile(after)
+    results = rules.schema_results(p, prof.profile(before).select("column", "type"))
+    found = rules.findings(results, semantics.classify(p)).collect()
+    assert sorted((r["column"], r["category"], r["violations"]) for r in found) == [("a", "SCHEMA", 1), ("b", "SCHEMA", 1), ("c", "SCHEMA", 1)]
+    same = rules.schema_results(p, p.select("column", "type")).collect()
+    assert [(r["status"], r["violations"]) for r in same] == [("passed", 0)]
+    allowed = spark.createDataFrame([("1",), (None,)], "v string")
+    r = rules.member_of_table(spark.createDataFrame([("1",), ("2",), (None,)], "a string"), "a", allowed, "v").first()
+    assert (r["rule"], r["row_count"], r["violations"], r["status"]) == ("SetMembershipRule", 3, 1, "failed")
+
+
+def test_a_subject_found_in_part_scores_nothing(spark):
+    labels = spark.createDataFrame([("A", 2, False), ("B", 1, False)], "subject_id string, n_expected int, is_control boolean")
+    found = spark.createDataFrame([("A", "LOW", True), ("B", "LOW", True), ("B", "LOW", True)], "subject_id string, severity string, has_evidence boolean")
+    r = evaluate.detection_accuracy(labels, found).first()
+    assert (r["true_positives"], r["false_negatives"], r["detection_accuracy"]) == (1, 1, 50.0)
+
+
 def test_export_and_import(spark):
     found = rules.quality_findings(spark.createDataFrame(T5, "customer_id bigint, revenue double"))
     texts = [r["rule_json"] for r in rules.export_rules(found.withColumn("dataset_id", F.lit("t5"))).collect()]

@@ -144,16 +144,18 @@ RESPONSES = {
 
 
 def test_audit(spark):
-    rows = [(k, *v, False, False) for k, v in RESPONSES.items()]
+    rows = [(k, 1, *v, False, False) for k, v in RESPONSES.items()]
+    rows.append(("foreign", 2, "The column 'user_id' drifted.", [], [], ["ev_1"], False, False))
     responses = spark.createDataFrame(
-        rows, "response_id string, answer string, claims array<string>, queries array<string>, citations array<string>, has_strong boolean, has_supported boolean"
+        rows, "response_id string, investigation_id long, answer string, claims array<string>, queries array<string>, citations array<string>, has_strong boolean, has_supported boolean"
     )
-    ids = spark.createDataFrame([("ev_1",), ("attr_1",), ("f_1",), ("hyp_1",)], "id string")
-    schema = spark.createDataFrame([(c.upper(),) for c in CONTEXT], "column string")
+    ids = spark.createDataFrame([(1, "ev_1"), (1, "attr_1"), (1, "f_1"), (1, "hyp_1"), (2, "ev_2")], "investigation_id long, id string")
+    schema = spark.createDataFrame([(1, c.upper()) for c in CONTEXT] + [(2, "price")], "investigation_id long, column string")
     got = {(r["response_id"], r["check"], r["severity"]) for r in audit.audit(responses, ids, schema).collect()}
     assert got == {
         ("column", "column", "ERROR"), ("metric", "metric", "ERROR"), ("strong", "overclaim", "ERROR"),
         ("sql", "sql", "ERROR"), ("sure", "overclaim", "ERROR"), ("cite", "citation", "WARN"),
+        ("foreign", "column", "ERROR"), ("foreign", "citation", "WARN"),
     }
     fine = responses.withColumn("has_strong", F.lit(True)).withColumn("has_supported", F.lit(True))
     assert audit.overclaims(fine).count() == 0
@@ -162,13 +164,13 @@ def test_audit(spark):
 def test_repairs_chain_their_fingerprints(spark, tmp_path):
     df = spark.createDataFrame([(1, 1, "active"), (2, 2, None), (3, 2, "active"), (4, 3, "inactive")], "pos int, id bigint, status string")
     one, two = str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet")
-    first = transform.apply_drop_duplicates(df, ["id"], ["pos"], one, "start").first()
-    second = transform.apply_fill_nulls(spark.read.parquet(one), "status", "unknown", two, first["output_fingerprint"]).first()
+    first = transform.write_step(df, transform.dropping(["id"], ["pos"]), one, "start").first()
+    second = transform.write_step(spark.read.parquet(one), transform.filling("status", "unknown"), two, first["output_fingerprint"]).first()
     assert spark.read.parquet(one).count() == 3
     statuses = sorted(r["status"] for r in spark.read.parquet(two).collect())
     assert statuses == ["active", "inactive", "unknown"]
     assert second["input_fingerprint"] == first["output_fingerprint"] != second["output_fingerprint"]
-    assert second["generated_code"] == "df = fill_nulls(df, 'status', 'unknown')" and first["affected_columns"] == ["id"]
+    assert second["generated_code"] == "df = fill_nulls(df, column='status', value='unknown')" and first["affected_columns"] == ["id"]
 
 
 def test_unintended_changes_are_marked(spark):

@@ -20,6 +20,19 @@ def test_csv_types_and_empty_fields(spark, tmp_path, rows):
     assert rows(df, "customer_id", "revenue") == [(1, 10.5), (2, None), (3, 30.0)]
 
 
+def test_csv_returns_what_was_written(spark, tmp_path):
+    rows = [(1, 'a\n"b",c'), (2, " a "), (3, ""), (4, None), (5, "\t\r\nx"), (6, '"'), (7, "\\"), (8, "\\\""), (9, " "), (10, "#x"), (11, ",")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    path = readers.write_version(df, str(tmp_path / "v.csv"))
+    assert sorted(tuple(r) for r in readers.read_version(spark, path, schema=df.schema).collect()) == rows
+    assert sorted(tuple(r) for r in readers.read_version(spark, path).collect()) == rows
+    one = spark.createDataFrame([("a\nb",), ("c",), ("",)], "t string")
+    path = readers.write_version(one, str(tmp_path / "one.csv"))
+    assert sorted(r["t"] for r in readers.read_version(spark, path).collect()) == ["", "a\nb", "c"]
+    with pytest.raises(ValueError):
+        readers.write_version(spark.createDataFrame([(None,)], "t string"), str(tmp_path / "null.csv"))
+
+
 @pytest.mark.parametrize("text", ["a,b\n1,2", "a\n1"])
 def test_csv_without_final_newline(spark, tmp_path, text):
     assert readers.read_version(spark, write(tmp_path, "x.csv", text)).count() == 1

@@ -1,6 +1,7 @@
 """Checks of assistant responses against the facts of an investigation.
 
-Responses: (response_id, answer, claims ARRAY<STRING>, queries ARRAY<STRING>, citations ARRAY<STRING>).
+Responses: (response_id, investigation_id, answer, claims ARRAY<STRING>, queries ARRAY<STRING>, citations ARRAY<STRING>).
+Facts carry the investigation_id they belong to, and count for responses of that investigation only.
 """
 
 from __future__ import annotations
@@ -26,9 +27,13 @@ def full_text() -> Column:
 
 
 def citations(responses: DataFrame, valid_ids: DataFrame) -> DataFrame:
-    """Cited ids (id) that no evidence, attribution, finding or hypothesis has. A warning, not an error."""
-    cited = responses.select("response_id", F.explode("citations").alias("id")).distinct()
-    return _violation(cited.join(valid_ids.select("id"), "id", "left_anti"), "citation", "WARN", F.col("id"))
+    """Cited ids that no evidence, attribution, finding or hypothesis of the investigation has. A warning, not an error.
+
+    ``valid_ids``: (investigation_id, id).
+    """
+    cited = responses.select("response_id", "investigation_id", F.explode("citations").alias("id")).distinct()
+    known = valid_ids.select("investigation_id", "id")
+    return _violation(cited.join(known, ["investigation_id", "id"], "left_anti"), "citation", "WARN", F.col("id"))
 
 
 def unsafe_sql(responses: DataFrame) -> DataFrame:
@@ -44,10 +49,13 @@ def _named(kind: str) -> Column:
 
 
 def invented_columns(responses: DataFrame, schema: DataFrame) -> DataFrame:
-    """Columns named in the text that the schema (column) lacks; both sides are lower-cased."""
-    named = responses.select("response_id", F.explode(_named("column")).alias("_c"))
-    known = schema.select(F.lower("column").alias("_c")).distinct()
-    return _violation(named.join(known, "_c", "left_anti"), "column", "ERROR", F.col("_c"))
+    """Columns named in the text that the schema of the investigation's version lacks; both sides are lower-cased.
+
+    ``schema``: (investigation_id, column).
+    """
+    named = responses.select("response_id", "investigation_id", F.explode(_named("column")).alias("_c"))
+    known = schema.select("investigation_id", F.lower("column").alias("_c")).distinct()
+    return _violation(named.join(known, ["investigation_id", "_c"], "left_anti"), "column", "ERROR", F.col("_c"))
 
 
 def invented_metrics(responses: DataFrame) -> DataFrame:

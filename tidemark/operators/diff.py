@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from ..functions.shared import settle
 from ..functions.text import stable_id
+from ..functions.types import is_numeric
 from .profile import value_counts
 
 DATASET_COLUMN = "*dataset*"  # fixed value
 NOISE_FLOOR = 0.0001  # fixed value
 KEY = ["dataset_id", "version_number"]
-SIDE = ["type", "row_count", "null_fraction", "unique_fraction", "min_value", "max_value", "mean"]
+SIDE = ["type", "row_count", "null_fraction", "unique_fraction", "unique_exact", "min_value", "max_value", "mean"]
 
 CHANGE_COLUMNS = [
     *KEY, "change_id", "change_kind", "column", "metric", "change_type", "previous_type", "current_type",
@@ -40,6 +42,8 @@ def version_pairs(p: DataFrame) -> DataFrame:
 def paired(p: DataFrame) -> DataFrame:
     """One row per column of either side of each version pair, plus one dataset row per pair."""
     pairs = version_pairs(p)
+    if "unique_exact" not in p.columns:
+        p = p.withColumn("unique_exact", F.lit(True))
     cur = p.select(*KEY, "column", *[F.col(c).alias(f"cur_{c}") for c in SIDE])
     prev = p.select(
         "dataset_id", (F.col("version_number") + 1).alias("version_number"), "column",
@@ -75,12 +79,15 @@ def _relative(delta: str, base: str, positive_only: bool) -> str:
     return f"CASE WHEN {known} THEN ({delta}) / {size} ELSE double('Infinity') END"
 
 
-def _shift(metric: str, change_type: str, positive_only: bool = True) -> str:
-    """Change of a fraction or a mean beyond the noise floor."""
+def _shift(metric: str, change_type: str, positive_only: bool = True, only: str = "true") -> str:
+    """Change of a fraction or a mean beyond the noise floor.
+
+    No change can be told from a NaN, nor between two infinities; Spark alone would put NaN above the floor.
+    """
     prev, cur = f"prev_{metric}", f"cur_{metric}"
     delta = f"{cur} - {prev}"
     return _change(
-        f"abs({prev} - {cur}) > {NOISE_FLOOR}D", "column", f"'{change_type}'", metric=f"'{metric}'",
+        f"NOT isnan({delta}) AND abs({prev} - {cur}) > {NOISE_FLOOR}D AND {only}", "column", f"'{change_type}'", metric=f"'{metric}'",
         previous_value=prev, current_value=cur, previous_num=prev, current_num=cur,
         absolute_delta=delta, relative_delta=_relative(delta, prev, positive_only),
     )
@@ -124,7 +131,8 @@ def changes(p: DataFrame) -> DataFrame:
         schema,
         count,
         _shift("null_fraction", "null_rate_shift"),
-        _shift("unique_fraction", "cardinality_shift"),
+        # The sketch behind an approximate count moves by more than the noise floor by itself.
+        _shift("unique_fraction", "cardinality_shift", only="prev_unique_exact AND cur_unique_exact"),
         _shift("mean", "distribution_shift", positive_only=False),
         _bound("min_value", "min_shift"),
         _bound("max_value", "max_shift"),
@@ -172,9 +180,10 @@ def row_diff(previous: DataFrame, current: DataFrame, keys: Sequence[str]) -> Da
     and a repeated key never multiplies rows. A key held twice on one side is ambiguous.
     """
     values = [c for c in previous.columns if c in current.columns and c not in keys]
+    common = {c: _common_type(previous, current, c) for c in values}
 
     def side(df: DataFrame, n: int) -> DataFrame:
-        hashes = [_value_hash(F.col(f"`{c}`")).alias(f"_h{i}") for i, c in enumerate(values)]
+        hashes = [_value_hash(F.col(f"`{c}`").cast(common[c])).alias(f"_h{i}") for i, c in enumerate(values)]
         return df.select(*[F.col(f"`{k}`") for k in keys], *hashes, F.lit(n).alias("_side"))
 
     def on_side(c: Column, n: int) -> Column:
@@ -205,6 +214,18 @@ def row_diff(previous: DataFrame, current: DataFrame, keys: Sequence[str]) -> Da
     )
 
 
+def _common_type(previous: DataFrame, current: DataFrame, column: str) -> T.DataType:
+    """The type that holds the values of both sides: the wider of two numbers or of two times, else text."""
+    a, b = previous.schema[column].dataType, current.schema[column].dataType
+    if a == b:
+        return a
+    times = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    if is_numeric(a) and is_numeric(b) or isinstance(a, times) and isinstance(b, times):
+        one = [df.select(F.col(f"`{column}`").alias("v")).limit(0) for df in (previous, current)]
+        return one[0].union(one[1]).schema["v"].dataType
+    return T.StringType()
+
+
 def _value_hash(c: Column) -> Column:
     """Hash of one value; null and values of another type never hash alike."""
     return F.xxhash64(c.isNull(), c)
@@ -216,11 +237,13 @@ def frequency_diff(previous: DataFrame, current: DataFrame, columns: Sequence[st
         return value_counts(df, [], columns).withColumn("_side", F.lit(n))
 
     stacked = side(previous, 1).unionByName(side(current, 2))
-    per_value = stacked.groupBy("column", "value").agg(
+    per_value = settle(stacked.groupBy("column", "value").agg(
         F.coalesce(F.sum(F.when(F.col("_side") == 1, F.col("n"))), F.lit(0)).cast("bigint").alias("n_previous"),
         F.coalesce(F.sum(F.when(F.col("_side") == 2, F.col("n"))), F.lit(0)).cast("bigint").alias("n_current"),
-    )
-    totals = previous.agg(F.count(F.lit(1)).alias("_a")).scalar(), current.agg(F.count(F.lit(1)).alias("_b")).scalar()
+    ))
+    # Each column counts every row once, nulls too, so one column gives the totals.
+    first = per_value.filter(F.col("column") == columns[0])
+    totals = [first.agg(F.coalesce(F.sum(c), F.lit(0))).scalar() for c in ("n_previous", "n_current")]
     a = F.when(totals[0] > 0, F.col("n_previous") / totals[0]).otherwise(F.lit(0.0))
     b = F.when(totals[1] > 0, F.col("n_current") / totals[1]).otherwise(F.lit(0.0))
     return per_value.withColumn("share_previous", a).withColumn("share_current", b).withColumn(
@@ -228,6 +251,16 @@ def frequency_diff(previous: DataFrame, current: DataFrame, columns: Sequence[st
     )
 
 
+def quantile_shifts(previous: DataFrame, current: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+    """Quantiles of each numeric column in two profiles that were made with the same ``quantiles``, and their change."""
+    def side(p: DataFrame, name: str) -> DataFrame:
+        return p.filter("quantiles IS NOT NULL").select("column", F.posexplode("quantiles").alias("_i", name))
+
+    cut = F.element_at(F.array(*[F.lit(float(q)) for q in quantiles]), F.col("_i") + 1)
+    both = side(previous, "previous").join(side(current, "current"), ["column", "_i"])
+    return both.select("column", cut.alias("quantile"), "previous", "current", (F.col("current") - F.col("previous")).alias("absolute_delta"))
+
+
 def distribution_distance(frequencies: DataFrame) -> DataFrame:
     """Per column: total variation distance, and population stability index with empty shares at 1e-6."""
     a, b = F.greatest("share_previous", F.lit(1e-6)), F.greatest("share_current", F.lit(1e-6))

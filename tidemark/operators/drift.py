@@ -24,7 +24,7 @@ MEAN_RELATIVE_SHIFT = 0.1
 RAISED = f"""CASE change_type
   WHEN 'null_rate_shift' THEN absolute_delta > {NULL_RATE_RISE}D
   WHEN 'cardinality_shift' THEN absolute_delta < {UNIQUE_FRACTION_DROP}D
-  WHEN 'distribution_shift' THEN abs(relative_delta) > {MEAN_RELATIVE_SHIFT}D
+  WHEN 'distribution_shift' THEN NOT isnan(relative_delta) AND abs(relative_delta) > {MEAN_RELATIVE_SHIFT}D
   ELSE change_type IN ('type_changed', 'removed', 'added') END"""
 
 TITLE = """CASE change_type

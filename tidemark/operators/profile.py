@@ -30,11 +30,13 @@ def profile(
     columns: Iterable[str] | None = None,
     rsd: float = 0.05,
     quantiles: Sequence[float] = (),
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """Profile every column in one aggregation, for the whole table or for each group of ``by``.
 
-    Distinct counts are approximate unless ``exact`` is True or names the columns to count exactly;
-    exact counts cost one more scan of just those columns. Quantiles are approximate.
+    Distinct counts are approximate (``unique_exact`` false) unless ``exact`` is True or names the columns to count exactly;
+    exact counts cost one more scan of just those columns. A quantile is a value whose rank is off by at most
+    rows / ``accuracy``.
     """
     fields = _fields(df, by, columns)
     if exact is True:
@@ -42,7 +44,7 @@ def profile(
     else:
         exact_names = [] if exact is False else [n for n in exact if n in {f.name for _, f in fields}]
     parts = [
-        _one_pass(df, by, fields[i : i + COLUMNS_PER_PASS], set(exact_names), rsd, quantiles)
+        _one_pass(df, by, fields[i : i + COLUMNS_PER_PASS], set(exact_names), rsd, quantiles, accuracy)
         for i in range(0, len(fields), COLUMNS_PER_PASS)
     ]
     out = parts[0]
@@ -61,10 +63,10 @@ def profile(
         out = left.join(right, on, "left").select(
             *others, F.coalesce(F.col("d.unique_count"), F.col("p.unique_count"), missing).alias("unique_count")
         )
-    return _finish(out, by, bool(quantiles))
+    return _finish(out.withColumn("unique_exact", F.col("column").isin(exact_names)), by, bool(quantiles))
 
 
-def _one_pass(df, by, fields, exact_names, rsd, quantiles) -> DataFrame:
+def _one_pass(df, by, fields, exact_names, rsd, quantiles, accuracy) -> DataFrame:
     aggs, rows = ["count(1) AS _rows"], []
     cuts = ", ".join(str(float(q)) for q in quantiles)
     for i, f in fields:
@@ -76,7 +78,7 @@ def _one_pass(df, by, fields, exact_names, rsd, quantiles) -> DataFrame:
         if is_numeric(f.dataType):
             stats |= {"lo": f"min({c})", "hi": f"max({c})", "avg": f"avg({x})", "sd": f"stddev_samp({x})"}
             if quantiles:
-                stats["q"] = f"percentile_approx({x}, array({cuts}))"
+                stats["q"] = f"percentile_approx({x}, array({cuts}), {accuracy})"
         aggs += [f"{agg} AS _{i}_{k}" for k, agg in stats.items()]
 
         def stat(k: str, dtype: str) -> str:
@@ -116,6 +118,7 @@ def _finish(p: DataFrame, by: Sequence[str], with_quantiles: bool) -> DataFrame:
         f"{share('null_count')} AS null_fraction",
         "unique_count",
         f"CASE WHEN unique_count IS NOT NULL THEN {share('unique_count')} END AS unique_fraction",
+        "unique_exact",
         "min_value",
         "max_value",
         "mean",
@@ -124,25 +127,28 @@ def _finish(p: DataFrame, by: Sequence[str], with_quantiles: bool) -> DataFrame:
     )
 
 
-def value_text(df: DataFrame, name: str) -> Column:
-    """Text that is equal exactly when two values of the column are equal; long text becomes a digest."""
+def value_text(df: DataFrame, name: str, short: bool = True) -> Column:
+    """Text that is equal exactly when two values of the column are equal. ``short``: long text becomes a digest,
+    which is enough to count distinct values."""
     dtype = df.schema[name].dataType
     c = _col(name)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return (c + F.lit(0).cast(dtype)).cast("string")  # -0.0 and 0.0 are one value
     if isinstance(dtype, T.BinaryType):
         return F.hex(c)
+    if not short and isinstance(dtype, (T.ArrayType, T.StructType)):
+        return F.when(c.isNotNull(), F.to_json(F.struct(c)))
     if isinstance(dtype, (T.ArrayType, T.StructType)):
         # A null stays null; a digest keeps the shuffled rows short.
         return F.when(c.isNotNull(), F.concat(F.lit("#"), F.sha2(F.to_json(F.struct(c)), 256)))
-    if isinstance(dtype, T.StringType):
+    if short and isinstance(dtype, T.StringType):
         # A digest is one character longer than any text kept as it is, so the two never meet.
         return F.when(F.length(c) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
     return c.cast("string")
 
 
 def _unpivot(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    texts = df.select(*[_col(k) for k in by], *[value_text(df, c).alias(c) for c in columns])
+    texts = df.select(*[_col(k) for k in by], *[value_text(df, c, short=False).alias(c) for c in columns])
     return texts.unpivot([_col(k) for k in by], [_col(c) for c in columns], "column", "value")
 
 
@@ -188,7 +194,7 @@ def distinct_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) ->
 
 
 def value_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Rows per (column, value); null is a value of its own."""
+    """Rows per (column, value), with the whole value at any length; null is a value of its own."""
     values = _unpivot(df, by, columns)
     return values.groupBy(*[_col(k) for k in by], "column", "value").agg(F.count(F.lit(1)).alias("n"))
 

@@ -16,6 +16,7 @@ ALLOWED_MOVES = ["OPEN>INVESTIGATING", "OPEN>REJECTED", "INVESTIGATING>RESOLVED"
 def new_arrivals(versions: DataFrame, arrivals: DataFrame, order: list[str]) -> DataFrame:
     """Arrivals whose (dataset_id, file_hash) is unknown, one per hash; the first arrival stays."""
     known = versions.select("dataset_id", "file_hash").distinct()
+    order = [*order, *[c for c in ("path",) if c in arrivals.columns and c not in order]]
     fresh = arrivals.join(known, ["dataset_id", "file_hash"], "left_anti")
     return pick_by(fresh, ["dataset_id", "file_hash"], order)
 
@@ -23,7 +24,8 @@ def new_arrivals(versions: DataFrame, arrivals: DataFrame, order: list[str]) ->
 def next_versions(versions: DataFrame, arrivals: DataFrame, order: list[str], bucket: Column) -> DataFrame:
     """Arrivals numbered on from the highest version of their dataset; 1 for the first."""
     top = versions.groupBy("dataset_id").agg(F.max("version_number").alias("_top"))
-    numbered = number_rows(arrivals, ["dataset_id"], [F.col(c) for c in order], bucket, "_n")
+    settled = [*order, *[c for c in ("file_hash",) if c not in order]]  # two files may arrive at one time
+    numbered = number_rows(arrivals, ["dataset_id"], [F.col(c) for c in settled], bucket, "_n")
     joined = numbered.join(top, "dataset_id", "left")
     number = (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("bigint")
     return joined.withColumn("version_number", number).drop("_top", "_n")
@@ -79,8 +81,25 @@ def search(
     return out
 
 
+def page_after(investigations: DataFrame, created_at=None, investigation_id=None, size: int = 10) -> DataFrame:
+    """The page behind the row with the given key, newest first; without a key the first page.
+
+    Each task sends at most ``size`` rows however deep the page lies, as the rows before it are filtered by the key.
+    """
+    if not 1 <= size <= 100:
+        raise ValueError("page size must be 1 to 100")
+    rest = investigations
+    if created_at is not None:
+        at, last = F.lit(created_at), F.lit(investigation_id)
+        rest = rest.filter((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("investigation_id") > last)))
+    return rest.orderBy(F.desc("created_at"), "investigation_id").limit(size)
+
+
 def page(investigations: DataFrame, number: int = 1, size: int = 10) -> DataFrame:
-    """One page, newest first, with the total number of investigations."""
+    """One page by number, newest first, with the total number of investigations.
+
+    A number has to be counted to: the rows before the page go through one task. ``page_after`` has no such cost.
+    """
     if not 1 <= size <= 100 or number < 1:
         raise ValueError("page size must be 1 to 100 and page number at least 1")
     total = investigations.agg(F.count(F.lit(1))).scalar()

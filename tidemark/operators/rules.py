@@ -5,16 +5,18 @@ A rule is an aggregate that counts violating rows, so all rules of a table share
 
 from __future__ import annotations
 
+import datetime
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException, IllegalArgumentException, ParseException
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.shared import settle
 from ..functions.text import case_sql, fixed_sql, percent_sql, stable_id, value_sql
 from .profile import distinct_counts, profile
-from .semantics import classify
+from .semantics import classify, near_threshold
 
 # Weight of each role and criticality of each rule.
 ROLE_WEIGHT = {
@@ -60,19 +62,49 @@ CATEGORY_OF_RULE = {
 
 @dataclass(frozen=True)
 class Rule:
-    """A named check of one column. ``violations`` counts the violating rows of a group."""
+    """A named check of one column. ``violations`` counts the violating rows of a group.
+
+    ``fits`` says whether a column of some type can be checked at all; if not, the result is unknown.
+    """
 
     rule: str
     column: str
     violations: Column | None
     check: str
     parameters: dict = field(default_factory=dict)
+    fits: Callable[[T.DataType], bool] = lambda dtype: True
 
 
 def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+_TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _comparable(dtype: T.DataType, values: Sequence) -> bool:
+    """Whether all values can be compared with a column without a cast that may fail on some row."""
+    def one(v) -> bool:
+        if isinstance(v, bool) or isinstance(dtype, T.BooleanType):
+            return isinstance(v, bool) and isinstance(dtype, T.BooleanType)
+        if isinstance(dtype, T.NumericType):
+            return isinstance(v, (int, float)) or type(v).__name__ == "Decimal"
+        if isinstance(dtype, _TIMES):
+            if isinstance(v, str):
+                try:
+                    datetime.datetime.fromisoformat(v)
+                except ValueError:
+                    return False
+            return isinstance(v, (str, datetime.date))
+        return isinstance(dtype, T.StringType) and isinstance(v, str)
+
+    return all(one(v) for v in values if v is not None)
+
+
+def _parameters(rule: Rule) -> str:
+    return json.dumps(rule.parameters, default=str, ensure_ascii=False, sort_keys=True)
+
+
 def not_null(column: str) -> Rule:
     check = f"SELECT COUNT(*) FROM dataset WHERE {column} IS NULL"
     return Rule("NotNullRule", column, F.count_if(_c(column).isNull()), check)
@@ -91,22 +123,27 @@ def in_range(column: str, low=None, high=None) -> Rule:
     if high is not None:
         bad = bad | (_c(column) > high)
     check = f"{column} BETWEEN {low} AND {high}"
-    return Rule("RangeRule", column, F.count_if(bad), check, {"low": low, "high": high})
+    return Rule("RangeRule", column, F.count_if(bad), check, {"low": low, "high": high}, lambda t: _comparable(t, [low, high]))
 
 
 def matches(column: str, pattern: str) -> Rule:
     check = f"{column} RLIKE '{pattern}'"
-    return Rule("RegexRule", column, F.count_if(~_c(column).rlike(pattern)), check, {"pattern": pattern})
+    return Rule("RegexRule", column, F.count_if(~_c(column).rlike(pattern)), check, {"pattern": pattern}, lambda t: isinstance(t, T.StringType))
 
 
 def member_of(column: str, values: Sequence) -> Rule:
     check = f"{column} IN {tuple(values)}"
-    return Rule("SetMembershipRule", column, F.count_if(~_c(column).isin(list(values))), check, {"values": list(values)})
+    bad = F.count_if(~_c(column).isin(list(values)))
+    return Rule("SetMembershipRule", column, bad, check, {"values": list(values)}, lambda t: _comparable(t, list(values)))
 
 
 def castable(column: str, dtype: str) -> Rule:
-    bad = _c(column).isNotNull() & _c(column).try_cast(dtype).isNull()
-    return Rule("TypeRule", column, F.count_if(bad), f"TRY_CAST({column} AS {dtype})", {"type": dtype})
+    check, parameters = f"TRY_CAST({column} AS {dtype})", {"type": dtype}
+    try:
+        bad = _c(column).isNotNull() & _c(column).try_cast(dtype).isNull()
+    except ParseException:  # no type of that name
+        return Rule("TypeRule", column, F.lit(0), check, parameters, lambda t: False)
+    return Rule("TypeRule", column, F.count_if(bad), check, parameters)
 
 
 def fresh(column: str, now: Column, max_age_hours: float) -> Rule:
@@ -114,7 +151,8 @@ def fresh(column: str, now: Column, max_age_hours: float) -> Rule:
     newest = F.max(_c(column)).cast("timestamp_ntz")
     age = F.timestamp_diff("SECOND", newest, now.cast("timestamp_ntz")) / 3600.0
     stale = F.when(age.isNull() | (age > max_age_hours), 1).otherwise(0)
-    return Rule("FreshnessRule", column, stale, f"MAX({column}) within {max_age_hours} h", {"max_age_hours": max_age_hours})
+    check = f"MAX({column}) within {max_age_hours} h"
+    return Rule("FreshnessRule", column, stale, check, {"max_age_hours": max_age_hours}, lambda t: isinstance(t, _TIMES))
 
 
 def standard_rules(columns: Sequence[str]) -> list[Rule]:
@@ -122,12 +160,14 @@ def standard_rules(columns: Sequence[str]) -> list[Rule]:
 
 
 def evaluate(df: DataFrame, rules: Sequence[Rule], by: Sequence[str] = ()) -> DataFrame:
-    """(rule, column, row_count, violations, status) of each rule, per group of ``by``.
+    """(rule, column, check, parameters, row_count, violations, status) of each rule, per group of ``by``.
 
-    A rule on a column the table lacks has status unknown.
+    A rule that cannot be evaluated has status unknown and leaves the others alone: its column is absent or of a type
+    that it does not fit, or its pattern or type name is none.
     """
     keys = [_c(k) for k in by]
-    known = [r for r in rules if r.column in df.columns]
+    usable = [_usable(df, r) for r in rules]
+    known = [r for r, ok in zip(rules, usable, strict=True) if ok]
     plain = [r for r in known if r.violations is not None]
     uniques = [r for r in known if r.violations is None]
     aggs = [F.count(F.lit(1)).alias("_rows")]
@@ -137,11 +177,11 @@ def evaluate(df: DataFrame, rules: Sequence[Rule], by: Sequence[str] = ()) -> Da
     def entry(r: Rule, v: Column, row_count: Column = F.col("_rows")) -> Column:
         return F.struct(
             F.lit(r.rule).alias("rule"), F.lit(r.column).alias("column"), F.lit(r.check).alias("check"),
-            row_count.alias("row_count"), v.cast("bigint").alias("violations"),
+            F.lit(_parameters(r)).alias("parameters"), row_count.alias("row_count"), v.cast("bigint").alias("violations"),
         )
 
     entries = [entry(r, F.col(f"_v{i}")) for i, r in enumerate(plain)]
-    entries += [entry(r, F.lit(None)) for r in rules if r.column not in df.columns]
+    entries += [entry(r, F.lit(None)) for r, ok in zip(rules, usable, strict=True) if not ok]
     out = []
     if entries:
         out.append(counted.select(*keys, F.explode(F.array(*entries)).alias("_r")).select(*keys, "_r.*"))
@@ -153,6 +193,19 @@ def evaluate(df: DataFrame, rules: Sequence[Rule], by: Sequence[str] = ()) -> Da
     return results.withColumn("status", status(F.col("violations")))
 
 
+def _usable(df: DataFrame, rule: Rule) -> bool:
+    if rule.column not in df.columns or not rule.fits(df.schema[rule.column].dataType):
+        return False
+    try:
+        if "pattern" in rule.parameters:
+            df.sparkSession._jvm.java.util.regex.Pattern.compile(rule.parameters["pattern"])
+        if rule.violations is not None:
+            df.agg(rule.violations)  # analysis only
+    except (AnalysisException, IllegalArgumentException):
+        return False
+    return True
+
+
 def _unique_results(df: DataFrame, by: Sequence[str], uniques: Sequence[Rule]) -> DataFrame:
     keys = [_c(k) for k in by]
     names = list(dict.fromkeys(r.column for r in uniques))
@@ -167,7 +220,7 @@ def _unique_results(df: DataFrame, by: Sequence[str], uniques: Sequence[Rule]) -
         on = on & F.col(f"w.`{k}`").eqNullSafe(F.col(f"d.`{k}`"))
     return wanted.alias("w").join(counts.alias("d"), on, "left").select(
         *[F.col(f"w.`{k}`") for k in by],
-        F.lit("UniqueRule").alias("rule"), F.col("w.column"), F.col("w.check"), F.col("w.row_count"),
+        F.lit("UniqueRule").alias("rule"), F.col("w.column"), F.col("w.check"), F.lit("{}").alias("parameters"), F.col("w.row_count"),
         (F.col("w.row_count") - F.coalesce(F.col("d._u"), F.lit(0))).cast("bigint").alias("violations"),
     )
 
@@ -189,7 +242,7 @@ def results_from_profile(p: DataFrame) -> DataFrame:
         'check', 'SELECT COUNT(*) as total, COUNT(DISTINCT ' || column || ') as unique_count FROM dataset',
         'violations', row_count - unique_count))) AS _r"""
     rows = p.selectExpr(*keys, "column", "row_count", entries)
-    return rows.select(*keys, "_r.rule", "column", "_r.check", "row_count", "_r.violations").withColumn(
+    return rows.select(*keys, "_r.rule", "column", "_r.check", F.lit("{}").alias("parameters"), "row_count", "_r.violations").withColumn(
         "status", status(F.col("violations"))
     )
 
@@ -244,10 +297,13 @@ def with_impact(rows: DataFrame) -> DataFrame:
 
 
 def findings(results: DataFrame, semantics: DataFrame) -> DataFrame:
-    """Failed, applicable results as findings, scored by impact. Rules on absent columns drop out."""
+    """Failed, applicable results of any rule as findings, scored by impact.
+
+    A result about something that was not classified, such as a missing column, has the role UNKNOWN.
+    """
     keys = [c for c in ("dataset_id", "version_number") if c in results.columns and c in semantics.columns]
     roles = semantics.select(*keys, "column", "semantic_role")
-    failed = results.filter(F.col("status") == "failed").join(roles, [*keys, "column"])
+    failed = results.filter(F.col("status") == "failed").join(roles, [*keys, "column"], "left").fillna("UNKNOWN", ["semantic_role"])
     scored = with_impact(with_applicability(failed).filter("applicable"))
     ident = stable_id("fnd", *keys, "rule", "column").alias("finding_id")
     return scored.select(ident, "*").selectExpr(
@@ -266,18 +322,29 @@ def findings(results: DataFrame, semantics: DataFrame) -> DataFrame:
              WHEN 'UniqueRule' THEN ' duplicate records/groups' ELSE ' violating values' END
            || '. Context: ' || reason AS description""",
         "check",
+        "parameters",
     )
 
 
 def quality_findings(df: DataFrame, extra: Sequence[Rule] = ()) -> DataFrame:
     """Findings of a table by NotNull and Unique on every column they apply to, and by any extra rules.
 
-    One approximate profile gives the roles and the exact null counts. Exact distinct counts are then taken
-    for the identifiers alone, as Unique applies to no other role; only those columns are read again.
+    One approximate profile gives the exact null counts, and roles where the counts are far from a threshold. Columns
+    near one are counted exactly before they are classified, and so are the identifiers for Unique, which applies
+    to no other role; only those columns are read again.
     """
     p = settle(profile(df))
+    doubtful = [r[0] for r in classify(p).filter(near_threshold()).select("column").collect()]  # at most all columns
+    if doubtful:
+        exact = distinct_counts(df, [], doubtful).withColumnRenamed("unique_count", "_exact")
+        share = "CASE WHEN row_count > 0 THEN _exact / row_count ELSE 0.0D END"
+        p = settle(p.join(exact, "column", "left").withColumns({
+            "unique_fraction": F.expr(f"CASE WHEN _exact IS NULL THEN unique_fraction ELSE {share} END"),
+            "unique_exact": F.expr("unique_exact OR _exact IS NOT NULL"),
+            "unique_count": F.expr("coalesce(_exact, unique_count)"),
+        }).drop("_exact"))
     semantics = classify(p)
-    ids = semantics.filter("semantic_role = 'IDENTIFIER'").select("column").collect()  # at most all columns
+    ids = semantics.filter("semantic_role = 'IDENTIFIER'").select("column").collect()
     results = results_from_profile(p).filter("rule = 'NotNullRule'")
     checks = [unique(r[0]) for r in ids] + list(extra)
     if checks:
@@ -322,27 +389,61 @@ def findings_report(found: DataFrame) -> DataFrame:
 
 
 def export_rules(found: DataFrame) -> DataFrame:
-    """Accepted findings as reusable rules, one JSON text per (rule, column)."""
-    kept = found.groupBy("dataset_id", "rule", "column").agg(F.max("confidence").alias("confidence"))
-    body = F.to_json(F.struct("rule", "column", "confidence"))
-    return kept.select("dataset_id", "rule", "column", body.alias("rule_json"))
+    """Accepted findings as reusable rules, one JSON text per (rule, column, parameters). Without a dataset_id the
+    findings are of one table."""
+    if "dataset_id" not in found.columns:
+        found = found.withColumn("dataset_id", F.lit("dataset"))
+    kept = found.groupBy("dataset_id", "rule", "column", "parameters").agg(F.max("confidence").alias("confidence"))
+    plain = F.to_json(F.struct("rule", "column", "confidence"))
+    full = F.concat(F.expr("left({0}, length({0}) - 1)".format("_j")), F.lit(', "parameters": '), "parameters", F.lit("}"))
+    body = F.when(F.col("parameters") == "{}", F.col("_j")).otherwise(full)
+    return kept.withColumn("_j", plain).select("dataset_id", "rule", "column", body.alias("rule_json"))
+
 
+def rules_from_json(texts: Sequence[str], now: Column | None = None) -> list[Rule]:
+    """Rules from exported JSON texts, with the parameters they had. ``now`` is the time of freshness rules.
 
-def rules_from_json(texts: Sequence[str]) -> list[Rule]:
-    """Rules from exported JSON texts; rules that need parameters take them from the JSON."""
+    Rules that compare with another table cannot come back from a text alone; they raise ValueError.
+    """
     makers = {
-        "NotNullRule": lambda r: not_null(r["column"]),
-        "UniqueRule": lambda r: unique(r["column"]),
-        "RangeRule": lambda r: in_range(r["column"], r.get("low"), r.get("high")),
-        "RegexRule": lambda r: matches(r["column"], r["pattern"]),
-        "SetMembershipRule": lambda r: member_of(r["column"], r["values"]),
-        "TypeRule": lambda r: castable(r["column"], r["type"]),
+        "NotNullRule": lambda c: not_null(c),
+        "UniqueRule": lambda c: unique(c),
+        "RangeRule": lambda c, low, high: in_range(c, low, high),
+        "RegexRule": lambda c, pattern: matches(c, pattern),
+        "SetMembershipRule": lambda c, values: member_of(c, values),
+        "TypeRule": lambda c, type: castable(c, type),
+        "FreshnessRule": lambda c, max_age_hours: fresh(c, now if now is not None else F.current_timestamp(), max_age_hours),
     }
-    return [makers[r["rule"]](r) for r in map(json.loads, texts) if r["rule"] in makers]
+    out = []
+    for r in map(json.loads, texts):
+        if r["rule"] not in makers:
+            raise ValueError(f"{r['rule']} on {r['column']} needs its other table and cannot be made from JSON")
+        out.append(makers[r["rule"]](r["column"], **r.get("parameters", {})))
+    return out
+
+
+def _one_result(rows: DataFrame, rule: str, column: str, check: str, parameters: dict) -> DataFrame:
+    """Counts (row_count, violations) as a rule result of the common shape."""
+    return rows.select(
+        F.lit(rule).alias("rule"), F.lit(column).alias("column"), F.lit(check).alias("check"),
+        F.lit(json.dumps(parameters, sort_keys=True)).alias("parameters"), "row_count", "violations",
+    ).withColumn("status", status(F.col("violations")))
 
 
 def referential(child: DataFrame, key: str, parent: DataFrame, parent_key: str, name: str) -> DataFrame:
-    """Rows of ``child`` whose non-null key has no parent, counted as one rule result.
+    """Rows of ``child`` whose non-null key has no parent, counted as one rule result."""
+    check = f"{name} REFERENCES {parent_key}"
+    return _one_result(_unmatched(child, key, parent, parent_key), "ReferentialRule", name, check, {"parent_key": parent_key})
+
+
+def member_of_table(df: DataFrame, column: str, allowed: DataFrame, allowed_column: str) -> DataFrame:
+    """SetMembershipRule against a table of values, for sets too large to be named in a query."""
+    check = f"{column} IN (SELECT {allowed_column})"
+    return _one_result(_unmatched(df, column, allowed, allowed_column), "SetMembershipRule", column, check, {"allowed": allowed_column})
+
+
+def _unmatched(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
+    """Rows, and rows whose non-null key the parent lacks.
 
     Keys are counted before the join, so a frequent key crosses the shuffle as one row per task.
     """
@@ -351,11 +452,9 @@ def referential(child: DataFrame, key: str, parent: DataFrame, parent_key: str,
     joined = keys.join(parents, F.col("_k") == F.col("_p"), "left")
     orphan = F.col("_k").isNotNull() & F.col("_p").isNull()
     return joined.agg(
-        F.lit("ReferentialRule").alias("rule"),
-        F.lit(name).alias("column"),
         F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("row_count"),
         F.coalesce(F.sum(F.when(orphan, F.col("_n"))), F.lit(0)).cast("bigint").alias("violations"),
-    ).withColumn("status", status(F.col("violations")))
+    )
 
 
 def schema_rule(p: DataFrame, expected: DataFrame) -> DataFrame:
@@ -373,6 +472,33 @@ def schema_rule(p: DataFrame, expected: DataFrame) -> DataFrame:
     ).filter(F.col("problem").isNotNull())
 
 
+def schema_results(p: DataFrame, expected: DataFrame) -> DataFrame:
+    """Each problem of ``schema_rule`` as a failed result; one passed result if there is none."""
+    rows = p.agg(F.coalesce(F.max("row_count"), F.lit(0)).alias("row_count"))
+    problems = schema_rule(p, expected).select(
+        "column", F.concat_ws(" ", F.lit("schema:"), "problem", F.concat(F.lit("expected "), "expected_type"), F.concat(F.lit("found "), "actual_type")).alias("check"),
+        F.to_json(F.struct("problem", "expected_type", "actual_type")).alias("parameters"), F.lit(1).cast("bigint").alias("violations"),
+    )
+    none = problems.agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0").select(
+        F.lit("*dataset*").alias("column"), F.lit("schema:").alias("check"), F.lit("{}").alias("parameters"), F.lit(0).cast("bigint").alias("violations")
+    )
+    out = problems.unionByName(none).withColumn("row_count", rows.scalar())
+    return out.select(F.lit("SchemaRule").alias("rule"), "column", "check", "parameters", "row_count", "violations").withColumn(
+        "status", status(F.col("violations"))
+    )
+
+
+def distribution_results(outliers: DataFrame, metric: str, z_limit: float) -> DataFrame:
+    """Rows of ``diff.history_outliers`` as rule results by version; unknown where the history is too short."""
+    violations = F.when(F.col("status") != "unknown", (F.col("status") == "failed").cast("bigint"))
+    return outliers.select(
+        "dataset_id", "version_number", F.lit("DistributionRule").alias("rule"), "column",
+        F.lit(f"{metric} within {z_limit} standard deviations of its history").alias("check"),
+        F.lit(json.dumps({"metric": metric, "z_limit": z_limit}, sort_keys=True)).alias("parameters"),
+        F.lit(1).cast("bigint").alias("row_count"), violations.alias("violations"),
+    ).withColumn("status", status(F.col("violations")))
+
+
 def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys held by more than one row, with their row counts."""
     return df.groupBy(*[_c(k) for k in keys]).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")

@@ -28,6 +28,19 @@ ROLE = """CASE
   ELSE 'UNKNOWN' END"""
 
 
+def near_threshold(margin: float = 0.2) -> str:
+    """SQL condition: an approximate count that lies so near a threshold of ``ROLE`` that its error could cross it.
+
+    ``margin`` is four standard errors of the profile's sketch.
+    """
+    ratio = "coalesce(unique_count, 0) / nullif(row_count, 0)"
+    near = lambda x, at: f"({x} BETWEEN {at * (1 - margin)}D AND {at * (1 + margin)}D)"
+    return (
+        f"NOT unique_exact AND row_count > 0 AND physical_type IN ('INTEGER', 'STRING') AND ({ratio} >= {0.95 * (1 - margin)}D OR {near(ratio, 0.05)} "
+        f"OR {near('unique_count', 10.0)} OR {near('unique_count', 100.0)})"
+    )
+
+
 def sensitivity(name: Column) -> Column:
     return F.when(F.lower(name).rlike("|".join(PII_WORDS)), "PII").otherwise("NON_PII")
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.ordered import pick_by
 from ..sources.fingerprints import table_fingerprint
-from ..sources.readers import write_version
-from .diff import compare
+from ..sources.readers import read_version, write_version
+from .diff import compare, row_diff
 from .profile import profile
+from .rules import Rule, evaluate
 
 LINEAGE = (
     "type_name string, parameters map<string,string>, input_fingerprint string, output_fingerprint string, "
@@ -29,33 +32,73 @@ def fill_nulls(df: DataFrame, column: str, value) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(f"`{column}`"), F.lit(value).cast(dtype)))
 
 
-def apply_drop_duplicates(df: DataFrame, subset: Sequence[str], order_key: Sequence[str], path: str, input_fp: str) -> DataFrame:
-    """Write the deduplicated version and return its lineage row."""
-    names = ", ".join(f"'{s}'" for s in subset)
-    code = f"df = drop_duplicates(df, subset=[{names}], order_key={list(order_key)})"
-    out = drop_duplicates(df, subset, order_key)
-    return _track(out, path, "drop_duplicates", {"subset": json.dumps(list(subset))}, input_fp, list(subset), code)
+@dataclass(frozen=True)
+class Step:
+    """A repair as data: a function of this module, the arguments by name, and those arguments that name columns it changes."""
 
+    function: Callable[..., DataFrame]
+    arguments: dict[str, Any]
+    changes: str
 
-def apply_fill_nulls(df: DataFrame, column: str, value, path: str, input_fp: str) -> DataFrame:
-    """Write the filled version and return its lineage row."""
-    code = f"df = fill_nulls(df, '{column}', {value!r})"
-    params = {"column": column, "value": str(value)}
-    return _track(fill_nulls(df, column, value), path, "fill_nulls", params, input_fp, [column], code)
+    def columns(self) -> list[str]:
+        named = self.arguments[self.changes]
+        return [named] if isinstance(named, str) else list(named)
 
+    def code(self) -> str:
+        return f"df = {self.function.__name__}(df, {', '.join(f'{k}={v!r}' for k, v in self.arguments.items())})"
 
-def _track(out: DataFrame, path: str, name: str, params: dict, input_fp: str, affected: list[str], code: str) -> DataFrame:
-    spark: SparkSession = out.sparkSession
-    write_version(out, path)
-    output_fp = table_fingerprint(spark.read.schema(out.schema).load(path) if path.endswith(".parquet") else out)
-    row = spark.createDataFrame([(name, params, input_fp, output_fp, None, affected, code, path)], LINEAGE)
-    return row.withColumn("created_at", F.current_timestamp())
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.function(df, **self.arguments)
 
 
-def transform_check(before: DataFrame, after: DataFrame, affected: Sequence[str], exact: bool = True) -> DataFrame:
-    """Profile changes a transformation made, with those on other columns marked unintended."""
-    found = compare(profile(before, exact=exact), profile(after, exact=exact))
+def dropping(subset: Sequence[str], order_key: Sequence[str]) -> Step:
+    return Step(drop_duplicates, {"subset": list(subset), "order_key": list(order_key)}, "subset")
+
+
+def filling(column: str, value) -> Step:
+    return Step(fill_nulls, {"column": column, "value": value}, "column")
+
+
+def write_step(df: DataFrame, step: Step, path: str, input_fp: str) -> DataFrame:
+    """Write the version that a step makes and return its lineage row: a chain of steps passes the fingerprints on."""
+    spark: SparkSession = df.sparkSession
+    made = step(df)
+    write_version(made, path)
+    record = (
+        step.function.__name__,
+        {k: v if isinstance(v, str) else json.dumps(v, default=str) for k, v in step.arguments.items()},
+        input_fp,
+        table_fingerprint(read_version(spark, path, schema=made.schema)),
+        None,
+        step.columns(),
+        step.code(),
+        path,
+    )
+    return spark.createDataFrame([record], LINEAGE).withColumn("created_at", F.current_timestamp())
+
+
+def transform_check(before: DataFrame, after: DataFrame, affected: Sequence[str], exact: bool | Sequence[str] | None = None) -> DataFrame:
+    """Profile changes a transformation made, with those on other columns marked unintended.
+
+    Distinct values are counted exactly for the affected columns, unless others (or True, for all) are named.
+    """
+    counted = [c for c in affected if c in before.columns and c in after.columns] if exact is None else exact
+    found = compare(profile(before, exact=counted), profile(after, exact=counted))
     intended = F.col("column").isin([*affected, "*dataset*"])
     return found.select(
         "column", "change_kind", "metric", "change_type", "absolute_delta", (~intended).alias("unintended")
     )
+
+
+def rerun_rules(before: DataFrame, after: DataFrame, checks: Sequence[Rule], affected: Sequence[str]) -> DataFrame:
+    """Rules on the affected columns evaluated on both versions: violations before and after, and rows that it repaired."""
+    mine = [r for r in checks if r.column in affected]
+    one, two = evaluate(before, mine), evaluate(after, mine)
+    old = one.select("rule", "column", "check", F.col("violations").alias("violations_before"), F.col("row_count").alias("rows_before"))
+    new = two.select("rule", "column", "check", F.col("violations").alias("violations_after"), F.col("row_count").alias("rows_after"), "status")
+    return old.join(new, ["rule", "column", "check"]).withColumn("repaired", F.col("violations_before") - F.col("violations_after"))
+
+
+def affected_rows(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Number of rows, by key, that a transformation added, removed, changed or left."""
+    return row_diff(before, after, keys).groupBy("row_status").agg(F.count(F.lit(1)).alias("n_rows"))

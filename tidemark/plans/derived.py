@@ -56,7 +56,7 @@ def pair_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One version of ``events`` per day, all profiled in one job."""
     daily = read(spark, sf_dir, "events").withColumn("version_number", F.dayofmonth("ts"))
-    p = profile(daily, by=["version_number"], exact=True, columns=["user_id", "event_type", "value"])
+    p = profile(daily, by=["version_number"], exact=True)
     return settle(p.select(F.lit("events").alias("dataset_id"), "*"))
 
 
@@ -177,7 +177,7 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as responses, each with a claim added by conversation."""
+    """Assistant turns as responses in two investigations, each with a claim added by conversation."""
     conv, turn = F.col("conv_id"), F.col("turn").cast("string")
     claim = (
         F.when(conv % 6 == 0, F.lit("The column 'conv_id' shows metric 'null_fraction'."))
@@ -185,7 +185,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(conv % 6 == 2, F.lit("Look at metric 'vibes' first."))
         .when(conv % 6 == 3, F.lit("This is a STRONG root cause."))
         .when(conv % 6 == 4, F.lit("The hypothesis is confirmed."))
-        .otherwise(F.lit("Nothing to add."))
+        .otherwise(F.lit("The column 'conv_id' is fine."))
     )
     sql = (
         F.when(conv % 5 == 0, F.lit("DROP TABLE dataset; delete from dataset"))
@@ -194,6 +194,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return read(spark, sf_dir, "conversations").filter("role = 'assistant'").select(
         F.concat_ws("-", conv.cast("string"), turn).alias("response_id"),
+        (conv % 2).alias("investigation_id"),
         F.col("text").alias("answer"),
         F.array(claim).alias("claims"),
         F.array(sql).alias("queries"),

@@ -10,6 +10,7 @@ SCHEMAS = {
     "conversations": "conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR",
     "customer": "c_custkey BIGINT, c_name VARCHAR, c_nationkey INTEGER, c_acctbal DOUBLE, c_mktsegment VARCHAR",
     "documents": "doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INTEGER",
     "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR",
     "labels": "doc_id BIGINT, quality INTEGER, toxic INTEGER",
     "lineitem": (
@@ -371,7 +372,6 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         profile_sql(
             "events", "events", version_keys("events", "dayofmonth(ts)"), "GROUP BY dayofmonth(ts)",
-            ("user_id", "event_type", "value"),
         ),
     ),
     "daily_pairs": (("daily",), PAIRS.format("daily")),
@@ -425,7 +425,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT conv_id || '-' || turn AS response_id, lower(text || ' ' || CASE conv_id % 6 "
         "WHEN 0 THEN 'The column ''conv_id'' shows metric ''null_fraction''.' "
         "WHEN 1 THEN 'The column ''ghost_' || turn || ''' drifted.' WHEN 2 THEN 'Look at metric ''vibes'' first.' "
-        "WHEN 3 THEN 'This is a STRONG root cause.' WHEN 4 THEN 'The hypothesis is confirmed.' ELSE 'Nothing to add.' END) AS full_text, "
+        "WHEN 3 THEN 'This is a STRONG root cause.' WHEN 4 THEN 'The hypothesis is confirmed.' ELSE 'The column ''conv_id'' is fine.' END) AS full_text, "
         "CASE conv_id % 5 WHEN 0 THEN 'DROP TABLE dataset; delete from dataset' WHEN 1 THEN 'SELECT drop_count FROM dataset' "
         "ELSE 'SELECT count(*) FROM dataset WHERE turn = ' || turn END AS query, conv_id, turn, "
         "conv_id % 2 = 0 AS has_strong, turn > 2 AS has_supported FROM conversations WHERE role = 'assistant'",

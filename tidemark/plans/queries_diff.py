@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import attribution, diff, drift, experiment, rootcause, synthesis, timeline
 from ..operators import audit as checks
+from ..operators.profile import profile
 from .catalog import query, select
 from .derived import Case, daily_profiles, event_versions, order_versions, pair_changes, pair_profiles, read, responses
 from .oracle import CHANGES, sid
@@ -353,6 +354,44 @@ def frequency_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.frequency_diff(*event_versions(spark, sf_dir), ["event_type"])
 
 
+TEXT_SQL = """
+SELECT text AS value, count(*) FILTER (WHERE doc_id % 9 <> 1) AS n_previous, count(*) FILTER (WHERE doc_id % 9 <> 0) AS n_current FROM documents GROUP BY text
+"""
+
+
+@query("frequency_texts", f"""
+SELECT 'text' AS "column", *, n_previous / (SELECT count(*) FROM documents WHERE doc_id % 9 <> 1) AS share_previous, n_current / (SELECT count(*) FROM documents WHERE doc_id % 9 <> 0) AS share_current,
+  n_current / (SELECT count(*) FROM documents WHERE doc_id % 9 <> 0) - n_previous / (SELECT count(*) FROM documents WHERE doc_id % 9 <> 1) AS share_delta
+FROM ({TEXT_SQL}) WHERE n_previous + n_current > 0""")
+def frequency_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as values; one version lacks some documents and the next lacks others."""
+    documents = read(spark, sf_dir, "documents")
+    return diff.frequency_diff(documents.filter("doc_id % 9 <> 1"), documents.filter("doc_id % 9 <> 0"), ["text"])
+
+
+@query("quantile_shift", select("""
+SELECT 'value' AS "column", q AS quantile, p AS previous, c AS current, round(c - p, 6) AS absolute_delta FROM (
+  SELECT unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE]) AS q, unnest((SELECT quantile_disc(value, [0.25, 0.5, 0.75]) FROM events)) AS p, unnest((SELECT quantile_disc(value, [0.25, 0.5, 0.75]) FROM ev2)) AS c)""", "ev2"))
+def quantile_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles of both versions of events, and how far they moved."""
+    cuts = (0.25, 0.5, 0.75)
+    p1, p2 = (profile(df, columns=["value"], quantiles=cuts, accuracy=10_000_000) for df in event_versions(spark, sf_dir))
+    out = diff.quantile_shifts(p1, p2, cuts)
+    return out.withColumn("absolute_delta", F.round("absolute_delta", 6))
+
+
+@query("row_diff_widened", """
+SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'modified' ELSE 'same' END AS row_status, count(*) AS n_keys FROM orders GROUP BY 1""")
+def row_diff_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key column read as INTEGER before and BIGINT after, and a number that became text, change no row; other values do."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("int").alias("o_custkey"), "o_totalprice")
+    later = orders.select(
+        "o_orderkey", (F.col("o_custkey").cast("bigint") + F.when(F.col("o_orderkey") % 10 == 0, 1).otherwise(0)).alias("o_custkey"),
+        F.col("o_totalprice").cast("string").alias("o_totalprice"),
+    )
+    return diff.row_diff(orders, later, ["o_orderkey"]).groupBy("row_status").agg(F.count("*").alias("n_keys"))
+
+
 @query("distribution_distance", select(f"""
 SELECT 'event_type' AS "column", count(*) AS n_values, round(sum(abs(share_current - share_previous)) / 2, 9) AS total_variation,
   round(sum((greatest(share_current, 1e-6) - greatest(share_previous, 1e-6)) * ln(greatest(share_current, 1e-6) / greatest(share_previous, 1e-6))), 9) AS stability_index
@@ -454,10 +493,10 @@ def experiment_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Audit of responses
 
 VIOLATION = "SELECT response_id, '{0}' AS \"check\", '{1}' AS severity, {2} AS detail FROM "
-COLUMN_SQL = VIOLATION.format("column", "ERROR", "c") + r"(SELECT response_id, unnest(list_distinct(regexp_extract_all(full_text, 'column\s+''([a-z0-9_]+)''', 1))) AS c FROM answers) WHERE c NOT IN ('conv_id', 'turn', 'role', 'text')"
+COLUMN_SQL = VIOLATION.format("column", "ERROR", "c") + r"(SELECT response_id, conv_id, unnest(list_distinct(regexp_extract_all(full_text, 'column\s+''([a-z0-9_]+)''', 1))) AS c FROM answers) WHERE CASE conv_id % 2 WHEN 0 THEN c NOT IN ('conv_id', 'turn', 'role', 'text') ELSE c NOT IN ('doc_id', 'text', 'lang', 'source', 'n_chars') END"
 METRIC_SQL = VIOLATION.format("metric", "ERROR", "c") + r"(SELECT response_id, unnest(list_distinct(regexp_extract_all(full_text, 'metric\s+''([a-z0-9_]+)''', 1))) AS c FROM answers) WHERE c NOT IN ('row_count', 'null_fraction', 'null_count', 'unique_fraction', 'unique_count', 'mean', 'min', 'max', 'duplicate_fraction')"
 SQL_SQL = VIOLATION.format("sql", "ERROR", "upper(w)") + r"(SELECT response_id, unnest(list_distinct(regexp_extract_all(lower(query), '\b(insert|update|delete|drop|alter|truncate|grant|revoke|commit|rollback)\b', 1))) AS w FROM answers)"
-CITATION_SQL = VIOLATION.format("citation", "WARN", "id") + "(SELECT DISTINCT response_id, unnest(['ev_' || conv_id, 'ev_' || (conv_id * 20)]) AS id FROM answers) WHERE id NOT IN (SELECT 'ev_' || doc_id FROM documents)"
+CITATION_SQL = VIOLATION.format("citation", "WARN", "id") + "(SELECT DISTINCT response_id, conv_id, unnest(['ev_' || conv_id, 'ev_' || (conv_id * 20)]) AS id FROM answers) WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE 'ev_' || d.doc_id = id AND d.doc_id % 2 = conv_id % 2)"
 OVERCLAIM_SQL = (
     VIOLATION.format("overclaim", "ERROR", "'strong root cause'") + "answers WHERE contains(full_text, 'strong') AND contains(full_text, 'root cause') AND NOT has_strong"
     "\nUNION ALL " + VIOLATION.format("overclaim", "ERROR", "'confirmed hypothesis'") + "answers WHERE (contains(full_text, 'confirmed') OR contains(full_text, 'is the reason')) AND contains(full_text, 'hypothesis') AND NOT has_supported"
@@ -465,12 +504,15 @@ OVERCLAIM_SQL = (
 
 
 def _schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names: list[Column] = [F.lit(c) for c in read(spark, sf_dir, "conversations").columns]
-    return spark.range(1).select(F.explode(F.array(*names)).alias("column"))
+    """Two investigations whose versions have different columns."""
+    rows = [(n, c) for n, t in enumerate(("conversations", "documents")) for c in read(spark, sf_dir, t).columns]
+    return spark.createDataFrame(rows, "investigation_id bigint, column string")
 
 
 def _evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.concat(F.lit("ev_"), F.col("doc_id").cast("string")).alias("id"))
+    """Each document is evidence of one of two investigations."""
+    doc = F.col("doc_id")
+    return read(spark, sf_dir, "documents").select((doc % 2).alias("investigation_id"), F.concat(F.lit("ev_"), doc.cast("string")).alias("id"))
 
 
 @query("audit_citations", select(CITATION_SQL, "answers"))

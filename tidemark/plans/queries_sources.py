@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.shared import new_path
-from ..operators import profile as prof, transform
+from ..operators import profile as prof, rules, transform
 from ..sources import fingerprints, readers, store
 from ..streaming import ingest
 from .catalog import query, select
@@ -152,6 +152,25 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b.drop("row_count"), "l_returnflag").select("l_returnflag", "row_count", same)
 
 
+CSV_SQL = """
+SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  ' || text || ' ' WHEN 3 THEN 'a "b", c' || chr(10) || text WHEN 4 THEN chr(9) || 'x' || chr(13) || chr(10) ELSE text END AS text, lang
+FROM documents
+"""
+
+
+@query("csv_round_trip", CSV_SQL)
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with newlines, blanks and quotes, empty texts and nulls, written as CSV and read again."""
+    n, text = F.col("doc_id") % 10, F.col("text")
+    shown = (
+        F.when(n == 0, None).when(n == 1, "").when(n == 2, F.concat(F.lit("  "), text, F.lit(" ")))
+        .when(n == 3, F.concat(F.lit('a "b", c\n'), text)).when(n == 4, F.lit("\tx\r\n")).otherwise(text)
+    )
+    documents = read(spark, sf_dir, "documents").select("doc_id", shown.alias("text"), "lang")
+    path = readers.write_version(documents, new_path(spark, "documents") + ".csv")
+    return readers.read_version(spark, path, schema=documents.schema)
+
+
 @query("write_version", "SELECT * FROM orders")
 def write_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = readers.write_version(read(spark, sf_dir, "orders"), new_path(spark, "orders") + ".parquet")
@@ -318,26 +337,49 @@ def fill_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform.fill_nulls(event_versions(spark, sf_dir)[1], "value", -1.0)
 
 
+@query("transform_rules", select("""
+SELECT 'NotNullRule' AS rule, 'value' AS "column", count(*) FILTER (WHERE value IS NULL) AS violations_before, 0::BIGINT AS violations_after, 'passed' AS status, count(*) FILTER (WHERE value IS NULL) AS repaired FROM ev2
+UNION ALL SELECT 'RangeRule', 'value', count(*) FILTER (WHERE value < 0), count(*) FILTER (WHERE value < 0 OR value IS NULL),
+  CASE WHEN count(*) FILTER (WHERE value < 0 OR value IS NULL) = 0 THEN 'passed' ELSE 'failed' END, -count(*) FILTER (WHERE value IS NULL) FROM ev2""", "ev2"))
+def transform_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on the filled column before and after nulls became -1: one is repaired, one is broken."""
+    ev2 = event_versions(spark, sf_dir)[1]
+    checks = [rules.not_null("value"), rules.in_range("value", 0), rules.not_null("channel")]
+    out = transform.rerun_rules(ev2, transform.filling("value", -1.0)(ev2), checks, ["value"])
+    return out.select("rule", "column", "violations_before", "violations_after", "status", "repaired")
+
+
+@query("transform_rows", """
+SELECT CASE WHEN o_totalprice IS NULL OR o_orderkey % 5 = 0 THEN 'modified' ELSE 'same' END AS row_status, count(*) AS n_rows FROM orders GROUP BY 1""")
+def transform_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that filling nulls changes, by key."""
+    orders = read(spark, sf_dir, "orders")
+    gaps = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")))
+    return transform.affected_rows(gaps, transform.filling("o_totalprice", -1.0)(gaps), ["o_orderkey"])
+
+
 @query("transform_log", select("""
-SELECT CAST(1 AS INTEGER) AS step, 'drop_duplicates' AS type_name, 'event_id' AS affected, count(DISTINCT event_id) AS n_rows, true AS chained FROM ev2
-UNION ALL SELECT 2, 'fill_nulls', 'value', count(DISTINCT event_id), true FROM ev2""", "ev2"))
+SELECT CAST(1 AS INTEGER) AS step, 'drop_duplicates' AS type_name, 'event_id' AS affected, count(DISTINCT event_id) AS n_rows, true AS chained,
+  'df = drop_duplicates(df, subset=[''event_id''], order_key=[''ts''])' AS generated_code FROM ev2
+UNION ALL SELECT 2, 'fill_nulls', 'value', count(DISTINCT event_id), true, 'df = fill_nulls(df, column=''value'', value=0.0)' FROM ev2""", "ev2"))
 def transform_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two repairs in a row, each a new version; the second starts from the fingerprint of the first."""
     ev2 = event_versions(spark, sf_dir)[1]
     paths = [new_path(spark, f"step{i}") + ".parquet" for i in (1, 2)]
     start = fingerprints.table_fingerprint(ev2)
-    one = transform.apply_drop_duplicates(ev2, ["event_id"], ["ts"], paths[0], start)
+    one = transform.write_step(ev2, transform.dropping(["event_id"], ["ts"]), paths[0], start)
     clean = readers.read_version(spark, paths[0])
     middle = fingerprints.table_fingerprint(clean)
-    two = transform.apply_fill_nulls(clean, "value", 0.0, paths[1], middle)
+    two = transform.write_step(clean, transform.filling("value", 0.0), paths[1], middle)
+    end = fingerprints.table_fingerprint(readers.read_version(spark, paths[1]))
     out = None
     for step, (row, path) in enumerate(zip((one, two), paths), start=1):
         rows = readers.read_version(spark, path).agg(F.count(F.lit(1))).scalar()
         expected = F.col("input_fingerprint") == (start if step == 1 else middle)
-        chained = expected & ((F.col("output_fingerprint") == middle) if step == 1 else F.lit(True))
+        chained = expected & (F.col("output_fingerprint") == (middle if step == 1 else end)) & (F.lit(middle != end))
         line = row.select(
             F.lit(step).alias("step"), "type_name", F.array_join("affected_columns", ",").alias("affected"),
-            rows.alias("n_rows"), chained.alias("chained"),
+            rows.alias("n_rows"), chained.alias("chained"), "generated_code",
         )
         out = line if out is None else out.unionByName(line)
     return out

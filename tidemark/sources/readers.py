@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".ndjson": "ndjson", ".json": "json"}
 DEFAULT_MAX_BYTES = 1 << 30
 CORRUPT = "_corrupt_record"
+NO_VALUE = "\x00"
 
 
 def format_of(path: str) -> str:
@@ -19,20 +20,22 @@ def format_of(path: str) -> str:
     return FORMATS[ext]
 
 
-def _reader(spark: SparkSession, fmt: str):
+def _reader(spark: SparkSession, fmt: str, multiline: bool = True):
     if fmt == "parquet":
         return spark.read.format("parquet")
     if fmt == "csv":
-        return spark.read.format("csv").option("header", True).option("escape", '"').option("multiLine", False)
+        # An empty field is null and a quoted empty one is the empty text, as no field holds the mark given for null.
+        reader = spark.read.format("csv").option("header", True).option("escape", '"').option("nullValue", NO_VALUE)
+        return reader.option("multiLine", multiline)
     if fmt in ("json", "ndjson"):
         return spark.read.format("json").option("multiLine", fmt == "json")
     raise ValueError(f"Unsupported format: {fmt}")
 
 
-def infer_schema(spark: SparkSession, path: str, fmt: str | None = None) -> T.StructType:
+def infer_schema(spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = True) -> T.StructType:
     """Column names and types of a version, without a corrupt-record column."""
     fmt = fmt or format_of(path)
-    reader = _reader(spark, fmt)
+    reader = _reader(spark, fmt, multiline)
     if fmt == "csv":
         reader = reader.option("inferSchema", True)
     fields = [f for f in reader.load(path).schema.fields if f.name != CORRUPT]
@@ -45,20 +48,22 @@ def read_version(
     fmt: str | None = None,
     schema: T.StructType | None = None,
     max_bytes: int | None = None,
+    multiline: bool = True,
 ) -> DataFrame:
     """Read one version of a dataset; the format follows the extension unless given.
 
-    A row that does not fit the schema fails the job. Give ``schema`` to skip the inference pass.
+    A row that does not fit the schema fails the job. Give ``schema`` to skip the inference pass. CSV fields may hold
+    newlines inside quotes, so each file is read by one task; ``multiline=False`` splits large files that have none.
     """
     fmt = fmt or format_of(path)
     if max_bytes is not None:
         require_size(spark, path, max_bytes)
     if fmt == "parquet":
         return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
-    schema = schema or infer_schema(spark, path, fmt)
+    schema = schema or infer_schema(spark, path, fmt, multiline)
     # Without column pruning every field of a CSV row is checked, whatever the query selects.
     return (
-        _reader(spark, fmt).schema(schema).option("mode", "FAILFAST").option("columnPruning", False).load(path)
+        _reader(spark, fmt, multiline).schema(schema).option("mode", "FAILFAST").option("columnPruning", False).load(path)
     )
 
 
@@ -116,11 +121,18 @@ def require_size(spark: SparkSession, path: str, max_bytes: int = DEFAULT_MAX_BY
 
 
 def write_version(df: DataFrame, path: str, fmt: str | None = None) -> str:
-    """Write a new version; an existing path is an error, so no version changes in place."""
+    """Write a new version; an existing path is an error, so no version changes in place.
+
+    CSV keeps blanks and newlines, and writes a null as an empty field and an empty text as a quoted one. With a single
+    column an empty line would be no row at all, so there a null is refused.
+    """
     fmt = fmt or format_of(path)
     writer = df.write.mode("errorifexists")
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        if len(df.columns) == 1 and not df.filter(F.col(f"`{df.columns[0]}`").isNull()).isEmpty():
+            raise ValueError("a CSV version of one column cannot hold nulls")
+        kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer.options(**kept).csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
     elif fmt == "ndjson":
