@@ -196,12 +196,15 @@ def test_ingest_is_idempotent(spark, tmp_path):
         return path
 
     paths = [put("v1", "abc"), put("v2", [None, None, "c"]), put("v3", [None, None, None])]
-    manifest = [("users", p, "parquet", f"h{i}", i) for i, p in enumerate(paths)]
-    first = spark.createDataFrame(manifest[:2] + [("users", paths[0], "parquet", "h0", 9)], ingest.MANIFEST)
-    later = spark.createDataFrame(manifest[1:], ingest.MANIFEST)
+    broken = tmp_path / "broken.parquet"
+    broken.write_text("no parquet")
+    manifest = [("w1", "users", p, "parquet", f"h{i}", i) for i, p in enumerate(paths)]
+    first = spark.createDataFrame(manifest[:2] + [("w1", "users", paths[0], "parquet", "h0", 9), ("w2", "other", str(broken), "parquet", "hb", 3)], ingest.MANIFEST)
+    later = spark.createDataFrame(manifest[1:] + [("w2", "other", paths[0], "parquet", "h9", 4)], ingest.MANIFEST)
     root = str(tmp_path / "registry")
-    ingest.ingest(first, 0, root)
-    ingest.ingest(later, 1, root)
+    exact = ("id", "email")
+    ingest.ingest(first, 0, root, exact)
+    ingest.ingest(later, 1, root, exact)
 
     def state():
         found = spark.read.parquet(f"{root}/findings")
@@ -209,6 +212,30 @@ def test_ingest_is_idempotent(spark, tmp_path):
 
     want = [(2, "NullRateShiftRule", "email"), (2, "UniquenessDropRule", "email"), (3, "NullRateShiftRule", "email"), (3, "UniquenessDropRule", "email")]
     assert state() == want
-    ingest.ingest(later, 1, root)
+    tables = ["versions", "findings", "investigations", "evidence", "attributions", "hypotheses", "attribution_evidence", "timeline", "rejected_versions"]
+    counts = [spark.read.parquet(f"{root}/{t}").count() for t in tables]
+    ingest.ingest(later, 1, root, exact)
     assert state() == want
-    assert spark.read.parquet(f"{root}/versions").count() == 3
+    assert [spark.read.parquet(f"{root}/{t}").count() for t in tables] == counts
+    assert counts[:3] == [5, 4, 2] and min(counts) > 0 and counts[4] == counts[5] == counts[6]
+    bad = ingest.table(spark, root, "rejected_versions").collect()
+    assert [(r["workspace_id"], r["dataset_id"], r["version_number"]) for r in bad] == [("w2", "other", 1)]
+    assert {r["workspace_id"] for r in ingest.table(spark, root, "findings").collect()} == {"w1"}
+    opened = {r["investigation_id"]: r["version_number"] for r in ingest.table(spark, root, "investigations").collect()}
+    log = ingest.table(spark, root, "timeline").collect()
+    assert {r["investigation_id"] for r in log} == set(opened)
+    kinds = {r["event_type"] for r in log}
+    assert {"STATUS_CHANGED", "DATASET_VERSION_CREATED", "HISTORICAL_CHANGE_DISCOVERED", "FINDING_DETECTED", "ATTRIBUTION_GENERATED", "HYPOTHESIS_CREATED"} <= kinds
+
+
+def test_many_manifest_rows_are_profiled_in_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "VERSIONS_PER_PLAN", 2)
+    rows = []
+    for i in range(5):
+        path = str(tmp_path / f"v{i}")
+        spark.range(i + 1).write.parquet(path)
+        rows.append(("w", "d", path, "parquet", f"h{i}", 0))
+    root = str(tmp_path / "registry")
+    ingest.ingest(spark.createDataFrame(rows, ingest.MANIFEST), 0, root)
+    got = sorted((r["version_number"], r["row_count"]) for r in ingest.table(spark, root, "column_profiles").collect())
+    assert got == [(i + 1, i + 1) for i in range(5)]  # equal arrival times are settled by the hash

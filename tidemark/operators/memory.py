@@ -1,14 +1,19 @@
 """Recall of resolved investigations that resemble a current one.
 
 Investigations with the same dataset, metrics and columns score alike against anything, so the past is
-first reduced to its distinct signatures, each with its newest members. Only those meet the current
-investigations, over the traits they share.
+first reduced to its distinct signatures, each with its newest members. The current investigations are the stated
+requests: in blocks, they are scored against the whole past.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.shared import settle
+
+#: Current signatures that are scored in one scan of the past.
+BLOCK = 200
+
 # Weights of a shared dataset, metric and column, and the highest score.
 SAME_DATASET = 0.5
 SHARED_METRIC = 0.3
@@ -40,16 +45,6 @@ def _signature(df: DataFrame) -> DataFrame:
     return df.withColumn("_sig", F.sha2(text, 256))
 
 
-def _tokens() -> Column:
-    """The traits an investigation can share, as prefixed texts."""
-    name = F.filter(F.array(F.concat(F.lit("d:"), _named("dataset_name"))), lambda t: t != "d:")
-    return F.concat(
-        name,
-        F.transform("metrics", lambda m: F.concat(F.lit("m:"), m)),
-        F.transform("columns", lambda c: F.concat(F.lit("c:"), c)),
-    )
-
-
 def similar(current: DataFrame, resolved: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` best past matches of each current investigation, newest first among equals.
 
@@ -59,22 +54,11 @@ def similar(current: DataFrame, resolved: DataFrame, k: int = 3) -> DataFrame:
     now = _signature(current.select("investigation_id", "dataset_name", "metrics", "columns"))
     # Each signature goes by the id of one member: numbers make smaller keys than the signature text.
     past_sig = past.filter("_nth = 1").withColumnRenamed("investigation_id", "_past")
-    now_sig = now.groupBy("_sig").agg(
+    now_sig = settle(now.groupBy("_sig").agg(
         F.min("investigation_id").alias("_now"),
         *[F.any_value(c).alias(c) for c in ("dataset_name", "metrics", "columns")],
-    )
-    a = now_sig.select("_now", F.explode(_tokens()).alias("_token"))
-    b = past_sig.select("_past", "created_at", F.explode(_tokens()).alias("_token"))
-    kind = F.left("_token", F.lit(1))
-    overlap = (
-        a.join(b, "_token")
-        .groupBy("_now", "_past", "created_at")
-        .agg(
-            F.count_if(kind == "d").alias("same_dataset"),
-            F.count_if(kind == "m").alias("n_metrics"),
-            F.count_if(kind == "c").alias("n_columns"),
-        )
-    )
+    ))
+    overlap = _scored(now_sig, past_sig)
     best = _best_signatures(overlap.withColumn("similarity_score", score()), k + 1)
     wanted = now.select(
         F.col("investigation_id").alias("current_id"), "_sig", F.col("dataset_name").alias("current_dataset"),
@@ -94,6 +78,29 @@ def similar(current: DataFrame, resolved: DataFrame, k: int = 3) -> DataFrame:
     return top.withColumn("matched_factors", factors()).drop("_sig", "_now", "_past", "_cm", "_cc", "metrics", "columns")
 
 
+def _scored(now_sig: DataFrame, past_sig: DataFrame) -> DataFrame:
+    """Shared traits of each current signature with each past one that shares any.
+
+    The requests go to the past in blocks of about ``BLOCK`` signatures, each an array in every row of one scan, so no
+    trait is a join key: a metric that half of the past has costs no more than any other. Scores are made and ranked
+    where the past rows are, before any shuffle.
+    """
+    n_blocks = max(1, -(-now_sig.count() // BLOCK))
+    out = None
+    for i in range(n_blocks):
+        block = now_sig.filter(F.pmod(F.xxhash64("_sig"), F.lit(n_blocks)) == i)
+        asked = block.agg(F.collect_list(F.struct("_now", _named("dataset_name").alias("d"), "metrics", "columns"))).scalar()
+        pairs = past_sig.select("_past", "created_at", _named("dataset_name").alias("_d"), "metrics", "columns", F.explode(asked).alias("_c"))
+        rows = pairs.select(
+            F.col("_c._now").alias("_now"), "_past", "created_at",
+            ((F.col("_d") != "") & (F.col("_d") == F.col("_c.d"))).cast("int").alias("same_dataset"),
+            F.size(F.array_intersect("metrics", F.col("_c.metrics"))).alias("n_metrics"),
+            F.size(F.array_intersect("columns", F.col("_c.columns"))).alias("n_columns"),
+        ).filter("same_dataset + n_metrics + n_columns > 0")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 def _newest_members(resolved: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` of each signature, numbered: later ones outrank no member that is kept.
 

@@ -505,8 +505,11 @@ OVERCLAIM_SQL = (
 
 def _schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two investigations whose versions have different columns."""
-    rows = [(n, c) for n, t in enumerate(("conversations", "documents")) for c in read(spark, sf_dir, t).columns]
-    return spark.createDataFrame(rows, "investigation_id bigint, column string")
+    names: list[Column] = [
+        F.struct(F.lit(n).cast("bigint").alias("investigation_id"), F.lit(c).alias("column"))
+        for n, t in enumerate(("conversations", "documents")) for c in read(spark, sf_dir, t).columns
+    ]
+    return spark.range(1).select(F.inline(F.array(*names)))
 
 
 def _evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,18 @@ def inbox_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.page(registry.search(derived.investigations(spark, sf_dir), status="OPEN"), number=3)
 
 
+@query("inbox_page_after", select("""
+SELECT * FROM incidents WHERE status = 'OPEN' ORDER BY created_at DESC, investigation_id LIMIT 10 OFFSET 20""", "incidents"))
+def inbox_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page, reached from the last row of each page before it."""
+    found = registry.search(derived.investigations(spark, sf_dir), status="OPEN")
+    key = (None, None)
+    for _ in range(2):
+        last = registry.page_after(found, *key).collect()[-1]  # ten rows
+        key = (last["created_at"], last["investigation_id"])
+    return registry.page_after(found, *key)
+
+
 RANK = "CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END"
 
 

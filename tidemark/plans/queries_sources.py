@@ -404,26 +404,57 @@ def transform_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Ingestion
 
 
+EXACT = ("event_id", "user_id")
+WEEKLY_CHANGES = (
+    f"SELECT * FROM ({CHANGES.replace('FROM joined', 'FROM weekly_joined').replace('FROM pairs', 'FROM weekly_pairs')}) "
+    f"WHERE change_type <> 'cardinality_shift' OR \"column\" IN {EXACT}"
+)
+
+
 @query("ingest_stream", select(
     'SELECT dataset_id, CAST(version_number AS BIGINT) AS version_number, "column", change_kind, metric, change_type, '
-    f"round(absolute_delta, 6) AS absolute_delta FROM ({CHANGES.replace('FROM joined', 'FROM weekly_joined').replace('FROM pairs', 'FROM weekly_pairs')})",
+    f"round(absolute_delta, 6) AS absolute_delta FROM ({WEEKLY_CHANGES})",
     "weekly_joined"))
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weeks of events arriving as versions, one of them twice, through the streaming ingest."""
+    """Changes between weeks of events that arrive as versions, one of them twice, through the streaming ingest."""
+    found = ingest.table(spark, _ingested(spark, sf_dir), "changes")
+    return found.select(
+        "dataset_id", "version_number", "column", "change_kind", "metric", "change_type",
+        F.round("absolute_delta", 6).alias("absolute_delta"),
+    )
+
+
+def _changed(where: str) -> str:
+    return f"(SELECT count(*) FROM c a WHERE a.version_number = f.version_number AND {where})"
+
+
+@query("ingest_investigations", select(f"""
+SELECT 'ws' AS workspace_id, dataset_id, CAST(version_number AS BIGINT) AS version_number, 'OPEN' AS status, count(*) AS n_findings, count(*) AS n_evidence,
+  CAST(sum(near + CASE WHEN far > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_attributions FROM (
+  SELECT f.*, {_changed("a.column IN (f.column, '*dataset*')").replace('.column', '."column"')} AS near, {_changed("a.column NOT IN (f.column, '*dataset*')").replace('.column', '."column"')} AS far
+  FROM (SELECT * FROM c WHERE CASE change_type WHEN 'null_rate_shift' THEN absolute_delta > 0.05 WHEN 'cardinality_shift' THEN absolute_delta < -0.05
+    WHEN 'distribution_shift' THEN abs(relative_delta) > 0.1 ELSE change_type IN ('type_changed', 'removed', 'added') END) f) GROUP BY 1, 2, 3, 4""".replace("FROM c", f"FROM ({WEEKLY_CHANGES})"), "weekly_joined"))
+def ingest_investigations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Investigations that the ingest opened, with their findings, evidence and attributions."""
+    root = _ingested(spark, sf_dir)
+    keys = ["workspace_id", "dataset_id", "version_number"]
+    counts = [ingest.table(spark, root, t).groupBy(*keys).agg(F.count("*").alias(f"n_{n}")) for t, n in (("evidence", "evidence"), ("attributions", "attributions"))]
+    opened = ingest.table(spark, root, "investigations").select(*keys, "status", "n_findings")
+    return opened.join(counts[0], keys).join(counts[1], keys)
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> str:
+    """Root of the tables that an ingest of six arrivals leaves."""
     root = new_path(spark, "ingest")
     events = read(spark, sf_dir, "events")
     week = F.floor((F.dayofmonth("ts") - 1) / 7).cast("int") + 1
     events.withColumn("week", week).write.partitionBy("week").parquet(f"{root}/events")
     for arrival, w in enumerate([1, 2, 2, 3, 4, 5], start=1):
         row = spark.range(1).select(
-            F.lit("events").alias("dataset_id"), F.lit(f"{root}/events/week={w}").alias("path"),
+            F.lit("ws").alias("workspace_id"), F.lit("events").alias("dataset_id"), F.lit(f"{root}/events/week={w}").alias("path"),
             F.lit("parquet").alias("format"),
             F.lit(f"hash{w}").alias("file_hash"), F.lit(arrival).cast("bigint").alias("arrival"),
         )
         row.coalesce(1).write.mode("append").json(f"{root}/manifests")
-    ingest.watch(spark, f"{root}/manifests", f"{root}/registry", f"{root}/checkpoint", per_batch=3).awaitTermination()
-    found = spark.read.parquet(f"{root}/registry/changes")
-    return found.select(
-        "dataset_id", "version_number", "column", "change_kind", "metric", "change_type",
-        F.round("absolute_delta", 6).alias("absolute_delta"),
-    )
+    ingest.watch(spark, f"{root}/manifests", f"{root}/registry", f"{root}/checkpoint", per_batch=3, exact=EXACT).awaitTermination()
+    return f"{root}/registry"
