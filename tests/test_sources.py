@@ -98,6 +98,17 @@ def test_file_hash(spark, tmp_path):
     path = write(tmp_path, "x.csv", "a\n1\n")
     row = fingerprints.file_hashes(spark, path).first()
     assert (row["length"], row["sha256"]) == (4, hashlib.sha256(b"a\n1\n").hexdigest())
+    assert fingerprints.file_hashes(spark, path, whole_bytes=1).first()["sha256"] == row["sha256"]
+
+
+def test_file_fingerprint_by_value(spark, tmp_path):
+    import os
+
+    path = write(tmp_path, "x.csv", "a\n1\n")
+    row = fingerprints.file_fingerprints(spark, path, "schema").first()
+    micros = os.stat(path).st_mtime_ns // 1_000_000 * 1000  # Spark lists times in milliseconds
+    want = hashlib.sha256(f"{row['path']}_4_{micros}_schema".encode()).hexdigest()[:16]
+    assert row["fingerprint"] == want
 
 
 def test_content_hash_sees_values_and_nulls_but_not_order(spark):

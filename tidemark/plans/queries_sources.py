@@ -113,6 +113,12 @@ def file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_part(fingerprints.file_hashes(spark, _files(spark, sf_dir))).select("part", "length", "sha256")
 
 
+@query("file_hash_long", f"SELECT part, CAST(strlen(body) AS BIGINT) AS length, sha256(body) AS sha256 FROM ({FILES_SQL})")
+def file_hash_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same digests when files over 1 kB are read in pieces."""
+    return _with_part(fingerprints.file_hashes(spark, _files(spark, sf_dir), whole_bytes=1000)).select("part", "length", "sha256")
+
+
 @query("file_fingerprint", f"SELECT part, CAST(strlen(body) AS BIGINT) AS length, true AS stable, true AS schema_matters FROM ({FILES_SQL})")
 def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints stay the same when listed again, and change with the schema fingerprint."""

@@ -8,6 +8,9 @@ from ..functions.hashing import table_hash
 from ..functions.types import type_label
 from .readers import list_files
 
+#: Files up to this size are hashed as one value.
+WHOLE_BYTES = 1 << 30
+
 
 def schema_rows(df: DataFrame, dataset_id: str) -> DataFrame:
     """One row per column: (dataset_id, ordinal, column, type), plus the row count of the table."""
@@ -37,10 +40,36 @@ def file_fingerprints(spark: SparkSession, path: str, schema_fp: str = "") -> Da
     return list_files(spark, path).withColumn("fingerprint", F.left(F.sha2(text, 256), F.lit(16)))
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of each file. Files must be smaller than 2 GB; use content_hash beyond."""
+def file_hashes(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """(path, length, sha256) of each file, of any size.
+
+    A file of up to ``whole_bytes`` is one value of Spark's file reader, which ends at 2 GB; a longer one is read in
+    pieces of 8 MB by the task that holds its path, so no task holds more. The digests are the same either way.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    small = files.filter(F.col("length") <= whole_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole_bytes).select("path", "length")
+
+    def digests(batches):
+        import hashlib
+
+        import pyarrow as pa
+        import pyarrow.fs
+
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                store, name = pyarrow.fs.FileSystem.from_uri(row["path"])
+                digest = hashlib.sha256()
+                with store.open_input_stream(name) as file:
+                    while piece := file.read(1 << 23):
+                        digest.update(piece)
+                out.append({**row, "sha256": digest.hexdigest()})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("length", pa.int64()), ("sha256", pa.string())]))
+
+    # A number of partitions, as adaptive execution would else put these few rows into one task.
+    dealt = large.repartition(max(1, min(large.count(), 1000)), "path")
+    return small.unionByName(dealt.mapInArrow(digests, "path string, length bigint, sha256 string"))
 
 
 def content_hash(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
