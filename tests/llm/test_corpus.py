@@ -239,7 +239,7 @@ def test_few_pairs_miss_all_bands():
     for _ in range(4000):
         agree = rng.random(order_minhash.SAMPLES) < 0.41
         missed += not any(agree[i] and agree[j] for i, j in order_minhash.BANDS)
-    assert missed <= 8
+    assert missed <= 40  # 0.005 of 4000 is 20
 
 
 def test_components_of_a_long_chain(spark):

@@ -15,7 +15,7 @@ are in one component already are left out; buckets of at most ``SMALL`` open mem
 until one finds no link, so a member that is unlike the first hub still finds its own neighbours.
 
 At a similarity of exactly 0.8 a sample agrees with probability 0.41 and a pair shares none of the 72 bands with
-probability 0.0002. Texts of up to 20 k-mers also sample two k-mers instead of four, as four are too many of so few.
+probability 0.005; at 0.85 with 0.0005. Texts of up to 20 k-mers also sample two k-mers instead of four, as four are too many of so few.
 
 Defined results: a null text is a class of its own; texts without words are in one class if they are equal; texts
 with fewer than five words only match an equal word sequence; the class id is the least id of its rows, null ids being
