@@ -39,12 +39,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from ..functions.shared import new_path, settle
+from .byte_bpe import byte_characters
 from .memo import Memo
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 SHARD_IDS = 8_000_000
-MEMO = 150_000
+MEMO = 400_000
 EVERY = 512
 #: Shards are read by at most so many tasks, each one shard at a time.
 MOST_READERS = 20_000
@@ -54,8 +55,11 @@ _HEAD, _PART = struct.Struct("<8sIIQQq"), struct.Struct("<QQQQQ")
 #: White space as the vocabulary's normalizer knows it: Python's, but for U+001C to U+001F.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile(r"[\S\x1c-\x1f]+")
-#: The pre-tokenizer's matches in lower-cased printable ASCII.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A)
+#: The pre-tokenizer's matches in lower-cased printable text below U+0180, whose letters and numbers are listed.
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ſ0-9²³¹¼½¾]+")
+_BEYOND_LATIN = "\u0180"
+#: The one letter below U+0180 whose lower case is not a single letter.
+_DOTTED_I = "\u0130"
 
 
 class EliasFano:
@@ -147,17 +151,22 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
-        self.pieces, self.words = Memo(self._piece, MEMO), Memo(self._word, MEMO)
+        self.characters = dict(enumerate(byte_characters()))
+        self.pieces, self.words = Memo(self._piece, MEMO // 4), Memo(self._word, MEMO)
 
     def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.characters)
         return array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable() and "<|" not in word:
-            return b"".join(map(self.pieces.__getitem__, _ASCII.findall(word.lower())))
+        if max(word) < _BEYOND_LATIN and word.isprintable() and _DOTTED_I not in word and "<|" not in word:
+            return b"".join(map(self.pieces.__getitem__, _LATIN.findall(word.lower())))
         return array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
+        if text.isascii() and "<|" not in text:
+            text = text.lower()  # as the normalizer does, so that fewer words are new
         words = _WORDS.findall(text) if _SEPARATORS.search(text) else text.split()
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
 
