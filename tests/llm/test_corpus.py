@@ -8,6 +8,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import byte_conv, decontaminate, line_chunks, order_minhash, quality_rules, toxicity
@@ -242,6 +243,25 @@ def test_few_pairs_miss_all_bands():
     assert missed <= 40  # 0.005 of 4000 is 20
 
 
+def test_large_buckets_are_exhausted(frame):
+    rng = np.random.default_rng(21)
+    texts = []
+    for i in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 40)]
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    df = frame(texts)
+    rows = order_minhash.signed_rows(df, "doc_id", "text").withColumn("bands", F.array(F.lit(1).cast("bigint")))
+    _, comps = order_minhash.link_rows(df, "text", rows)
+    ids = {r.row: r.id for r in rows.collect()}
+    by = collections.defaultdict(list)
+    for r in [] if comps is None else comps.collect():
+        by[r.comp].append(ids[r.node])
+    want = [sorted(texts[n][0] for n in c) for c in brute_classes(texts)]
+    assert sorted(sorted(c) for c in by.values()) == sorted(want) and len(want) == 150
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100)], "a bigint, b bigint")
     got = {r.node: r.comp for r in order_minhash.components(links).collect()}

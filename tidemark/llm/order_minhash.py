@@ -9,10 +9,12 @@ Candidates are compared by aligning their k-mers: M is the longest run of matche
 diagonals that a similar pair can use, and the similarity is M / (a + b - M), at least 0.8 for a link. As labelled
 k-mers are unique the alignment is an increasing subsequence.
 
-Classes are the connected components of the links. Equal word sequences are one node from the start. Within a bucket
-not all pairs are tried: each member meets a hub, first the least row, later another member each round; pairs that
-are in one component already are left out; buckets of at most ``SMALL`` open members try all their pairs. Rounds go on
-until one finds no link, so a member that is unlike the first hub still finds its own neighbours.
+Classes are the connected components of the links. Equal word sequences are one node from the start. A pair in one
+bucket is left out only if its texts are in one component already or too unlike in length. In buckets of at most
+``SMALL`` open members all pairs meet. In larger ones hubs meet all open members and are then retired from the bucket:
+first the least row, then four times as many each round, from the smallest components. A bucket ends when its open members
+are in one component, and the rounds end when all buckets have; so a bucket of n unlike members tries all n (n - 1) / 2
+pairs in about log4 n rounds, and near copies of one text meet one hub.
 
 At a similarity of exactly 0.8 a sample agrees with probability 0.41 and a pair shares none of the 72 bands with
 probability 0.005; at 0.85 with 0.0005. Texts of up to 20 k-mers also sample two k-mers instead of four, as four are too many of so few.
@@ -30,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.shared import settle
 from .blocks import ALNUM, blocks, counts, kgrams, mix, word_hashes, word_spans
@@ -221,19 +223,36 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _round_pairs(open_members: DataFrame, hub_by: str) -> DataFrame:
-    """Pairs of an open bucket: each member with the hub; in small buckets all pairs. Never of one component."""
-    sizes = open_members.groupBy("band").agg(F.count("*").alias("size"), F.min_by(F.struct("row", "n", "comp"), F.expr(hub_by)).alias("hub"))
+def _hubs(open_members: DataFrame, turn: int) -> DataFrame:
+    """band and hub: 4 ** turn members of each bucket of more than ``SMALL``, those of its smallest components first."""
+    large = open_members.groupBy("band").agg(F.count("*").alias("size"), F.min_by(F.struct("row", "n", "comp"), "row").alias("hub")).where(f"size > {SMALL}")
+    if turn == 0:
+        return large.select("band", "hub")
+    parts = open_members.groupBy("band", "comp").agg(F.count("*").alias("part"))
+    ranked = open_members.join(large.select("band"), "band", "left_semi").join(parts, ["band", "comp"])
+    place = F.row_number().over(Window.partitionBy("band").orderBy("part", F.xxhash64("row"), "row"))
+    return ranked.select("band", F.struct("row", "n", "comp").alias("hub"), place.alias("place")).where(F.col("place") <= 4**turn).select("band", "hub")
+
+
+def _round_pairs(open_members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs of an open bucket: each member with the hubs; in buckets without hubs all pairs. Never of one component."""
     fit = f"least(x.n, y.n) >= {SIMILARITY} * greatest(x.n, y.n)"
-    large = sizes.where(f"size > {SMALL}").selectExpr("band", "hub AS y")
-    star = open_members.selectExpr("band", "struct(row, n, comp) AS x").join(large, "band")
-    small = sizes.where(f"size <= {SMALL}").select("band")
-    few = open_members.join(small, "band", "left_semi").groupBy("band").agg(F.collect_list(F.struct("row", "n", "comp")).alias("all"))
+    star = open_members.selectExpr("band", "struct(row, n, comp) AS x").join(hubs.selectExpr("band", "hub AS y"), "band")
+    few = open_members.join(hubs.select("band"), "band", "left_anti").groupBy("band").agg(F.collect_list(F.struct("row", "n", "comp")).alias("all"))
     each = few.select("band", F.explode("all").alias("x"), "all").select("band", "x", F.explode("all").alias("y")).where("x.row < y.row")
     both = star.select("x", "y").union(each.select("x", "y")).where(f"x.comp <> y.comp AND {fit}")
     return both.selectExpr("least(x.row, y.row) AS a", "greatest(x.row, y.row) AS b").distinct()
 
 
+def _still_open(open_members: DataFrame, hubs: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Members that have not met all of their bucket, with their components: those of large buckets that were no hub."""
+    left = open_members.join(hubs.select("band").distinct(), "band", "left_semi").join(hubs.selectExpr("band", "hub.row AS row"), ["band", "row"], "left_anti")
+    if comps is not None:
+        left = left.drop("comp").join(comps, F.col("row") == F.col("node"), "left").selectExpr("band", "row", "n", "coalesce(comp, row) AS comp")
+    several = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+    return left.join(several, "band", "left_semi")
+
+
 def signed_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Stored: row, id, h (hash of the text), k1, k2, n, bands of every row; k1 is null for a null text."""
     s = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).isNull().alias("none"), signature_udf()(F.col(text_col)).alias("s"))
@@ -254,32 +273,39 @@ def link_rows(df: DataFrame, text_col: str, rows: DataFrame) -> tuple[DataFrame,
     texts = text.select("h", kmers_udf(bitmap)(F.coalesce("text", F.lit("")), F.col("h")).alias("kmers")).where("kmers IS NOT NULL")
     once = texts.join(rows_met, "h").groupBy("row").agg(F.first("kmers").alias("kmers"))
     kmers = settle(once)
+    left = kmers.selectExpr("row AS a", "kmers AS ka")
+    right = kmers.selectExpr("row AS b", "kmers AS kb")
     comps: DataFrame | None = None
+    tested: DataFrame | None = None
+    now = members.selectExpr("band", "row", "n", "row AS comp")
     turn = 0
     while True:
-        now = members.selectExpr("band", "row", "n", "row AS comp") if comps is None else members.join(comps, F.col("row") == F.col("node"), "left").selectExpr("band", "row", "n", "coalesce(comp, row) AS comp")
-        if comps is not None:
-            still = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-            now = now.join(still, "band", "left_semi")
-        pairs = settle(_round_pairs(now, "row" if turn == 0 else f"xxhash64(row, band, {turn})"))
-        left = kmers.selectExpr("row AS a", "kmers AS ka")
-        right = kmers.selectExpr("row AS b", "kmers AS kb")
+        hubs = settle(_hubs(now, turn))
+        fresh_pairs = _round_pairs(now, hubs)
+        pairs = settle(fresh_pairs if tested is None else fresh_pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.union(pairs)
         scored = pairs.join(left, "a").join(right, "b").select("a", "b", similarity_udf()(F.col("ka"), F.col("kb")).alias("s"))
         links = settle(scored.where(f"s >= {SIMILARITY}").select("a", "b"))
-        if links.isEmpty():
+        if not links.isEmpty():
+            comps = _joined(comps, links)
+        now = settle(_still_open(now, hubs, comps))
+        if now.isEmpty():
             return nodes, comps
-        if comps is None:
-            comps = components(links)
-        else:
-            known = comps.select(F.col("node"), F.col("comp"))
-            ends = links.join(known.selectExpr("node AS a", "comp AS ca"), "a", "left").join(known.selectExpr("node AS b", "comp AS cb"), "b", "left")
-            lifted = components(ends.selectExpr("coalesce(ca, a) AS a", "coalesce(cb, b) AS b")).selectExpr("node AS comp", "comp AS top")
-            old = known.join(lifted, "comp", "left").selectExpr("node", "coalesce(top, comp) AS comp")
-            fresh = lifted.join(known.select("node"), F.col("comp") == F.col("node"), "left_anti").selectExpr("comp AS node", "top AS comp")
-            comps = settle(old.union(fresh))
         turn += 1
 
 
+def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, comp) with further links between their nodes or new ones."""
+    if comps is None:
+        return components(links)
+    known = comps.select(F.col("node"), F.col("comp"))
+    ends = links.join(known.selectExpr("node AS a", "comp AS ca"), "a", "left").join(known.selectExpr("node AS b", "comp AS cb"), "b", "left")
+    lifted = components(ends.selectExpr("coalesce(ca, a) AS a", "coalesce(cb, b) AS b")).selectExpr("node AS comp", "comp AS top")
+    old = known.join(lifted, "comp", "left").selectExpr("node", "coalesce(top, comp) AS comp")
+    fresh = lifted.join(known.select("node"), F.col("comp") == F.col("node"), "left_anti").selectExpr("comp AS node", "top AS comp")
+    return settle(old.union(fresh))
+
+
 def classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, id, h, class (its least row), class_id, class_size and n_words-independent key of every row."""
     rows = signed_rows(df, id_col, text_col)
