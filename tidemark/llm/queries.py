@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_chunks
+from . import line_chunks, merkle
 from .byte_bpe import round_trip
 from .byte_conv import quality
 from .decontaminate import decontaminate
@@ -60,6 +60,10 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_chunks": op8_line_chunks,
     "op9_secrets": op9_secrets,
     "op10_order_minhash": op10_order_minhash,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op8_line_chunks": line_chunks.ORACLE}
+ORACLES: dict[str, str] = {"op8_line_chunks": line_chunks.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
