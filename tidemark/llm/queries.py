@@ -17,6 +17,8 @@ from .tables import table
 from .token_counts import token_counts
 from .token_files import through_files
 from .toxicity import toxicity
+from .turn_repair import repaired_conversations
+from .warc_bundles import through_archives
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +62,18 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_archives(table(spark, sf_dir, "pages"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -75,7 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_chunks": op8_line_chunks,
     "op9_secrets": op9_secrets,
     "op10_order_minhash": op10_order_minhash,
+    "op11_warc_bundles": op11_warc_bundles,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 ORACLES: dict[str, str] = {"op8_line_chunks": line_chunks.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
