@@ -6,9 +6,10 @@ response in a chunk stays (max pooling). The mean and the maximum over all chunk
 probability by logistic regression. Chunks meet only in that mean and maximum, so a text of any length needs the memory
 of a few chunks at a time.
 
-Learning: labelled rows outside the held-out fold, at most ``SAMPLE`` of them (least hash of the id), each with at
-most ``TRAIN_CHUNKS`` chunks spread evenly over the whole text, are fitted on the driver by Adam. The model has a few
-thousand floats. Scoring reads whole texts, in one pass without a shuffle.
+Learning: labelled rows outside the held-out fold, in order of the hash of their id, at most ``SAMPLE`` of them and no
+more than hold ``SAMPLE_BYTES`` of text together, are fitted on the driver by Adam. Each is learned from whole, all its
+chunks pooled as they are in scoring. The model has a few thousand floats. Scoring reads whole texts, in one pass
+without a shuffle.
 
 Defined results: a null or empty text is one chunk of padding; without labels, or with labels of one value only,
 every text gets the share of good labels (0 without any); ids with null or contradicting labels are not learned from; a
@@ -26,7 +27,7 @@ from .labelled import held_out, training_rows
 
 CHUNK, OVERLAP = 512, 64
 VECTOR, WIDTH, STRIDE, FILTERS = 6, 8, 2, 24
-SAMPLE, TRAIN_CHUNKS = 6_000, 8
+SAMPLE, SAMPLE_BYTES = 6_000, 32_000_000
 EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.01, 1e-4
 #: Chunks that are in memory as windows at a time.
 ABREAST = 128
@@ -51,6 +52,13 @@ def chunk_bytes(data: np.ndarray, offsets: np.ndarray, first: int, last: int, n:
     return np.where(inside, np.append(data, np.uint8(0))[np.where(inside, at, len(data))], 0)
 
 
+def all_chunks(text: np.ndarray) -> np.ndarray:
+    """The chunks of one text."""
+    at = np.array([0, len(text)])
+    n = n_chunks(np.diff(at))
+    return chunk_bytes(text, at, 0, int(n[0]), n, np.array([0, int(n[0])])).astype(np.uint8)
+
+
 class Network:
     """Byte vectors, filters with thresholds, and the weights of the pooled responses."""
 
@@ -98,7 +106,7 @@ class Network:
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Network:
-    """A network fitted to texts given as chunks (each chunks x CHUNK)."""
+    """A network fitted to texts given as bytes."""
     net = Network(seed)
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
@@ -112,10 +120,10 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Network:
         order = random.permutation(len(texts))
         for lo in range(0, len(order), BATCH):
             rows = order[lo : lo + BATCH]
-            n = np.array([len(texts[r]) for r in rows])
+            n = n_chunks(np.array([len(texts[r]) for r in rows]))
             begin = np.concatenate([[0], np.cumsum(n)])
-            chunks = np.concatenate([texts[r] for r in rows])
-            h, at = net.pooled(chunks, where=True)
+            chunks = np.concatenate([all_chunks(texts[r]) for r in rows])
+            h, at = (np.concatenate(x) for x in zip(*[net.pooled(chunks[k : k + ABREAST], where=True) for k in range(0, len(chunks), ABREAST)], strict=True))
             mean = np.add.reduceat(h, begin[:-1], axis=0) / n[:, None]
             most = np.maximum.reduceat(h, begin[:-1], axis=0)
             pooled = np.concatenate([mean, most], 1)
@@ -141,24 +149,6 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Network:
     return net
 
 
-def chunks_udf():
-    """Arrow UDF: text to at most TRAIN_CHUNKS of its chunks, spread evenly, as bytes."""
-
-    @F.arrow_udf("binary")
-    def chunks(texts: pa.Array) -> pa.Array:
-        out = []
-        for lo, hi, data, offsets in blocks(texts):
-            for i in range(hi - lo):
-                own, at = data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]])
-                n = n_chunks(np.diff(at))
-                begin = np.array([0, int(n[0])])
-                chosen = np.unique(np.linspace(0, n[0] - 1, min(TRAIN_CHUNKS, int(n[0]))).round().astype(int))
-                out.append(b"".join(chunk_bytes(own, at, int(k), int(k) + 1, n, begin).astype(np.uint8).tobytes() for k in chosen))
-        return pa.array(out, pa.binary())
-
-    return chunks
-
-
 def score_udf(model):
     """Arrow UDF: text to score."""
 
@@ -174,8 +164,9 @@ def score_udf(model):
 
 def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, cutoff: float = CUTOFF) -> DataFrame:
     """One row per input row: id, held_out, score, predicted."""
-    rows = training_rows(df, labels, id_col, text_col, label_col, lambda c: held_out(c, FOLDS, HELD_OUT), sample, chunks_udf())
-    net = fit([np.frombuffer(r["x"], np.uint8).reshape(-1, CHUNK) for r in rows], np.array([float(r["label"] == 1) for r in rows]))
+    whole = lambda text: F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    rows = training_rows(df, labels, id_col, text_col, label_col, lambda c: held_out(c, FOLDS, HELD_OUT), sample, whole, SAMPLE_BYTES)
+    net = fit([np.frombuffer(r["x"], np.uint8) for r in rows], np.array([float(r["label"] == 1) for r in rows]))
     model = df.sparkSession.sparkContext.broadcast(net)
     scored = df.select(F.col(id_col), held_out(id_col, FOLDS, HELD_OUT).alias("held_out"), score_udf(model)(F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= cutoff).cast("int"))

@@ -6,11 +6,12 @@ pair of terms that is toxic only together (an insult and the group it is aimed a
 additive model cannot give. The pair sum costs one pass, as half of (sum v)^2 - sum v^2 in each dimension.
 
 Learning: labelled rows outside the held-out fold, at most ``SAMPLE`` of them (those with the least hash of their id; all
-if there are fewer), each as its buckets, are fitted on the driver by AdaGrad with weight decay. Buckets in fewer than
-``LEAST_TEXTS`` training texts, or whose share of toxic texts is within ``LEAST_Z`` standard errors of the rest, stay
-zero: no rare word of a long text can move its score. The model has
-(1 + ``RANK``) floats a bucket, 9 MB whatever the data, and is broadcast. Scoring is one pass over whole texts, without a
-shuffle.
+if there are fewer), each as its buckets, are fitted on the driver by AdaGrad with weight decay, in two parts. First
+the weights alone, of buckets whose share of toxic texts is ``LEAST_Z`` standard errors or more from the rest. Then the vectors of
+*every* bucket in at least ``LEAST_TEXTS`` texts, neutral ones included, along with the weights: they begin near zero, and
+a text whose error is at most ``EASY`` moves nothing, so vectors grow where weights leave errors, and ``FLOOR`` keeps
+the first steps as small as the gradients. The model has (1 + ``RANK``) floats a bucket, 9 MB whatever the data, and is
+broadcast. Scoring is one pass over whole texts, without a shuffle.
 
 Defined results: a null or empty text has no terms and gets the score of the bias; without labels, or with labels of
 one value only, every text gets the share of toxic labels (0 without any); ids with null or contradicting labels are
@@ -33,7 +34,8 @@ RANK = 8
 PREFIX = 5
 SAMPLE = 16_000
 LEAST_TEXTS, LEAST_Z = 4, 4.0
-EPOCHS, BATCH, RATE, DECAY, SPREAD = 12, 64, 0.2, 1e-3, 0.02
+EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.2, 1e-3
+PAIR_EPOCHS, PAIR_RATE, SPREAD, FLOOR, EASY = 6, 0.1, 0.003, 1e-2, 0.01
 CUTOFF = 0.3
 FOLDS, HELD_OUT = 4, 2
 
@@ -77,7 +79,7 @@ class Machine:
 
 
 def associated(ids: np.ndarray, label: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Buckets whose share of toxic texts differs from that of all texts by ``LEAST_Z`` standard errors."""
+    """Buckets in enough texts whose share of toxic texts differs from that of all texts by ``LEAST_Z`` standard errors."""
     n, toxic = len(labels), labels.sum()
     seen, hits = np.bincount(ids, minlength=1 << BITS), np.bincount(ids, weights=label, minlength=1 << BITS)
     p = seen / n
@@ -94,35 +96,54 @@ def fit(ids: np.ndarray, at: np.ndarray, labels: np.ndarray, seed: int = 7) -> M
     if not 0 < share < 1:
         return flat
     random = np.random.default_rng(seed)
-    used = associated(ids, np.repeat(labels, np.diff(at)), labels)
-    keep = used[ids]
-    at, ids = np.concatenate([[0], np.cumsum(keep)])[at], ids[keep]
-    m = Machine(flat.w, (random.standard_normal((size, RANK)) * SPREAD).astype(np.float32) * used[:, None], bias)
-    seen_w, seen_v, seen_b = np.full(size, 1e-6, np.float32), np.full((size, RANK), 1e-6, np.float32), 1e-6
-    for _ in range(EPOCHS):
+    linear = associated(ids, np.repeat(labels, np.diff(at)), labels)
+    paired = np.bincount(ids, minlength=size) >= LEAST_TEXTS
+    seen_w, seen_v = np.full(size, 1e-6, np.float32), np.full(size, FLOOR, np.float32)
+    seen_b = _fit_part(flat, _of(linear, ids, at), labels, random, EPOCHS, linear, False, seen_w, seen_v, 1e-6)
+    flat.v[paired] = (random.standard_normal((int(paired.sum()), RANK)) * SPREAD).astype(np.float32)
+    _fit_part(flat, _of(linear | paired, ids, at), labels, random, PAIR_EPOCHS, linear, True, seen_w, seen_v, seen_b)
+    return flat
+
+
+def _of(keep: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with the buckets of ``keep`` only."""
+    own = keep[ids]
+    return ids[own], np.concatenate([[0], np.cumsum(own)])[at]
+
+
+def _rows_of(ids: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = at[rows + 1] - at[rows]
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    return ids[np.repeat(at[rows] - begin[:-1], sizes) + np.arange(begin[-1])], begin
+
+
+def _fit_part(m: Machine, texts: tuple[np.ndarray, np.ndarray], labels: np.ndarray, random, epochs: int, linear: np.ndarray, pairs: bool, seen_w: np.ndarray, seen_v: np.ndarray, seen_b: float) -> float:
+    """Epochs of AdaGrad over weights, and with ``pairs`` over vectors; texts already right to ``EASY`` are passed over."""
+    for _ in range(epochs):
         order = random.permutation(len(labels))
         for lo in range(0, len(order), BATCH):
             rows = order[lo : lo + BATCH]
-            sizes = at[rows + 1] - at[rows]
-            begin = np.concatenate([[0], np.cumsum(sizes)])
-            mine = ids[np.repeat(at[rows] - begin[:-1], sizes) + np.arange(begin[-1])]
-            margin, total = m.margin(mine, begin)
+            margin, total = m.margin(*_rows_of(*texts, rows))
             error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[rows]).astype(np.float32)
-            of = np.repeat(np.arange(len(rows)), sizes)
-            by = np.argsort(mine, kind="stable")
-            bucket, first = np.unique(mine[by], return_index=True)
-            if len(bucket):
-                each = error[of]
-                grad_w = np.add.reduceat(each[by], first) / len(rows) + DECAY * m.w[bucket] / len(rows)
-                grad_v = np.add.reduceat((each[:, None] * (total[of] - m.v[mine]))[by], first, axis=0) / len(rows) + DECAY * m.v[bucket] / len(rows)
-                seen_w[bucket] += grad_w**2
-                seen_v[bucket] += grad_v**2
-                m.w[bucket] -= RATE * grad_w / np.sqrt(seen_w[bucket])
-                m.v[bucket] -= 0.3 * RATE * grad_v / np.sqrt(seen_v[bucket])
             grad_b = float(error.mean())
             seen_b += grad_b**2
             m.bias -= RATE * grad_b / seen_b**0.5
-    return m
+            wrong = np.flatnonzero(np.abs(error) > EASY)
+            mine, begin = _rows_of(*texts, rows[wrong])
+            of = np.repeat(wrong, np.diff(begin))
+            by = np.argsort(mine, kind="stable")
+            bucket, first = np.unique(mine[by], return_index=True)
+            if not len(bucket):
+                continue
+            each = error[of]
+            grad_w = (np.add.reduceat(each[by], first) + DECAY * m.w[bucket]) / len(rows) * linear[bucket]
+            if pairs:
+                grad_v = (np.add.reduceat((each[:, None] * (total[of] - m.v[mine]))[by], first, axis=0) + DECAY * m.v[bucket]) / len(rows)
+                seen_v[bucket] += (grad_v**2).sum(1)
+                m.v[bucket] -= (PAIR_RATE / np.sqrt(seen_v[bucket]))[:, None] * grad_v
+            seen_w[bucket] += grad_w**2
+            m.w[bucket] -= RATE * grad_w / np.sqrt(seen_w[bucket])
+    return seen_b
 
 
 def buckets_udf():
