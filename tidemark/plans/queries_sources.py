@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.shared import new_path
 from ..operators import profile as prof, rules, transform
-from ..sources import fingerprints, readers, store
+from ..sources import fingerprints, readers, split_files, store
 from ..streaming import ingest
 from .catalog import query, select
 from .derived import daily_profiles, event_versions, keyed, order_versions, read
@@ -63,6 +63,45 @@ def malformed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select("c_custkey", F.col(readers.CORRUPT).alias("raw"))
 
 
+NOTED = "SELECT c_custkey, c_name || chr(10) || 'of \"' || c_mktsegment || '\"' AS note, c_acctbal FROM customer"
+
+
+@query("scan_csv_split", NOTED)
+def scan_csv_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields with quoted newlines, read by as many tasks as the files have blocks."""
+    noted = read(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat("c_name", F.lit('\nof "'), "c_mktsegment", F.lit('"')).alias("note"), "c_acctbal"
+    )
+    path = readers.write_version(noted, new_path(spark, "customer") + ".csv")
+    return _as(split_files.read_csv_split(spark, path), noted)
+
+
+@query("malformed_rows_split", "SELECT c_custkey, c_custkey || ',\"' || c_name || chr(10) || '\",extra' AS raw FROM customer WHERE c_mktsegment = 'MACHINERY'")
+def malformed_rows_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a field too many, found by the split reader, newlines inside."""
+    customer = read(spark, sf_dir, "customer")
+    extra = F.when(F.col("c_mktsegment") == "MACHINERY", ",extra").otherwise("")
+    row = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit('\n"'), extra)
+    part = F.floor(F.col("c_custkey") / 500).alias("part")
+    text = customer.groupBy(part).agg(F.concat(F.lit("id,name\n"), F.array_join(F.collect_list(row), "\n")).alias("value"))
+    path = new_path(spark, "customer") + ".csv"
+    text.write.partitionBy("part").text(path)
+    schema = spark.createDataFrame([], "c_custkey bigint, c_name string").schema
+    return split_files.split_malformed_csv(spark, path, schema)[1].select("c_custkey", F.col(readers.CORRUPT).alias("raw"))
+
+
+@query("scan_json_split", "SELECT c_custkey, c_name, c_mktsegment AS segment, '}{\"][' || c_nationkey AS note FROM customer")
+def scan_json_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of records that hold objects, braces and quotes, read by as many tasks as the files have blocks."""
+    note = F.concat(F.lit('}{"]['), F.col("c_nationkey").cast("string")).alias("note")
+    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.struct(F.col("c_mktsegment").alias("segment"), note).alias("more"))
+    part = F.floor(F.col("c_custkey") / 500).alias("part")
+    arrays = customer.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*customer.columns))).alias("value"))
+    path = new_path(spark, "customer") + ".json"
+    arrays.write.partitionBy("part").text(path)
+    return split_files.read_json_split(spark, path, customer.schema).select("c_custkey", "c_name", "more.*")
+
+
 SCHEMA_SQL = "\nUNION ALL ".join(
     f"SELECT '{t}' AS dataset_id, CAST({i} AS INTEGER) AS ordinal, '{c}' AS \"column\", '{kind}' AS type, "
     f"(SELECT count(*) FROM {t}) AS row_count"
