@@ -7,11 +7,13 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import byte_conv, decontaminate, line_chunks, order_minhash, quality_rules, toxicity
+from tidemark.llm import byte_conv, decontaminate, labelled, line_chunks, order_minhash, quality_rules, toxicity
+from tidemark.llm.blocks import flat
 from tidemark.llm.queries import ORACLES, QUERIES
 
 SMALL, SF_DIR = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -235,12 +237,22 @@ def test_order_matters():
     assert order_minhash.aligned(a, np.roll(a, 50)) < 0.8 <= order_minhash.aligned(a, np.roll(a, 5))
 
 
-def test_few_pairs_miss_all_bands():
-    rng, missed = np.random.default_rng(1), 0
-    for _ in range(4000):
-        agree = rng.random(order_minhash.SAMPLES) < 0.41
-        missed += not any(agree[i] and agree[j] for i, j in order_minhash.BANDS)
-    assert missed <= 40  # 0.005 of 4000 is 20
+@pytest.mark.parametrize("n", [5, 9, 10, 18, 27, 32, 36, 41, 45, 54, 63, 108, 450])
+def test_few_pairs_miss_all_bands(n):
+    """Pairs at the least similarity of 0.8 or more that n k-mers each allow, by their own signatures."""
+    rng = np.random.default_rng(n)
+    other = n - int(np.ceil(1.6 * n / 1.8 - 1e-9))  # k-mers of each that the other lacks
+    pairs = []
+    for _ in range(1000):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, n + 4)]
+        at = 0 if rng.random() < 0.5 else n + 4 - other
+        pairs.append((words, [*words[:at], *[f"v{x}" for x in rng.integers(0, 10**9, other)], *words[at + other :]]))
+    sides = []
+    for side in (0, 1):
+        data, offsets = flat(pa.array([" ".join(p[side]) for p in pairs]))
+        sides.append(order_minhash.signature_block(data, offsets)[4])
+    missed = sum(not set(x.tolist()) & set(y.tolist()) for x, y in zip(*sides, strict=True))
+    assert missed <= 5  # 0.995 are found
 
 
 def test_large_buckets_are_exhausted(frame):
@@ -262,9 +274,29 @@ def test_large_buckets_are_exhausted(frame):
     assert sorted(sorted(c) for c in by.values()) == sorted(want) and len(want) == 150
 
 
+def test_templates_do_not_meet(frame, monkeypatch):
+    """Two thousand unlike texts with a long part in common, in one bucket, and near copies among them."""
+    rng = np.random.default_rng(31)
+    shared = [f"t{x}" for x in range(100)]
+    texts = [(i, " ".join([*shared, *(f"w{x}" for x in rng.integers(0, 10**9, 40))])) for i in range(2000)]
+    texts += [(2000 + i, texts[7 * i][1] + " more") for i in range(60)] + [(3000 + i, texts[7 * i][1] + " other") for i in range(30)]
+    order = rng.permutation(len(texts))
+    df = frame([texts[i] for i in order])
+    rows = order_minhash.signed_rows(df, "doc_id", "text").withColumn("bands", F.array(F.lit(1).cast("bigint")))
+    searches = []
+    monkeypatch.setattr(order_minhash, "_Search", lambda kmers, make=order_minhash._Search: searches.append(make(kmers)) or searches[-1])
+    _, comps = order_minhash.link_rows(df, "text", rows)
+    ids = {r.row: r.id for r in rows.collect()}
+    by = collections.defaultdict(list)
+    for r in comps.collect():
+        by[r.comp].append(ids[r.node])
+    assert sorted(sorted(c) for c in by.values()) == [[7 * i, 2000 + i, 3000 + i] if i < 30 else [7 * i, 2000 + i] for i in range(60)]
+    assert searches[0].tested.count() <= len(texts) + 200  # one hub met all; all pairs would be two million
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100)], "a bigint, b bigint")
-    got = {r.node: r.comp for r in order_minhash.components(links).collect()}
+    got = {r.node: r.comp for r in order_minhash.components(links, links.count()).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
 
 
@@ -320,15 +352,63 @@ def test_pairs_of_terms_are_learned():
         texts.append(np.unique(np.concatenate([rng.integers(100, 200, 3), [1] if a else [2], [3] if b else [4]])).astype(np.int32))
         labels.append(float(a == b))
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    keep, toxicity.LEAST_Z = toxicity.LEAST_Z, 0.0
-    try:
-        machine = toxicity.fit(np.concatenate(texts), at, np.array(labels))
-    finally:
-        toxicity.LEAST_Z = keep
+    assert not toxicity.associated(np.concatenate(texts), np.repeat(labels, np.diff(at)), np.array(labels))[:5].any()
+    machine = toxicity.fit(np.concatenate(texts), at, np.array(labels))
     score = machine.score(np.concatenate(texts), at)
     assert auc(score, np.array(labels)) > 0.95
 
 
+def test_pair_sums_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    machine = toxicity.Machine(rng.normal(size=50), rng.normal(size=(50, 8)), 0.3)
+    texts = [rng.permutation(50)[:n] for n in (0, 1, 2, 7, 30)]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got, _ = machine.margin(np.concatenate(texts).astype(int), at)
+    want = [0.3 + sum(machine.w[i] for i in t) + sum(machine.v[i] @ machine.v[j] for i, j in itertools.combinations(t, 2)) for t in texts]
+    assert np.allclose(got, want)
+
+
+def test_convolution_equals_loops():
+    rng = np.random.default_rng(6)
+    net = byte_conv.Network(3)
+    net.shift[:] = rng.normal(size=byte_conv.FILTERS)
+    texts = [rng.integers(1, 256, n).astype(np.uint8) for n in (0, 3, 512, 700, 1500)]
+    got = net.score(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    for text, score in zip(texts, got, strict=True):
+        step, pooled = byte_conv.CHUNK - byte_conv.OVERLAP, []
+        for begin in range(0, max(1, len(text) - byte_conv.OVERLAP), step):
+            own = np.zeros(byte_conv.CHUNK, np.uint8)
+            part = text[begin : begin + byte_conv.CHUNK]
+            own[: len(part)] = part
+            places = range(0, byte_conv.CHUNK - byte_conv.WIDTH + 1, byte_conv.STRIDE)
+            pooled.append([max(0.0, max(float(net.vectors[own[p : p + byte_conv.WIDTH]].ravel() @ net.filters[:, f]) for p in places) + net.shift[f]) for f in range(byte_conv.FILTERS)])
+        z = np.concatenate([np.mean(pooled, 0), np.max(pooled, 0)]) @ net.weights + net.bias[0]
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_whole_texts_are_learned_from():
+    """Good and bad texts differ in one short passage of many kilobytes, at any place."""
+    rng = np.random.default_rng(9)
+    texts, labels = [], []
+    for i in range(160):
+        text = rng.choice(np.frombuffer(b"abcdefgh ", np.uint8), 12_000).copy()
+        at = int(rng.integers(0, 11_900))
+        text[at : at + 60] = np.frombuffer((b"#!" if i % 2 else b"xy") * 30, np.uint8)
+        texts.append(text)
+        labels.append(float(i % 2))
+    net = byte_conv.fit(texts[:120], np.array(labels[:120]))
+    score = net.score(np.concatenate(texts[120:]), np.arange(41) * 12_000)
+    assert auc(score, np.array(labels[120:])) > 0.95
+
+
+def test_sample_is_bound_by_bytes(spark, frame):
+    df = frame([(i, "x" * (1000 + i)) for i in range(50)] + [(7, "short"), (60, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(50), 60]], "doc_id bigint, quality int")
+    rows = labelled.training_rows(df, labels, "doc_id", "text", "quality", lambda c: F.col(c) < 0, 40, lambda t: t, 10_000)
+    assert 8 <= len(rows) <= 11 and sum(len(r["x"] or "") for r in rows) <= 10_000
+    assert len(labelled.training_rows(df, labels, "doc_id", "text", "quality", lambda c: F.col(c) < 0, 40, lambda t: t, 5)) in (1, 2)
+
+
 def test_chunks_cover_whole_texts():
     rng = np.random.default_rng(2)
     sizes = np.array([0, 1, 511, 512, 513, 960, 961, 5000])

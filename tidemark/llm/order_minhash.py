@@ -3,21 +3,29 @@
 A text is its lower-cased words; its k-mers are runs of five words, each labelled with its occurrence number, so no
 text has a k-mer twice. A sample takes the ``PICK`` k-mers with the least hashes and hashes them *in text order*: two
 texts agree on it only if they share those k-mers in the same order, which follows edit similarity where plain MinHash
-follows the set. Two samples make a band; texts that share a band are candidates.
+follows the set. Each sample is a band; texts that share a band are candidates.
 
 Candidates are compared by aligning their k-mers: M is the longest run of matches in order, inside the band of
 diagonals that a similar pair can use, and the similarity is M / (a + b - M), at least 0.8 for a link. As labelled
 k-mers are unique the alignment is an increasing subsequence.
 
 Classes are the connected components of the links. Equal word sequences are one node from the start. A pair in one
-bucket is left out only if its texts are in one component already or too unlike in length. In buckets of at most
-``SMALL`` open members all pairs meet. In larger ones hubs meet all open members and are then retired from the bucket:
-first the least row, then four times as many each round, from the smallest components. A bucket ends when its open members
-are in one component, and the rounds end when all buckets have; so a bucket of n unlike members tries all n (n - 1) / 2
-pairs in about log4 n rounds, and near copies of one text meet one hub.
-
-At a similarity of exactly 0.8 a sample agrees with probability 0.41 and a pair shares none of the 72 bands with
-probability 0.005; at 0.85 with 0.0005. Texts of up to 20 k-mers also sample two k-mers instead of four, as four are too many of so few.
+bucket is left out only if it is in one component already, too unlike in length, or can't be similar by its k-mers:
+
+* In buckets of at most ``SMALL`` members all pairs meet. In larger ones all members meet one hub.
+* Members of large buckets that are still in several components meet by the *prefix* of their k-mers. A link needs
+  0.8 n common k-mers of a text's n, so with all k-mers in one order, rare ones first, two similar texts share one of
+  their n - ceil(0.8 n) + 1 first. The order is by number of such members, then hash. Texts that are alike by boilerplate
+  only have k-mers of their own at the front and never meet.
+* Members that share such a k-mer are a bucket again. A member's *room* there is the number of its k-mers from that one on.
+  At the first k-mer two texts share, all they have in common lies in the room of both, so both rooms must hold the
+  4 (a + b) / 9 common k-mers a link needs, and the shorter text's room 8/9 of its own. Only members with that much room
+  become hubs; a hub meets all open members it has room with and is retired: first the one with the largest
+  share of room, then 32 times as many each round. A bucket ends when its open members are in one
+  component or none is left to be a hub, and the rounds end when all buckets have.
+
+At a similarity of exactly 0.8 a sample of six agrees with probability 0.21 to 0.26, so a pair shares none of the 24 bands with
+probability 0.004 at most; at 0.85 with 0.0004. Texts of up to 40 k-mers also sample three, as six are too many of so few.
 
 Defined results: a null text is a class of its own; texts without words are in one class if they are equal; texts
 with fewer than five words only match an equal word sequence; the class id is the least id of its rows, null ids being
@@ -41,10 +49,14 @@ from .tables import free_name
 K = 5
 SIMILARITY = 0.8
 SAMPLES = 24
-PICK, PICK_SHORT, SHORT = 4, 2, 16
-#: The two samples of each band: each sample with those 1, 5 and 7 further on.
-BANDS = [(i, (i + d) % SAMPLES) for d in (1, 5, 7) for i in range(SAMPLES)]
+PICK, PICK_SHORT, SHORT = 6, 3, 32
 SMALL = 8
+GROWTH = 32
+ROWS_PER_FILE = 50_000
+#: Small sides of joins are broadcast up to so many narrow rows, and k-mers up to so many (16 MB).
+BROADCAST_ROWS, BROADCAST_KMERS = 100_000, 2_000_000
+#: Least room of the shorter text of a link, as a part of its k-mers.
+HUB_ROOM = 2 * SIMILARITY / (1 + SIMILARITY)
 MAP_BITS = 26
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -110,8 +122,7 @@ def signature_block(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
         mine = np.zeros(n_texts, bool)
         mine[texts] = True
         of = mine[own]
-        samples = np.stack([_sample(kmers[of], own[of], n, texts, pick, s) for s in _SEEDS], 1)
-        made = np.stack([mix(samples[:, i] * _STEP + samples[:, j] + np.full(1, 2 * b + (pick == PICK), np.uint64) * _SPREAD) for b, (i, j) in enumerate(BANDS)], 1)
+        made = np.stack([mix(_sample(kmers[of], own[of], n, texts, pick, s) + np.full(1, 2 * b + (pick == PICK), np.uint64) * _SPREAD) for b, s in enumerate(_SEEDS)], 1)
         for t, row in zip(texts.tolist(), made, strict=True):
             bands[t] = np.concatenate([bands[t], row]) if len(bands[t]) else row
     return halves[0], halves[1], n_words, n, bands
@@ -141,21 +152,20 @@ def signature_udf():
 
 
 def kmers_udf(bitmap):
-    """Arrow UDF: text and its hash to its labelled k-mers (32 bits each), null for texts that are no candidates."""
+    """Arrow UDF: text and its hash to its labelled k-mers, null for texts that are no candidates."""
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("array<bigint>")
     def kmers(texts: pa.Array, hashes: pa.Array) -> pa.Array:
         bits, slot = bitmap.value, hashes.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - MAP_BITS)
         wanted = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        out: list[bytes | None] = [None] * len(texts)
+        sizes, values = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint64)]
         at = np.flatnonzero(wanted)
         for lo, hi, data, offsets in blocks(pc.utf8_lower(texts.take(pa.array(at)))):
             found, own, _, _ = labelled_kmers(data, offsets)
-            ends = np.concatenate([[0], np.cumsum(counts(own, hi - lo))])
-            small = (found >> np.uint64(32)).astype(np.uint32)
-            for i in range(hi - lo):
-                out[at[lo + i]] = small[ends[i] : ends[i + 1]].tobytes()
-        return pa.array(out, pa.binary())
+            sizes[at[lo:hi]] = counts(own, hi - lo)
+            values.append(found)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).view(np.int64)), mask=pa.array(~wanted))
 
     return kmers
 
@@ -187,11 +197,12 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
 
 
 def similarity_udf():
-    """Arrow UDF: two binary k-mer sequences to their similarity."""
+    """Arrow UDF: two k-mer sequences to their similarity."""
 
     @F.arrow_udf("double")
     def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([aligned(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) for x, y in zip(a, b, strict=True)], pa.float64())
+        (x, u), (y, v) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (a, b))
+        return pa.array([aligned(x[u[i] : u[i + 1]], y[v[i] : v[i + 1]]) for i in range(len(a))], pa.float64())
 
     return similarity
 
@@ -206,104 +217,178 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
     return bits
 
 
-def components(links: DataFrame) -> DataFrame:
+def _near(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table for the small side of a join: broadcast where it has at most ``BROADCAST_ROWS`` narrow rows (a few
+    megabytes), joined by shuffle where it has more."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _narrow(df: DataFrame, rows: int) -> DataFrame:
+    """A table of narrow rows, stored in a number of files that follows ``rows`` and not the number of partitions."""
+    return settle(df.repartition(max(8, rows // ROWS_PER_FILE)))
+
+
+def components(links: DataFrame, n_links: int) -> DataFrame:
     """node and comp (the least node of its component) of all nodes of ``links`` (a, b).
 
     Each step takes the least label of a node's neighbours and then that label's own label; every step is stored.
     """
-    edges = settle(links.select("a", "b").union(links.selectExpr("b AS a", "a AS b")).distinct())
-    labels = settle(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).selectExpr("node", "least(node, comp) AS comp"))
+    edges = _narrow(links.select("a", "b").union(links.selectExpr("b AS a", "a AS b")).distinct(), 2 * n_links)
+    labels = _narrow(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).selectExpr("node", "least(node, comp) AS comp"), n_links)
+    rows = labels.count()
     while True:
-        around = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
-        step = settle(labels.join(around, F.col("node") == F.col("a")).selectExpr("node", "comp AS old", "least(comp, near) AS comp"))
-        jump = step.selectExpr("node AS to", "comp AS further")
-        new = settle(step.join(jump, F.col("comp") == F.col("to")).selectExpr("node", "old", "least(comp, further) AS comp"))
+        around = edges.join(_near(labels, rows), F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
+        step = around.join(_near(labels, rows), F.col("node") == F.col("a")).selectExpr("node", "comp AS old", "least(comp, near) AS comp")
+        jump = _near(labels.selectExpr("node AS to", "comp AS further"), rows)
+        new = _narrow(step.join(jump, F.col("comp") == F.col("to")).selectExpr("node", "old", "least(comp, further) AS comp"), rows)
         labels = new.select("node", "comp")
         if new.where("comp <> old").isEmpty():
             return labels
 
 
+_CAN_BE_HUB = f"room >= {HUB_ROOM} * n - 1e-9"
+
+
 def _hubs(open_members: DataFrame, turn: int) -> DataFrame:
-    """band and hub: 4 ** turn members of each bucket of more than ``SMALL``, those of its smallest components first."""
-    large = open_members.groupBy("band").agg(F.count("*").alias("size"), F.min_by(F.struct("row", "n", "comp"), "row").alias("hub")).where(f"size > {SMALL}")
+    """band and hub: GROWTH ** turn members of each bucket, those with the largest share of room first; in the first turn
+    only of buckets of more than ``SMALL``."""
+    share = F.col("room") / F.col("n")
+    member = F.struct("row", "n", "comp", "room")
+    if turn == 0:
+        able = F.when(F.expr(_CAN_BE_HUB), F.struct(-share, "row"))
+        return open_members.groupBy("band").agg(F.count("*").alias("size"), F.min_by(member, able).alias("hub")).where(f"size > {SMALL} AND hub IS NOT NULL").select("band", "hub")
+    place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc(share), "row"))
+    return open_members.where(_CAN_BE_HUB).select("band", member.alias("hub"), place.alias("place")).where(F.col("place") <= GROWTH**turn).select("band", "hub")
+
+
+def _round_pairs(open_members: DataFrame, hubs: DataFrame, rows: int, turn: int) -> DataFrame:
+    """Pairs of an open bucket: each member with the hubs; in small buckets all pairs. Never of one component."""
+    fit = f"x.comp <> y.comp AND least(x.room, y.room) >= {HUB_ROOM / 2} * (x.n + y.n) - 1e-9"
+    pairs = open_members.selectExpr("band", "struct(row, n, comp, room) AS x").join(_near(hubs.selectExpr("band", "hub AS y"), rows), "band").select("x", "y").where(fit)
     if turn == 0:
-        return large.select("band", "hub")
-    parts = open_members.groupBy("band", "comp").agg(F.count("*").alias("part"))
-    ranked = open_members.join(large.select("band"), "band", "left_semi").join(parts, ["band", "comp"])
-    place = F.row_number().over(Window.partitionBy("band").orderBy("part", F.xxhash64("row"), "row"))
-    return ranked.select("band", F.struct("row", "n", "comp").alias("hub"), place.alias("place")).where(F.col("place") <= 4**turn).select("band", "hub")
-
-
-def _round_pairs(open_members: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Pairs of an open bucket: each member with the hubs; in buckets without hubs all pairs. Never of one component."""
-    fit = f"least(x.n, y.n) >= {SIMILARITY} * greatest(x.n, y.n)"
-    star = open_members.selectExpr("band", "struct(row, n, comp) AS x").join(hubs.selectExpr("band", "hub AS y"), "band")
-    few = open_members.join(hubs.select("band"), "band", "left_anti").groupBy("band").agg(F.collect_list(F.struct("row", "n", "comp")).alias("all"))
-    each = few.select("band", F.explode("all").alias("x"), "all").select("band", "x", F.explode("all").alias("y")).where("x.row < y.row")
-    both = star.select("x", "y").union(each.select("x", "y")).where(f"x.comp <> y.comp AND {fit}")
-    return both.selectExpr("least(x.row, y.row) AS a", "greatest(x.row, y.row) AS b").distinct()
-
-
-def _still_open(open_members: DataFrame, hubs: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Members that have not met all of their bucket, with their components: those of large buckets that were no hub."""
-    left = open_members.join(hubs.select("band").distinct(), "band", "left_semi").join(hubs.selectExpr("band", "hub.row AS row"), ["band", "row"], "left_anti")
+        few = open_members.join(_near(hubs.select("band"), rows), "band", "left_anti").groupBy("band").agg(F.count("*").alias("size"), F.collect_list(F.struct("row", "n", "comp", "room")).alias("all"))
+        each = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.row < y.row")
+        pairs = pairs.union(each.where(fit))
+    return pairs.selectExpr("least(x.row, y.row) AS a", "greatest(x.row, y.row) AS b").distinct()
+
+
+def _still_open(open_members: DataFrame, hubs: DataFrame, rows: int, comps: DataFrame | None, nodes: int) -> DataFrame:
+    """Members that have not met all of their bucket, with their components: those of buckets with hubs that were none."""
+    left = open_members.join(_near(hubs.select("band").distinct(), rows), "band", "left_semi").join(_near(hubs.selectExpr("band", "hub.row AS row"), rows), ["band", "row"], "left_anti")
     if comps is not None:
-        left = left.drop("comp").join(comps, F.col("row") == F.col("node"), "left").selectExpr("band", "row", "n", "coalesce(comp, row) AS comp")
-    several = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    return left.join(several, "band", "left_semi")
+        left = left.drop("comp").join(_near(comps, nodes), F.col("row") == F.col("node"), "left").selectExpr("band", "row", "n", "coalesce(comp, row) AS comp", "room")
+    return _several(left)
+
+
+def _several(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components and a member that can be a hub."""
+    live = members.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.expr(f"bool_or({_CAN_BE_HUB})").alias("able"))
+    return members.join(live.where("lo <> hi AND able").select("band"), "band", "left_semi")
+
+
+def _prefix_members(open_members: DataFrame, kmers: DataFrame) -> DataFrame:
+    """The open texts as members of new buckets, one for each k-mer of the prefixes of several texts."""
+    open_members = settle(open_members)
+    own = _narrow(open_members.select("row", "n", "comp").distinct(), open_members.count())
+    each = settle(kmers.join(_near(own, own.count()), "row").select("row", "n", "comp", F.explode("kmers").alias("band")))
+    common = each.groupBy("band").agg(F.count("*").alias("seen")).where("seen > 1")
+    mine = Window.partitionBy("row")
+    place = F.row_number().over(mine.orderBy("seen", "band")) + F.col("n") - F.count("*").over(mine)  # those of no other text come first
+    ranked = each.join(common, "band").withColumn("place", place)
+    front = ranked.where(f"place <= n - ceil({SIMILARITY} * n - 1e-9) + 1")
+    return _several(settle(front.selectExpr("band", "row", "n", "comp", "n - place + 1 AS room")))
+
+
+def _second_hash(text_col: str):
+    return F.xxhash64(F.lit(1), text_col)
 
 
 def signed_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Stored: row, id, h (hash of the text), k1, k2, n, bands of every row; k1 is null for a null text."""
-    s = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).isNull().alias("none"), signature_udf()(F.col(text_col)).alias("s"))
-    return settle(s.selectExpr("id", "h", "if(none, NULL, s.k1) AS k1", "s.k2", "if(none, 0, s.n) AS n", "if(none, NULL, s.bands) AS bands", "monotonically_increasing_id() AS row"))
+    """Stored: row, id, h, h2 (hashes of the text), k1, k2, n, bands of every row; k1 is null for a null text."""
+    s = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), _second_hash(text_col).alias("h2"), F.col(text_col).isNull().alias("none"), signature_udf()(F.col(text_col)).alias("s"))
+    return settle(s.selectExpr("id", "h", "h2", "if(none, NULL, s.k1) AS k1", "s.k2", "if(none, 0, s.n) AS n", "if(none, NULL, s.bands) AS bands", "monotonically_increasing_id() AS row"))
 
 
 def link_rows(df: DataFrame, text_col: str, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Stored word sequences (k1, k2, row, least id, rows) and components of their rows (node, comp); no links: None."""
-    nodes = settle(rows.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("row").alias("row"), F.min("id").alias("least_id"), F.count("*").alias("rows")))
-    bands = rows.join(nodes.select("row"), "row", "left_semi").select("row", "n", F.explode("bands").alias("band"))
-    shared = settle(bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band"))
+    first = F.min_by(F.struct("row", "n", "h", "h2", "bands"), "row").alias("x")
+    nodes = settle(rows.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(first, F.min("id").alias("least_id"), F.count("*").alias("rows")).select("k1", "k2", "x.*", "least_id", "rows"))
+    bands = nodes.select("row", "n", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
     members = settle(bands.join(shared, "band", "left_semi"))
-    rows_met = settle(members.select("row").distinct().join(rows.select("row", "h"), "row"))
-    if rows_met.isEmpty():
+    met = _narrow(members.select("row").distinct().join(nodes.select("row", "h", "h2"), "row"), members.count() // len(_SEEDS))
+    if met.isEmpty():
         return nodes, None
-    bitmap = df.sparkSession.sparkContext.broadcast(bitmap_of(rows_met.select("h")))
-    text = df.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    texts = text.select("h", kmers_udf(bitmap)(F.coalesce("text", F.lit("")), F.col("h")).alias("kmers")).where("kmers IS NOT NULL")
-    once = texts.join(rows_met, "h").groupBy("row").agg(F.first("kmers").alias("kmers"))
-    kmers = settle(once)
-    left = kmers.selectExpr("row AS a", "kmers AS ka")
-    right = kmers.selectExpr("row AS b", "kmers AS kb")
-    comps: DataFrame | None = None
-    tested: DataFrame | None = None
-    now = members.selectExpr("band", "row", "n", "row AS comp")
-    turn = 0
-    while True:
-        hubs = settle(_hubs(now, turn))
-        fresh_pairs = _round_pairs(now, hubs)
-        pairs = settle(fresh_pairs if tested is None else fresh_pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.union(pairs)
-        scored = pairs.join(left, "a").join(right, "b").select("a", "b", similarity_udf()(F.col("ka"), F.col("kb")).alias("s"))
-        links = settle(scored.where(f"s >= {SIMILARITY}").select("a", "b"))
-        if not links.isEmpty():
-            comps = _joined(comps, links)
-        now = settle(_still_open(now, hubs, comps))
-        if now.isEmpty():
-            return nodes, comps
-        turn += 1
-
-
-def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components (node, comp) with further links between their nodes or new ones."""
-    if comps is None:
-        return components(links)
-    known = comps.select(F.col("node"), F.col("comp"))
-    ends = links.join(known.selectExpr("node AS a", "comp AS ca"), "a", "left").join(known.selectExpr("node AS b", "comp AS cb"), "b", "left")
-    lifted = components(ends.selectExpr("coalesce(ca, a) AS a", "coalesce(cb, b) AS b")).selectExpr("node AS comp", "comp AS top")
-    old = known.join(lifted, "comp", "left").selectExpr("node", "coalesce(top, comp) AS comp")
-    fresh = lifted.join(known.select("node"), F.col("comp") == F.col("node"), "left_anti").selectExpr("comp AS node", "top AS comp")
-    return settle(old.union(fresh))
+    bitmap = df.sparkSession.sparkContext.broadcast(bitmap_of(met.select("h")))
+    text = df.select(F.xxhash64(text_col).alias("h"), _second_hash(text_col).alias("h2"), F.col(text_col).alias("text"))
+    texts = text.select("h", "h2", kmers_udf(bitmap)(F.coalesce("text", F.lit("")), F.col("h")).alias("kmers")).where("kmers IS NOT NULL")
+    kmers = settle(texts.groupBy("h", "h2").agg(F.first("kmers").alias("kmers")).join(met, ["h", "h2"]).select("row", "kmers"))
+    search = _Search(kmers)
+    now = search.round(members.selectExpr("band", "row", "n", "row AS comp", "n AS room"), 0)
+    if not now.isEmpty():
+        search.bring_up_to_date()
+        now, turn = _prefix_members(now, kmers), 0
+        while True:
+            now, turn = search.round(now, turn), turn + 1
+            if now.isEmpty():
+                break
+    search.bring_up_to_date()
+    return nodes, search.comps
+
+
+class _Search:
+    """The rounds of comparing candidates: components found so far, and pairs that need not be tested again."""
+
+    def __init__(self, kmers: DataFrame):
+        size = kmers.agg(F.sum(F.size("kmers"))).first()[0] or 0
+        kmers = F.broadcast(kmers) if size <= BROADCAST_KMERS else kmers
+        self.left, self.right = kmers.selectExpr("row AS a", "kmers AS ka"), kmers.selectExpr("row AS b", "kmers AS kb")
+        self.comps: DataFrame | None = None
+        self.nodes = 0
+        self.tested: DataFrame | None = None
+        self.n_tested = 0
+        self.pending: DataFrame | None = None
+        self.n_pending = 0
+        self.size = 0
+
+    def round(self, now: DataFrame, turn: int) -> DataFrame:
+        """Test the pairs of a round; the members that have not met all of their bucket.
+
+        Components only spare pairs, so a round that found links for few of its members leaves them for later.
+        """
+        now = _narrow(now, self.size) if self.size else now
+        self.size = now.count()
+        hubs = _narrow(_hubs(now, turn), self.size)
+        rows = hubs.count()
+        fresh = _round_pairs(now, hubs, rows, turn)
+        pairs = _narrow(fresh if self.tested is None else fresh.join(_near(self.tested, self.n_tested), ["a", "b"], "left_anti"), self.size)
+        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        self.n_tested += pairs.count()
+        scored = pairs.join(self.left, "a").join(self.right, "b").select("a", "b", similarity_udf()(F.col("ka"), F.col("kb")).alias("s"))
+        links = _narrow(scored.where(f"s >= {SIMILARITY}").select("a", "b"), self.size)
+        found = links.count()
+        if found:
+            self.pending, self.n_pending = links if self.pending is None else self.pending.union(links), self.n_pending + found
+        if found * 1000 >= self.size:
+            self.bring_up_to_date()
+        return _still_open(now, hubs, rows, self.comps, self.nodes)
+
+    def bring_up_to_date(self) -> None:
+        """Take the links found since the last time into the components."""
+        if self.pending is None:
+            return
+        links, found = self.pending, self.n_pending
+        self.pending, self.n_pending = None, 0
+        if self.comps is None:
+            self.comps = components(links, found)
+        else:
+            known = _near(self.comps, self.nodes)
+            ends = links.join(known.selectExpr("node AS a", "comp AS ca"), "a", "left").join(known.selectExpr("node AS b", "comp AS cb"), "b", "left")
+            lifted = components(ends.selectExpr("coalesce(ca, a) AS a", "coalesce(cb, b) AS b"), found).selectExpr("node AS comp", "comp AS top")
+            old = self.comps.join(_near(lifted, lifted.count()), "comp", "left").selectExpr("node", "coalesce(top, comp) AS comp")
+            fresh = lifted.join(known.select("node"), F.col("comp") == F.col("node"), "left_anti").selectExpr("comp AS node", "top AS comp")
+            self.comps = _narrow(old.union(fresh), self.nodes + found)
+        self.nodes = self.comps.count()
 
 
 def classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
