@@ -239,3 +239,34 @@ def test_many_manifest_rows_are_profiled_in_groups(spark, tmp_path, monkeypatch)
     ingest.ingest(spark.createDataFrame(rows, ingest.MANIFEST), 0, root)
     got = sorted((r["version_number"], r["row_count"]) for r in ingest.table(spark, root, "column_profiles").collect())
     assert got == [(i + 1, i + 1) for i in range(5)]  # equal arrival times are settled by the hash
+
+
+def test_passing_errors_fail_the_batch(spark, tmp_path, monkeypatch):
+    """A read that fails for a passing reason sets nothing aside; the batch that runs again takes the version in."""
+    path = str(tmp_path / "v1")
+    spark.range(3).write.parquet(path)
+    batch = spark.createDataFrame([("007", "d", path, "parquet", "h", 0)], ingest.MANIFEST)
+    root, read = str(tmp_path / "registry"), ingest.read_version
+
+    def failing(*_):
+        raise RuntimeError("Job aborted due to stage failure: ExecutorLostFailure (no space left on device)")
+
+    monkeypatch.setattr(ingest, "read_version", failing)
+    with pytest.raises(RuntimeError):
+        ingest.ingest(batch, 0, root)
+    monkeypatch.setattr(ingest, "read_version", read)
+    ingest.ingest(batch, 0, root)
+    assert ingest.stored(spark, root, "rejected_versions", ingest.REJECTED + ", batch_id bigint", 9).isEmpty()
+    assert [(r["workspace_id"], r["version_number"], r["row_count"]) for r in ingest.table(spark, root, "column_profiles").collect()] == [("007", 1, 3)]
+
+
+def test_a_missing_version_may_come_again(spark, tmp_path):
+    there, path, root = str(tmp_path / "v0"), str(tmp_path / "v1"), str(tmp_path / "registry")
+    spark.range(2).write.parquet(there)
+    rows = [("w", "d", there, "parquet", "h0", 0), ("w", "d", path, "parquet", "h1", 1)]
+    ingest.ingest(spark.createDataFrame(rows, ingest.MANIFEST), 0, root)
+    assert [(r["version_number"], r["retry"]) for r in ingest.table(spark, root, "rejected_versions").collect()] == [(2, True)]
+    spark.range(3).write.parquet(path)
+    ingest.ingest(spark.createDataFrame(rows, ingest.MANIFEST), 1, root)
+    got = sorted((r["version_number"], r["row_count"]) for r in ingest.table(spark, root, "column_profiles").collect())
+    assert got == [(1, 2), (3, 3)]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.shared import settle
 from ..functions.text import case_sql, fixed_sql, percent_sql, stable_id, value_sql
 from .profile import distinct_counts, profile
+from .recommend import ACTIONS
 from .semantics import classify, near_threshold
 
 # Weight of each role and criticality of each rule.
@@ -376,16 +377,30 @@ def finding_evidence(found: DataFrame) -> DataFrame:
 
 
 # Mark of each severity in the text report.
-SEVERITY_ICONS = {"CRITICAL": "🔴", "HIGH": "🟠", "MEDIUM": "🟡", "LOW": "🔵", "INFO": "⚪"}
+SEVERITY_ICONS = {"CRITICAL": "!", "HIGH": "X", "MEDIUM": "-", "LOW": ".", "INFO": "i"}
 
 
-def findings_report(found: DataFrame) -> DataFrame:
-    """One line of text per finding."""
-    line = (
-        f"{case_sql('severity', SEVERITY_ICONS, '⚪')} || ' [' || severity || '] ' || title || ' | affected ' || "
-        f"{percent_sql('affected_fraction')} || ' | confidence ' || {percent_sql('confidence', 0)} AS line"
-    )
-    return found.selectExpr("finding_id", "impact_score", line)
+def findings_report(found: DataFrame, explain: bool = True) -> DataFrame:
+    """The text report as ordered lines: (finding_id, impact_score, place, line), without the blank lines.
+
+    ``explain`` adds the explanation and the SQL of query evidence. Everything follows from the finding's own row.
+    """
+    lines = [
+        f"'[' || {case_sql('severity', SEVERITY_ICONS, ' ')} || '] ' || severity",
+        "title",
+        f"'Affected: ' || {percent_sql('affected_fraction')}",
+        f"'Confidence: ' || {percent_sql('confidence', 0)}",
+        *(["'Explanation:'", "'  ' || description"] if explain else []),
+        "'Evidence:'",
+        "'  - [METRIC] Observed ' || violations || ' violations'",
+        "'  - [QUERY] SQL query used to detect the violation'",
+        *(["'    SQL: ' || check"] if explain else []),
+    ]
+    actions = [f"CASE WHEN category = {value_sql(c)} THEN {value_sql(f'  {place[1:]}. [{kind}] {why}')} END" for c, place, kind, _, why in ACTIONS]
+    with_actions = " OR ".join(f"category = {value_sql(c)}" for c in dict.fromkeys(a[0] for a in ACTIONS))
+    lines += [f"CASE WHEN {with_actions} THEN 'Suggested next steps:' END", *actions]
+    all_lines = F.array_compact(F.expr(f"array({', '.join(lines)})"))
+    return found.select("finding_id", "impact_score", F.posexplode(all_lines).alias("place", "line"))
 
 
 def export_rules(found: DataFrame) -> DataFrame:

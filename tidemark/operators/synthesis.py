@@ -114,29 +114,30 @@ def report(
         lines(attributions.join(ids, KEY), 3, F.expr(best_first),
               F.concat(F.lit("- ["), F.col("relevance"), F.lit("] "), F.col("reason")))
     )
-    tested = hypotheses.join(ids, KEY).join(validations.select("hypothesis_id", "verdict"), "hypothesis_id", "left")
-    result = F.when(F.col("verdict").isNull(), "Result: PROPOSED (Not yet validated)").otherwise(
-        F.concat(F.lit("Result: "), F.col("verdict"))
-    )
-    out = out.unionByName(
-        lines(tested, 4, F.col("hypothesis_id"),
-              F.concat(F.lit("- Hypothesis: "), F.col("description"), F.lit(" "), result))
-    )
+    shown = validations.groupBy("hypothesis_id").agg(F.max("verdict").alias("verdict"), F.count("evidence_id").alias("_evidence"))
+    tested = hypotheses.join(ids, KEY).join(shown, "hypothesis_id", "left")
+    texts = F.array_compact(F.array(
+        F.concat(F.lit("- Hypothesis: "), F.col("description")),
+        F.when(F.col("verdict").isNull(), "  Result: PROPOSED (Not yet validated)").otherwise(F.concat(F.lit("  Result: "), F.col("verdict"))),
+        F.when(F.col("verdict").isNotNull(), F.concat(F.lit("  Evidence: "), F.col("_evidence").cast("string"), F.lit(" artifacts."))),
+    ))
+    tested = tested.select("investigation_id", "hypothesis_id", F.posexplode(texts).alias("_n", "_line"))
+    out = out.unionByName(lines(tested, 4, F.concat_ws("|", "hypothesis_id", F.col("_n").cast("string")), F.col("_line")))
     best = strongest_of_investigation(findings, strongest)
     have = candidates.join(findings.select("finding_id", *KEY), "finding_id").select(*KEY, F.lit(True).alias("_have")).distinct()
     verdict = ids.join(best, KEY, "left").join(have, KEY, "left")
+    named = F.array(
+        F.concat(F.lit("- "), F.col("strongest_explanation")),
+        F.concat(F.lit("- Status: "), F.col("strongest_status")),
+        F.concat(F.lit("- Confidence: "), F.expr(fixed_sql("(strongest_confidence * 100)", 1)), F.lit("%")),
+    )
     last = (
-        F.when(
-            F.col("strongest_candidate_id").isNotNull(),
-            F.concat(
-                F.lit("- "), F.col("strongest_explanation"), F.lit(" Status: "), F.col("strongest_status"),
-                F.lit(" Confidence: "), F.expr(fixed_sql("(strongest_confidence * 100)", 1)), F.lit("%"),
-            ),
-        )
-        .when(F.col("_have"), "- Multiple candidates exist, but none are strong enough.")
-        .otherwise("- No root cause candidates identified yet.")
+        F.when(F.col("strongest_candidate_id").isNotNull(), named)
+        .when(F.col("_have"), F.array(F.lit("- Multiple candidates exist, but none are strong enough.")))
+        .otherwise(F.array(F.lit("- No root cause candidates identified yet.")))
     )
-    return out.unionByName(lines(verdict, 5, F.lit("1"), last))
+    verdict = verdict.select("investigation_id", F.posexplode(last).alias("_n", "_line"))
+    return out.unionByName(lines(verdict, 5, F.col("_n"), F.col("_line")))
 
 
 def render(lines: DataFrame, investigation_id: str) -> str:
@@ -182,5 +183,21 @@ def context_mismatches(contexts: DataFrame, investigations: DataFrame) -> DataFr
     return contexts.join(own, ["investigation_id", "version_id"], "left_anti")
 
 
+def context_errors(contexts: DataFrame, investigations: DataFrame, syntheses: DataFrame) -> DataFrame:
+    """context_id and error of contexts (context_id, investigation_id, version_id, synthesis_id) that would leak.
+
+    A synthesis must be of the context's investigation, and the version the one it targets; the first is checked first. One that
+    is unknown, or null, belongs to no investigation.
+    """
+    owner = syntheses.select("synthesis_id", F.col("investigation_id").alias("_owner"))
+    target = investigations.select("investigation_id", F.col("version_id").alias("_target"))
+    both = contexts.join(owner, "synthesis_id", "left").join(target, "investigation_id", "left")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    foreign = F.concat(F.lit("Synthesis mismatch: Expected "), text("investigation_id"), F.lit(", got "), text("_owner"))
+    other = F.concat(F.lit("Dataset mismatch: Investigation targets "), text("_target"), F.lit(", but provided version is "), text("version_id"))
+    error = F.when(~F.col("_owner").eqNullSafe(F.col("investigation_id")), foreign).when(~F.col("_target").eqNullSafe(F.col("version_id")), other)
+    return both.select("context_id", error.alias("error")).where("error IS NOT NULL")
+
+
 def oversize_contexts(contexts: DataFrame, text: str, cap: int = MAX_CONTEXT_CHARS) -> DataFrame:
     return contexts.filter(F.length(text) > cap)

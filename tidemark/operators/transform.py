@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.ordered import pick_by
+from ..functions.shared import settle
 from ..sources.fingerprints import table_fingerprint
 from ..sources.readers import read_version, write_version
 from .diff import compare, row_diff
@@ -77,6 +78,27 @@ def write_step(df: DataFrame, step: Step, path: str, input_fp: str) -> DataFrame
     return spark.createDataFrame([record], LINEAGE).withColumn("created_at", F.current_timestamp())
 
 
+def ancestors(lineage: DataFrame) -> DataFrame:
+    """version, ancestor, steps (least number) of every pair in a log of (input_fingerprint, output_fingerprint).
+
+    Known paths are joined with known paths, so chains of n steps are closed in about log2(n) rounds, each stored. A version
+    among its own ancestors is an error. Steps that change nothing, whose fingerprints are equal, are left out.
+    """
+    edges = lineage.where("input_fingerprint <> output_fingerprint").selectExpr("output_fingerprint AS version", "input_fingerprint AS ancestor", "1 AS steps").distinct()
+    known = settle(edges)
+    while True:
+        on = known.selectExpr("version AS ancestor", "ancestor AS further", "steps AS more")
+        longer = known.join(on, "ancestor").selectExpr("version", "further AS ancestor", "steps + more AS steps")
+        closed = settle(known.union(longer).groupBy("version", "ancestor").agg(F.min("steps").alias("steps")))
+        circular = closed.where("version = ancestor").select("version").take(1)
+        if circular:
+            raise ValueError(f"lineage runs in a circle through {circular[0][0]}")
+        same = closed.exceptAll(known).isEmpty()
+        known = closed
+        if same:
+            return known
+
+
 def transform_check(before: DataFrame, after: DataFrame, affected: Sequence[str], exact: bool | Sequence[str] | None = None) -> DataFrame:
     """Profile changes a transformation made, with those on other columns marked unintended.
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators import attribution, diff, drift, experiment, rootcause, synthesis, timeline
-from ..operators import audit as checks
+from ..functions.shared import new_path, settle
+from ..operators import attribution, diff, distributions, drift, experiment, rootcause, segments, sketches, synthesis, timeline
+from ..operators import audit as checks, null_segments as explain_nulls
 from ..operators.profile import profile
 from .catalog import query, select
 from .derived import Case, daily_profiles, event_versions, order_versions, pair_changes, pair_profiles, read, responses
@@ -249,11 +250,13 @@ SELECT investigation_id, 0 AS section, '# Investigation Synthesis: ' || investig
 UNION ALL SELECT investigation_id, 1, problem_summary FROM ({SUMMARY_SQL})
 UNION ALL SELECT i.investigation_id, 2, c.line FROM (SELECT dataset_id, version_number, {CHANGE_LINE} AS line FROM changes) c JOIN investigations i USING (dataset_id, version_number)
 UNION ALL SELECT i.investigation_id, 3, '- [' || relevance || '] ' || reason FROM attributions JOIN investigations i USING (dataset_id, version_number)
-UNION ALL SELECT i.investigation_id, 4, '- Hypothesis: ' || h.description || ' Result: ' || coalesce(v.verdict, 'PROPOSED (Not yet validated)')
-  FROM hypotheses h JOIN investigations i USING (dataset_id, version_number) LEFT JOIN validations v ON v.hypothesis_id = h.hypothesis_id
-UNION ALL SELECT i.investigation_id, 5, CASE WHEN b.candidate_id IS NULL THEN '- Multiple candidates exist, but none are strong enough.'
-  ELSE '- ' || b.explanation || ' Status: ' || b.status || ' Confidence: ' || printf('%.1f', b.confidence * 100) || '%' END
-  FROM investigations i LEFT JOIN best b ON b.dataset_id = i.dataset_id AND b.version_number = i.version_number AND b.rn = 1)""", "investigations", "best"))
+UNION ALL SELECT investigation_id, 4, unnest(lines) FROM (
+  SELECT i.investigation_id, list_filter(['- Hypothesis: ' || h.description, '  Result: ' || coalesce(v.verdict, 'PROPOSED (Not yet validated)'), '  Evidence: ' || v.n || ' artifacts.'], lambda x: x IS NOT NULL) AS lines
+  FROM hypotheses h JOIN investigations i USING (dataset_id, version_number) LEFT JOIN (SELECT hypothesis_id, max(verdict) AS verdict, count(evidence_id) AS n FROM validations GROUP BY hypothesis_id) v ON v.hypothesis_id = h.hypothesis_id)
+UNION ALL SELECT investigation_id, 5, unnest(lines) FROM (
+  SELECT i.investigation_id, CASE WHEN b.candidate_id IS NULL THEN ['- Multiple candidates exist, but none are strong enough.']
+    ELSE ['- ' || b.explanation, '- Status: ' || b.status, '- Confidence: ' || printf('%.1f', b.confidence * 100) || '%'] END AS lines
+  FROM investigations i LEFT JOIN best b ON b.dataset_id = i.dataset_id AND b.version_number = i.version_number AND b.rn = 1))""", "investigations", "best", "validations", "hypotheses"))
 def synthesis_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = _case(spark, sf_dir)
     lines = synthesis.report(
@@ -403,6 +406,75 @@ def distribution_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("quantile_drift", select(f"""
+WITH x AS (SELECT 'value' AS "column", value::DOUBLE AS a FROM events UNION ALL SELECT 'event_id', event_id FROM events),
+y AS (SELECT 'value' AS "column", value::DOUBLE AS b FROM ev2 UNION ALL SELECT 'event_id', event_id FROM ev2),
+cuts AS (SELECT "column", unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE]) AS quantile, unnest(quantile_disc(b, [0.25, 0.5, 0.75])) AS c FROM y WHERE b IS NOT NULL GROUP BY "column")
+SELECT x."column", quantile, round({sketches.rank_error()}::DOUBLE, 9) AS rank_error, abs(count(*) FILTER (a <= c) / count(*) - quantile) > {4 * sketches.rank_error()} AS drifted
+FROM x JOIN cuts ON cuts."column" = x."column" WHERE a IS NOT NULL GROUP BY x."column", quantile""", "ev2").replace("\nWITH x AS", ", x AS", 1))
+def quantile_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles of two stored versions, compared without reading their data; the SQL compares exact ranks."""
+    stored = [settle(sketches.mergeable(df)) for df in event_versions(spark, sf_dir)]
+    out = sketches.quantile_drift(*stored, ranks=(0.25, 0.5, 0.75)).filter("column IN ('value', 'event_id')")
+    return out.select("column", "quantile", F.round("rank_error", 9).alias("rank_error"), "drifted")
+
+
+LATER_PRICE = "l_extendedprice * CASE WHEN l_linenumber = 1 THEN 1.25 ELSE 1.0 END"
+
+
+@query("ks_distance", f"""
+WITH s AS (SELECT 'l_extendedprice' AS "column", CAST(l_extendedprice AS DOUBLE) AS v, 1 AS a, 0 AS b FROM lineitem
+  UNION ALL SELECT 'l_extendedprice', CAST({LATER_PRICE} AS DOUBLE), 0, 1 FROM lineitem WHERE l_orderkey % 5 <> 0
+  UNION ALL SELECT 'l_quantity', CAST(l_quantity AS DOUBLE), 1, 0 FROM lineitem UNION ALL SELECT 'l_quantity', CAST(l_quantity AS DOUBLE), 0, 1 FROM lineitem WHERE l_orderkey % 5 <> 0),
+c AS (SELECT "column", v, sum(a) AS a, sum(b) AS b FROM s GROUP BY 1, 2),
+r AS (SELECT "column", v, sum(a) OVER w AS a, sum(b) OVER w AS b, sum(a) OVER (PARTITION BY "column") AS na, sum(b) OVER (PARTITION BY "column") AS nb FROM c WINDOW w AS (PARTITION BY "column" ORDER BY v))
+SELECT "column", CAST(max(na) AS BIGINT) AS n_previous, CAST(max(nb) AS BIGINT) AS n_current, round(max(abs(a / na - b / nb)), 9) AS distance FROM r GROUP BY "column\"""")
+def ks_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of prices of two versions, one without a fifth of the orders and with a dearer first line, and of quantities."""
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    later = items.filter("l_orderkey % 5 <> 0").withColumn("l_extendedprice", F.col("l_extendedprice") * F.when(F.col("l_linenumber") == 1, 1.25).otherwise(1.0))
+    out = distributions.ks_distance(items, later, ["l_extendedprice", "l_quantity"])
+    return out.select("column", "n_previous", "n_current", F.round("distance", 9).alias("distance"))
+
+
+@query("row_diff_segments", """
+SELECT o_orderkey, CAST(1 AS BIGINT) AS n_previous, CAST(CASE WHEN o_orderkey % 10000 BETWEEN 1200 AND 1205 THEN 0 ELSE 1 END AS BIGINT) AS n_current,
+  CASE WHEN o_orderkey % 10000 BETWEEN 1200 AND 1205 THEN '' ELSE 'o_totalprice' END AS changed, CASE WHEN o_orderkey % 10000 BETWEEN 1200 AND 1205 THEN 'removed' ELSE 'modified' END AS row_status
+FROM orders WHERE o_orderkey % 10000 BETWEEN 1200 AND 1205 OR o_orderkey % 10000 BETWEEN 1020 AND 1026
+UNION ALL SELECT -1 - o_orderkey, 0, 1, '', 'added' FROM orders WHERE o_orderkey < 30""")
+def row_diff_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions stored in segments of 1,000 keys, of which only those that differ are read."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    place = F.col("o_orderkey") % 10000
+    later = orders.filter(~place.between(1200, 1205)).withColumn("o_totalprice", F.col("o_totalprice") + F.when(place.between(1020, 1026), 1.0).otherwise(0.0))
+    later = later.unionByName(orders.filter("o_orderkey < 30").withColumn("o_orderkey", -1 - F.col("o_orderkey")))
+    paths = [new_path(spark, "segments") for _ in range(2)]
+    for df, path in zip((orders, later), paths):
+        segments.write_segments(df, "o_orderkey", path, 1000)
+    out = segments.row_diff_segments(spark, *paths, ["o_orderkey"])
+    return out.select("o_orderkey", "n_previous", "n_current", F.array_join("changed_columns", ",").alias("changed"), "row_status")
+
+
+@query("null_segments", """
+SELECT list_aggregate(list_filter([CASE WHEN GROUPING(l_returnflag) = 0 THEN 'l_returnflag' END, CASE WHEN GROUPING(l_linestatus) = 0 THEN 'l_linestatus' END, CASE WHEN GROUPING(l_linenumber) = 0 THEN 'l_linenumber' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS dimensions,
+  list_aggregate(list_filter([CASE WHEN GROUPING(l_returnflag) = 0 THEN coalesce(l_returnflag, '~') END, CASE WHEN GROUPING(l_linestatus) = 0 THEN coalesce(l_linestatus, '~') END, CASE WHEN GROUPING(l_linenumber) = 0 THEN coalesce(l_linenumber::VARCHAR, '~') END], lambda x: x IS NOT NULL), 'string_agg', '|') AS segment,
+  count(*) AS n_rows, count(*) - count(price) AS n_nulls, round((count(*) - count(price)) / count(*) / (SELECT (count(*) - count(price)) / count(*) FROM
+    (SELECT CASE WHEN NOT (l_returnflag = 'R' AND l_linenumber = 2) AND l_partkey % 50 <> 0 THEN l_extendedprice END AS price FROM lineitem)), 6) AS lift
+FROM (SELECT l_returnflag, CASE WHEN l_suppkey % 4 <> 0 THEN l_linestatus END AS l_linestatus, l_linenumber, CASE WHEN NOT (l_returnflag = 'R' AND l_linenumber = 2) AND l_partkey % 50 <> 0 THEN l_extendedprice END AS price FROM lineitem)
+GROUP BY CUBE (l_returnflag, l_linestatus, l_linenumber)
+HAVING count(*) >= 400 AND GROUPING(l_returnflag, l_linestatus, l_linenumber) < 7""")
+def null_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of line items of 400 rows or more, and how much more often than elsewhere their price is null."""
+    items = read(spark, sf_dir, "lineitem")
+    gone = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 2) | (F.col("l_partkey") % 50 == 0)
+    df = items.select(
+        "l_returnflag", F.when(F.col("l_suppkey") % 4 != 0, F.col("l_linestatus")).alias("l_linestatus"), "l_linenumber", F.when(~gone, F.col("l_extendedprice")).alias("price")
+    )
+    out = explain_nulls.null_segments(df, "price", ["l_returnflag", "l_linestatus", "l_linenumber"], support=400)
+    shown = F.array_join("values", "|", "~")
+    return out.select("dimensions", shown.alias("segment"), "n_rows", "n_nulls", F.round("lift", 6).alias("lift"))
+
+
 @query("rule_distribution", select("""
 SELECT dataset_id, version_number, "column", round(mean, 6) AS value, n AS n_history, CASE WHEN n < 3 OR sd IS NULL THEN 'unknown' WHEN abs((mean - m) / sd) > 1.5 THEN 'failed' ELSE 'passed' END AS status
 FROM (SELECT *, count(mean) OVER w AS n, avg(mean) OVER w AS m, stddev_samp(mean) OVER w AS sd FROM daily WHERE mean IS NOT NULL

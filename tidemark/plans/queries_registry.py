@@ -353,6 +353,22 @@ def context_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("context_errors", """
+SELECT o_orderkey AS context_id, CASE WHEN o_orderkey % 11 = 0 THEN 'Synthesis mismatch: Expected ' || o_orderkey || ', got ' || coalesce(CAST((SELECT min(x.o_orderkey) FROM orders x WHERE x.o_orderkey = o.o_orderkey - 1) AS VARCHAR), 'None')
+  ELSE 'Dataset mismatch: Investigation targets ' || o_custkey || ', but provided version is ' || (o_custkey + 1) END AS error
+FROM orders o WHERE o_orderkey % 11 = 0 OR o_orderpriority = '5-LOW'""")
+def context_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eleventh context was built with the synthesis of the investigation before, and low-priority ones with the next version."""
+    orders = read(spark, sf_dir, "orders")
+    syntheses = orders.select(F.concat(F.lit("syn_"), F.col("o_orderkey").cast("string")).alias("synthesis_id"), F.col("o_orderkey").alias("investigation_id"))
+    wrong, foreign = F.col("o_orderpriority") == "5-LOW", F.col("o_orderkey") % 11 == 0
+    contexts = orders.select(
+        F.col("o_orderkey").alias("context_id"), F.col("o_orderkey").alias("investigation_id"), F.when(wrong, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("version_id"),
+        F.concat(F.lit("syn_"), (F.col("o_orderkey") - foreign.cast("int")).cast("string")).alias("synthesis_id"),
+    )
+    return synthesis.context_errors(contexts, derived.investigations(spark, sf_dir), syntheses)
+
+
 @query("oversize_contexts", "SELECT doc_id, length(text) AS n_chars FROM documents WHERE length(text) > 20000")
 def oversize_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")

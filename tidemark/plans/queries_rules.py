@@ -152,9 +152,17 @@ def finding_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("findings_report", select("""
-SELECT finding_id, impact_score, CASE severity WHEN 'CRITICAL' THEN '🔴' WHEN 'HIGH' THEN '🟠' WHEN 'MEDIUM' THEN '🟡' WHEN 'LOW' THEN '🔵' ELSE '⚪' END
-  || ' [' || severity || '] ' || title || ' | affected ' || printf('%.1f', affected_fraction * 100) || '% | confidence ' || printf('%.0f', confidence * 100) || '%' AS line
-FROM quality""", "quality"))
+SELECT finding_id, impact_score, CAST(i - 1 AS INTEGER) AS place, lines[i] AS line FROM (
+  SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (
+    SELECT finding_id, impact_score, list_concat([
+      '[' || CASE severity WHEN 'CRITICAL' THEN '!' WHEN 'HIGH' THEN 'X' WHEN 'MEDIUM' THEN '-' WHEN 'LOW' THEN '.' ELSE 'i' END || '] ' || severity,
+      title, 'Affected: ' || printf('%.1f', affected_fraction * 100) || '%', 'Confidence: ' || printf('%.0f', confidence * 100) || '%',
+      'Explanation:', '  ' || description, 'Evidence:', '  - [METRIC] Observed ' || violations || ' violations',
+      '  - [QUERY] SQL query used to detect the violation', '    SQL: ' || "check", 'Suggested next steps:'],
+      CASE category WHEN 'UNIQUENESS' THEN ['  1. [COMPARE] Compare timestamp across duplicate groups to identify chronologically later duplicates.',
+        '  2. [INSPECT] Check if duplicate records originated from the same ingestion batch.', '  3. [COMPARE] Compare source file lineage to detect duplicate processing.']
+      ELSE ['  1. [CORRELATE] Check if nulls correlate with specific dates or upstream source systems.'] END) AS lines
+    FROM quality))""", "quality"))
 def findings_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.findings_report(_found(spark, sf_dir))
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.shared import new_path
-from ..operators import profile as prof, rules, transform
+from ..functions.shared import new_path, settle
+from ..operators import profile as prof, rules, sketches, transform
 from ..sources import fingerprints, readers, split_files, store
 from ..streaming import ingest
 from .catalog import query, select
@@ -305,6 +305,18 @@ def profile_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(daily_profiles(spark, sf_dir), "version_number", "unique_count")
 
 
+@query("profile_merged", select(f"SELECT version_number, {LONG}, round(std_dev, 4) AS std_dev, CASE WHEN unique_count IS NULL THEN NULL ELSE true END AS distinct_within_error FROM daily", "daily"))
+def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of hours merged into days from stored sketches, next to those made from the data of whole days."""
+    hourly = read(spark, sf_dir, "events").withColumns({"version_number": F.dayofmonth("ts"), "_hour": F.hour("ts")})
+    parts = settle(sketches.mergeable(hourly, by=["version_number", "_hour"]))
+    merged = settle(sketches.merge(parts.drop("_hour"), by=["version_number"]))
+    exact = daily_profiles(spark, sf_dir).select("version_number", "column", F.col("unique_count").alias("_exact"))
+    rows = sketches.read(merged, ["version_number"]).join(exact, ["version_number", "column"])
+    near = F.abs(F.col("unique_count") - F.col("_exact")) <= sketches.distinct_error() * F.col("_exact") + 1
+    return _long(rows.withColumn("distinct_within_error", near), "version_number", F.round("std_dev", 4).alias("std_dev"), "distinct_within_error")
+
+
 @query("profile_full", _profile_of("customer", f"{LONG}, unique_count, unique_fraction, round(std_dev, 4) AS std_dev"))
 def profile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prof.profile(read(spark, sf_dir, "customer"), exact=True)
@@ -403,6 +415,38 @@ def transform_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform.affected_rows(gaps, transform.filling("o_totalprice", -1.0)(gaps), ["o_orderkey"])
 
 
+_VALUE = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_ROW_DIGEST = "('0x' || left(sha256(" + " || ".join(_VALUE.format(c) for c in ("c_custkey", "c_name", "c_mktsegment")) + "), 15))::BIGINT"
+
+
+@query("content_digest", f"""
+SELECT c_nationkey, count(*) AS row_count, CAST(sum({_ROW_DIGEST}) AS VARCHAR) AS content_digest
+FROM (SELECT c_nationkey, c_custkey, c_name, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer) GROUP BY c_nationkey""")
+def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-free digests of the customers of each nation, made of SHA-256, compared by value."""
+    customer = read(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    out = fingerprints.content_digest(customer, by=("c_nationkey",))
+    return out.withColumn("content_digest", F.col("content_digest").cast("string"))
+
+
+LINEAGE_EDGES = "SELECT 'v' || (c_custkey // 3) AS input_fingerprint, 'v' || c_custkey AS output_fingerprint FROM customer WHERE c_custkey > 0"
+
+
+@query("lineage_ancestors", f"""
+WITH RECURSIVE edges AS ({LINEAGE_EDGES} UNION ALL SELECT 'v' || (c_custkey // 5), 'v' || c_custkey FROM customer WHERE c_custkey % 50 = 49),
+up AS (SELECT output_fingerprint AS version, input_fingerprint AS ancestor, 1 AS steps FROM edges
+  UNION SELECT up.version, edges.input_fingerprint, up.steps + 1 FROM up JOIN edges ON edges.output_fingerprint = up.ancestor)
+SELECT version, ancestor, CAST(min(steps) AS INTEGER) AS steps FROM up GROUP BY version, ancestor""")
+def lineage_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ancestors of every version in a log of steps, some of which had two inputs."""
+    key = F.col("c_custkey")
+    name = lambda c: F.concat(F.lit("v"), c.cast("bigint").cast("string"))
+    customer = read(spark, sf_dir, "customer")
+    steps = customer.filter("c_custkey > 0").select(name(F.floor(key / 3)).alias("input_fingerprint"), name(key).alias("output_fingerprint"))
+    more = customer.filter("c_custkey % 50 = 49").select(name(F.floor(key / 5)).alias("input_fingerprint"), name(key).alias("output_fingerprint"))
+    return transform.ancestors(steps.unionByName(more))
+
+
 @query("transform_log", select("""
 SELECT CAST(1 AS INTEGER) AS step, 'drop_duplicates' AS type_name, 'event_id' AS affected, count(DISTINCT event_id) AS n_rows, true AS chained,
   'df = drop_duplicates(df, subset=[''event_id''], order_key=[''ts''])' AS generated_code FROM ev2

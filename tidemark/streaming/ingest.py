@@ -2,7 +2,8 @@
 
 Every micro-batch drops known content, numbers the rest, profiles the new versions, diffs them with their predecessors,
 and opens an investigation for each version with findings, with its evidence, attributions, hypotheses and timeline.
-A version that cannot be read is set aside and does not stop the others. All writes of a batch go to its own folder,
+A version whose file is malformed, or missing, is set aside and does not stop the others; a missing one may be sent again. Other
+errors (a lost executor, a full disk) fail the batch, which can be run again. All writes of a batch go to its own folder,
 partitioned by workspace, and overwrite it, so a batch that is run again after a failure leaves the same tables.
 """
 
@@ -12,7 +13,7 @@ from collections.abc import Iterator, Sequence
 from itertools import islice
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import attribution, diff, drift, registry, timeline
@@ -24,7 +25,14 @@ VERSION = (
     "workspace_id string, dataset_id string, file_hash string, version_number bigint, path string, format string, "
     "arrival bigint, batch_id bigint"
 )
-REJECTED = "workspace_id string, dataset_id string, version_number bigint, path string, error string"
+REJECTED = "workspace_id string, dataset_id string, version_number bigint, path string, error string, retry boolean"
+#: Error conditions that lie in a version's own bytes or name. Others may pass, so they fail the batch.
+IN_THE_FILE = (
+    "MALFORMED_RECORD_IN_PARSING", "MALFORMED_CSV_RECORD", "MALFORMED_CHARACTER_CODING", "CANNOT_READ_FILE_FOOTER", "UNABLE_TO_INFER_SCHEMA",
+    "CANNOT_INFER_EMPTY_SCHEMA", "EMPTY_SCHEMA_NOT_SUPPORTED", "PARQUET_COLUMN_DATA_TYPE_MISMATCH", "CANNOT_PARSE_JSON_FIELD", "AMBIGUOUS_REFERENCE", "COLUMN_ALREADY_EXISTS",
+    "Unsupported format", "is not a Parquet file",
+)
+MISSING = ("PATH_NOT_FOUND", "FILE_NOT_EXIST")
 KEY = ["dataset_id", "version_number"]
 #: Versions that one plan profiles, and whose manifest rows the driver holds, at a time.
 VERSIONS_PER_PLAN = 50
@@ -96,7 +104,11 @@ def _profiles(spark: SparkSession, versions: list[Row], exact: Sequence[str], pa
                 write([v], "overwrite" if first else "append")
                 first = False
             except Exception as e:
-                bad.append((v["workspace_id"], v["dataset_id"], v["version_number"], v["path"], str(e)[:1000]))
+                said = str(e)
+                missing = any(c in said for c in MISSING)
+                if not missing and not any(c in said for c in IN_THE_FILE):
+                    raise
+                bad.append((v["workspace_id"], v["dataset_id"], v["version_number"], v["path"], said[:1000], missing))
         if first:  # nothing readable: no rows of an earlier run may stay
             empty = profile(spark.range(0)).selectExpr("'' AS workspace_id", "'' AS dataset_id", "0L AS version_number", "*")
             empty.filter("false").write.mode("overwrite").parquet(path)
@@ -109,7 +121,9 @@ def ingest(batch: DataFrame, batch_id: int, root: str, exact: Sequence[str] = ()
     known = stored(spark, root, "versions", VERSION, batch_id)
     # What is known of a dataset is looked up for the datasets of this batch only.
     known = known.join(batch.select("dataset_id").distinct(), "dataset_id", "left_semi")
-    arrivals = registry.new_arrivals(known, batch, ["arrival"])
+    # A version whose file was missing is no known content: it gets a new number when it comes again.
+    missing = stored(spark, root, "rejected_versions", REJECTED + ", batch_id bigint", batch_id).filter("retry").select(*KEY)
+    arrivals = registry.new_arrivals(known.join(missing, KEY, "left_anti"), batch, ["arrival"])
     numbered = registry.next_versions(known, arrivals, ["arrival"], F.floor(F.col("arrival") / 1000))
     columns = ["workspace_id", "dataset_id", "file_hash", "version_number", "path", "format", "arrival"]
     new = _put(numbered.select(*columns), root, "versions", batch_id)
@@ -151,5 +165,7 @@ def _investigate(profiles: DataFrame, changes: DataFrame, findings: DataFrame, r
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of all batches."""
-    return spark.read.parquet(f"{root}/{name}")
+    """A table of all batches. Workspace ids are texts, whatever they look like."""
+    kinds = {"workspace_id": T.StringType(), "batch_id": T.LongType()}
+    found = spark.read.parquet(f"{root}/{name}").schema
+    return spark.read.schema(T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in found.fields])).parquet(f"{root}/{name}")
