@@ -4,7 +4,7 @@ A vocabulary file of ranks (base64 token and rank a line) becomes a model of the
 library's 256 printable characters, and the merge that makes a token is found by merging its bytes with lower ranks
 only, which leaves two parts. Text is cut where no match of the pattern can cross: before a blank or newline that a
 character other than white space follows. Such a piece has the same ids wherever it stands, so each worker keeps a
-bounded memo of pieces (``MEMO`` entries, then emptied) and calls the library for new ones only.
+memo of pieces (``MEMO`` bytes a generation) and calls the library for new ones only.
 
 Ids have byte and character offsets: a token that holds only part of a character has the offsets of that whole
 character. Decoding looks each id up in the reversed byte table and joins bytes, so split characters come back whole;
@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
+from .memo import Memo
 from .tables import free_name
 
 RANKS = "byte_bpe_50k.tiktoken"
-MEMO = 400_000
+MEMO = 36_000_000
 
 #: White space as the pattern knows it: Python's, but for the four separators U+001C to U+001F.
 _SPACE = r"[^\S\x1c-\x1f]"
@@ -86,7 +87,7 @@ class Codec:
         for i, b in self.bytes_of.items():
             self.lengths[i] = len(b)
         self._map = {ord(" "): chars[0x20], ord("\n"): chars[0x0A]}
-        self.spaced, self.bare = _Memo(self, " "), _Memo(self, "")
+        self.spaced, self.bare = (Memo(lambda piece, before=before: np.array(self.encode_piece(before + piece), np.int32).tobytes(), MEMO) for before in (" ", ""))
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of a text, by the library."""
@@ -125,21 +126,6 @@ class Codec:
         return np.stack([start, end, char[start], char[end - 1] + 1], 1)
 
 
-class _Memo(dict):
-    """Ids of pieces as bytes; made on first use, emptied when full."""
-
-    def __init__(self, codec: Codec, before: str):
-        super().__init__()
-        self.codec, self.before = codec, before
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = np.array(self.codec.encode_piece(self.before + piece), np.int32).tobytes()
-        self[piece] = ids
-        return ids
-
-
 @lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
     """One codec a worker process."""

@@ -6,8 +6,11 @@ payload are JSON objects and whose header names an algorithm (``jwt``), a privat
 private key in nested DER lengths (``der``: PKCS#1, PKCS#8, SEC1 or an encrypted PKCS#8) or in the length-prefixed
 strings of an OpenSSH key file (``ssh``). Public keys, images, checksums and other base64 are left alone.
 
-All positions are code points, ends exclusive; an assignment's span is its whole match. Every pattern is linear in the
-text, whatever its length. Defined results: null and empty texts have no spans; rows that are repeated get equal
+Keys are also found behind other characters of the alphabet (a path), wrapped over lines of one width without marks around
+them, and with line ends written as backslash and n. Where a key may begin inside a run, its own lengths say
+where it would end, and only if that is the end of the run is it decoded; the body of a PEM block ends at the next
+mark. So the scan is linear in the text, whatever its length. All positions are code points, ends exclusive; an
+assignment's span is its whole match. Defined results: null and empty texts have no spans; rows that are repeated get equal
 results; a candidate that does not decode or parse is not reported, and other columns are never read.
 """
 
@@ -30,8 +33,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:(?:\r?\n|\\r\\n|\\n)[A-Za-z0-9+/_-]++)*+={0,2}")
+_LINE_END = re.compile(r"\r?\n|\\r\\n|\\n")
+#: How a DER sequence begins in base64 (its length follows), and an OpenSSH key file.
+_KEY_START = re.compile(r"M[A-I]|b3BlbnNzaC1rZXktdjEA")
 _HEX_KEY = re.compile(r"(?<![0-9A-Za-z])30(?:[0-9a-f]{2}){30,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])30(?:[0-9A-F]{2}){30,}(?![0-9A-Za-z])")
+_HEX_SSH = re.compile(r"(?i)(?<![0-9a-z])6f70656e7373682d6b65792d763100(?:[0-9a-f]{2})+(?![0-9a-z])")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----")
 _SSH = b"openssh-key-v1\0"
 #: DER nests no deeper than this in any key.
@@ -95,25 +102,40 @@ def is_private_der(data: bytes | None) -> bool:
     return tags == [0x30, 0x04] and len(parts[0][1]) == 2 and parts[0][1][0][0] == 0x06 and parts[0][1][1][0] == 0x30 and len(parts[1][1]) >= 32
 
 
-def is_ssh_key(data: bytes | None) -> bool:
-    """Whether bytes are an OpenSSH private key: magic, three strings, key count, public key, private part, to the end."""
-    if not data or not data.startswith(_SSH):
-        return False
-    at, sizes = len(_SSH), []
+def ssh_key_size(read, size: int) -> int | None:
+    """Bytes of an OpenSSH private key: magic, three strings, key count, public key, private part. ``read(at, n)`` gives
+    bytes, of which there are ``size``; only the lengths are read. None if there is no such key."""
+    if read(0, len(_SSH)) != _SSH:
+        return None
+    at, n = len(_SSH), 0
     for field in range(6):
-        if at + 4 > len(data):
-            return False
-        n = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > size:
+            return None
+        n = int.from_bytes(read(at, 4), "big")
         at += 4
         if field == 3:
             if not 1 <= n <= 16:
-                return False
+                return None
             continue
-        if at + n > len(data):
-            return False
-        sizes.append(n)
+        if at + n > size:
+            return None
         at += n
-    return at == len(data) and sizes[-1] >= 32
+    return at if n >= 32 else None
+
+
+def is_ssh_key(data: bytes | None) -> bool:
+    """Whether bytes are an OpenSSH private key, to the end."""
+    return bool(data) and ssh_key_size(lambda at, n: data[at : at + n], len(data)) == len(data)
+
+
+def der_size(head: bytes) -> int | None:
+    """Bytes of the DER value that begins with ``head``."""
+    if len(head) < 6:
+        return None
+    n = head[1] & 0x7F
+    if not head[1] & 0x80:
+        return 2 + n
+    return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else None
 
 
 def is_signed_token(header: str, payload: str) -> bool:
@@ -139,17 +161,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _pem_spans(text: str) -> list[tuple[int, int, str]]:
-    out, absent = [], set()
-    for m in _PEM.finditer(text):
-        label = m[1]
-        if label in absent:
-            continue
-        stop = f"-----END {label}PRIVATE KEY-----"
-        end = text.find(stop, m.end())
+    out = []
+    marks = list(_PEM.finditer(text))
+    for m, after in zip(marks, [*(x.start() for x in marks[1:]), len(text)], strict=True):
+        stop = f"-----END {m[1]}PRIVATE KEY-----"
+        end = text.find(stop, m.end(), after)
         if end < 0:
-            absent.add(label)
             continue
-        lines = text[m.end() : end].split("\n")
+        lines = _LINE_END.split(text[m.end() : end])
         data = unbase64("".join("".join(x for x in lines if ":" not in x).split()))
         sealed = any(x.startswith("DEK-Info:") for x in lines) and bool(data) and len(data) >= 64 and len(data) % 8 == 0
         if sealed or is_private_der(data) or is_ssh_key(data):
@@ -157,19 +176,82 @@ def _pem_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _lines(run: str, at: int) -> list[tuple[int, str]]:
+    """The lines of a run as (place, characters): of one width, but for the last, which may be shorter."""
+    out, begin = [], at
+    for m in [*_LINE_END.finditer(run), None]:
+        end = at + (m.start() if m else len(run))
+        line = run[begin - at : end - at]
+        if out and (len(out[-1][1]) != len(out[0][1]) or len(line.rstrip("=")) > len(out[0][1])):
+            break
+        out.append((begin, line))
+        begin = at + m.end() if m else end
+    return out
+
+
+def _key_in(text: str, places: list[tuple[int, str]]) -> tuple[int, int, str] | None:
+    """The first key that begins in the first line and ends with the last one: start, end, kind."""
+    body = text.rstrip("=")
+    end = places[-1][0] + len(places[-1][1])
+    for m in _KEY_START.finditer(places[0][1]):
+        at = m.start()
+        left = len(body) - at
+        size = left * 3 // 4
+
+        def read(first: int, n: int, at: int = at) -> bytes:
+            group = first // 3 * 4
+            return (unbase64(body[at + group : at + (first + n + 2) // 3 * 4]) or b"")[first % 3 : first % 3 + n]
+
+        kind = "der" if m[0][0] == "M" else "ssh"
+        whole = der_size(read(0, 6)) if kind == "der" else ssh_key_size(read, size)
+        if whole != size or -(-whole * 4 // 3) != left:
+            continue
+        data = unbase64(body[at:])
+        if is_private_der(data) if kind == "der" else is_ssh_key(data):
+            return places[0][0] + at, end, kind
+    return None
+
+
+def _encoded_spans(text: str) -> list[tuple[int, int, str]]:
+    """Keys in runs of base64: over several lines of one width, or in a line of its own."""
+    out = []
+    for m in _BASE64.finditer(text):
+        run, at = m[0], m.start()
+        if run[0] in "nr" and text[at - 1 : at] == "\\":  # the end of a line end written out
+            run, at = run[1:], at + 1
+        places = _lines(run, at)
+        found = _key_in("".join(x for _, x in places), places)
+        if found is None and len(places) > 1:  # a shorter line may already be something else
+            found = _key_in("".join(x for _, x in places[:-1]), places[:-1])
+        if found is None:
+            found = next((f for p in _all_lines(run, at) if len(p[1]) >= 40 and (f := _key_in(p[1], [p]))), None)
+        if found:
+            out.append(found)
+    return out
+
+
+def _all_lines(run: str, at: int) -> list[tuple[int, str]]:
+    out, begin = [], 0
+    for m in [*_LINE_END.finditer(run), None]:
+        out.append((at + begin, run[begin : m.start() if m else len(run)]))
+        begin = m.end() if m else len(run)
+    return out
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Decoded candidates whose structure holds."""
     out = [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
-    if "PRIVATE KEY-----" in text:
-        out += _pem_spans(text)
-    for m in _BASE64.finditer(text):
-        if m[0].startswith("M"):  # a DER sequence
-            if is_private_der(unbase64(m[0])):
-                out.append((m.start(), m.end(), "der"))
-        elif m[0].startswith("b3BlbnNzaC1rZXktdjEA") and is_ssh_key(unbase64(m[0])):
-            out.append((m.start(), m.end(), "ssh"))
+    pem = _pem_spans(text) if "PRIVATE KEY-----" in text else []
+    inside = iter(sorted(pem))
+    now = next(inside, None)
+    for span in _encoded_spans(text):  # a key in a PEM block is reported once
+        while now is not None and now[1] < span[1]:
+            now = next(inside, None)
+        if now is None or not now[0] <= span[0]:
+            out.append(span)
+    out += pem
     out += [(m.start(), m.end(), "der") for m in _HEX_KEY.finditer(text) if is_private_der(bytes.fromhex(m[0]))]
-    return out
+    return out + [(m.start(), m.end(), "ssh") for m in _HEX_SSH.finditer(text) if is_ssh_key(bytes.fromhex(m[0]))]
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:

@@ -45,7 +45,8 @@ from .memo import Memo
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 SHARD_IDS = 8_000_000
-MEMO = 400_000
+#: Bytes that each generation of the memo of words may hold, and a quarter of it that of pieces.
+MEMO = 72_000_000
 EVERY = 512
 #: Shards are read by at most so many tasks, each one shard at a time.
 MOST_READERS = 20_000
