@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from tidemark.functions import ordered
-from tidemark.operators import audit, memory, registry, synthesis, timeline, transform
+from tidemark.operators import audit, memory, recall_index, registry, synthesis, timeline, transform
 from tidemark.streaming import ingest
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -122,6 +122,33 @@ def test_recall_equals_brute_force(spark, k):
     assert got == {c: v for c, v in want.items() if v}
 
 
+@pytest.mark.parametrize("size", [7, 40, 1000])
+def test_indexed_recall_equals_brute_force(spark, tmp_path, monkeypatch, size):
+    """The same matches from an index; blocks that can't hold a better match are not read."""
+    combos = list(itertools.product(["Sales", "hr", "", None], [[], ["mean", "null_fraction"], ["row_count"]], [[], ["b"], ["a", "b", "c"]]))
+    past = [(n, *(("Sales", ["mean", "null_fraction"], ["a", "b"]) if n % 3 == 0 else combos[(n * 7) % len(combos)]), hours((n * 13) % 140)) for n in range(400)]
+    schema = "investigation_id long, dataset_name string, metrics array<string>, columns array<string>, created_at timestamp_ntz"
+    resolved = spark.createDataFrame(past, schema).withColumn("title", F.lit("t"))
+    now = [past[0], past[5], (1000, "SALES", ["mean"], ["b", "c"], hours(0)), (1001, "x", [], [], hours(0)), (1002, "x", ["row_count"], [], hours(0)), (1003, None, ["mean"], ["a"], hours(0))]
+    path, read = str(tmp_path / "index"), []
+    recall_index.build(resolved, path, size)
+    matches = recall_index._matches
+    monkeypatch.setattr(recall_index, "_matches", lambda pairs, *rest: read.append(pairs.select("block").distinct().count()) or matches(pairs, *rest))
+    got = {}
+    for r in recall_index.similar(spark.createDataFrame(now, schema), path, resolved.schema, 3).orderBy("current_id", "rank").collect():
+        got.setdefault(r["current_id"], []).append((r["investigation_id"], r["similarity_score"]))
+    want = plain_recall([(c, d or "", m, x, t) for c, d, m, x, t in now], [(c, d or "", m, x, t) for c, d, m, x, t in past], 3)
+    assert got == {c: v for c, v in want.items() if v}
+    blocks = spark.read.parquet(f"{path}/blocks").count()
+    assert blocks > 5 if size == 7 else blocks >= 1
+    with pytest.raises(ValueError):
+        recall_index.similar(resolved, path, resolved.schema, recall_index.MOST + 1)
+    # One request of the commonest signature finds its matches in the newest blocks.
+    read.clear()
+    recall_index.similar(spark.createDataFrame([(2000, "Sales", ["mean", "null_fraction"], ["a", "b"], hours(0))], schema), path, resolved.schema, 3).collect()
+    assert sum(read) <= max(1, blocks - 2)
+
+
 def test_recall_factors(spark):
     schema = "investigation_id long, dataset_name string, metrics array<string>, columns array<string>, created_at timestamp_ntz"
     past = spark.createDataFrame([(1, "users", ["null_fraction"], ["email"], T0)], schema)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.shared import settle
-from ..operators import experiment, memory, registry, synthesis, timeline
+from ..functions.shared import new_path, settle
+from ..operators import experiment, memory, recall_index, registry, synthesis, timeline
 from . import derived
 from .catalog import query, select
 from .derived import read
@@ -325,6 +325,22 @@ def memory_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recall(spark, sf_dir, 5).select("current_id", "investigation_id", "similarity_score", "rank")
 
 
+@query("memory_indexed", _recall_oracle(f"SELECT current_id, investigation_id, similarity_score, rank FROM ({RECALL_SQL}) WHERE rank <= 5").replace("WHERE rn = 1)", "WHERE rn <= 40)"))
+def memory_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of the newest 40 investigations under way in each dataset, from an index in blocks."""
+    named = _named(spark, sf_dir)
+    place = F.row_number().over(W.partitionBy("dataset_name").orderBy(F.desc("created_at"), F.desc("investigation_id")))
+    current = named.filter("status = 'INVESTIGATING'").withColumn("_place", place).filter("_place <= 40").drop("_place")
+    wanted = current.unionByName(named.filter("status = 'RESOLVED'"))
+    traits = _traits(spark, sf_dir).join(wanted.select("investigation_id"), "investigation_id", "left_semi")
+    rows = settle(memory.signatures(wanted, traits))
+    path = new_path(spark, "recall")
+    past = rows.filter("status = 'RESOLVED'")
+    recall_index.build(past, path, rows_per_block=500)
+    out = recall_index.similar(rows.filter("status = 'INVESTIGATING'"), path, past.schema, 5)
+    return out.select("current_id", "investigation_id", "similarity_score", "rank")
+
+
 @query("memory_factors", _recall_oracle(f"""
 SELECT current_id, investigation_id, concat_ws(' | ', CASE WHEN same_dataset THEN 'Same dataset (' || current_dataset || ')' END,
   CASE WHEN len(shared_metrics) > 0 THEN 'Similar metrics: ' || array_to_string(shared_metrics, ', ') END,
