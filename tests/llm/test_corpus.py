@@ -452,3 +452,12 @@ def test_pipeline_on_edges(spark, frame, edges, tmp_path):
     spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} <= {i for i, _ in edges} and len(got) == 1
+
+
+@pytest.mark.parametrize("empty", ["documents", "benchmark"])
+def test_pipeline_on_empty_tables(spark, tmp_path, empty):
+    for name in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        (df.limit(0) if name == empty else df).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns[0] == "doc_id" and (got.count() == 0) == (empty == "documents")

@@ -384,3 +384,11 @@ def test_many_long_pieces_stay_outside(make):
         own.encode("".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(300)) + " " + "a" * 500)
     for memo in ((own.spaced, own.bare) if hasattr(own, "spaced") else (own.words, own.pieces)):
         assert memo.held < 200_000
+
+
+def test_counts_of_one_long_piece(frame):
+    rng = random.Random(8)
+    texts = [(1, "".join(rng.choice("abcdefghij") for _ in range(120_000))), (2, "中" * 40_000), (3, "=" * 110_000)]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in texts}
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(frame(texts)).collect()} == want
