@@ -19,6 +19,8 @@ CHOSEN = [
     "scan_csv", "scan_json", "malformed_rows", "schema_fingerprint", "profile_full", "profile_by_version",
     "quality_findings", "diff_changes", "diff_all_versions", "attributions", "root_cause", "synthesis_markdown",
     "row_diff", "inbox_page", "timeline_append", "memory_factors", "experiment_result", "audit_all", "ingest_stream",
+    "scan_csv_split", "scan_json_split", "profile_merged", "quantile_drift", "ks_distance", "row_diff_segments", "null_segments", "findings_report",
+    "context_errors", "content_digest", "lineage_ancestors", "memory_indexed",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")

@@ -336,7 +336,7 @@ def memory_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = settle(memory.signatures(wanted, traits))
     path = new_path(spark, "recall")
     past = rows.filter("status = 'RESOLVED'")
-    recall_index.build(past, path, rows_per_block=500)
+    recall_index.build(past, path)
     out = recall_index.similar(rows.filter("status = 'INVESTIGATING'"), path, past.schema, 5)
     return out.select("current_id", "investigation_id", "similarity_score", "rank")
 
