@@ -305,7 +305,8 @@ def profile_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(daily_profiles(spark, sf_dir), "version_number", "unique_count")
 
 
-@query("profile_merged", select(f"SELECT version_number, {LONG}, round(std_dev, 4) AS std_dev, CASE WHEN unique_count IS NULL THEN NULL ELSE true END AS distinct_within_error FROM daily", "daily"))
+# Means of few values with two digits can lie halfway between two fourth digits, where the last bit decides; not so the seventh.
+@query("profile_merged", select(f"SELECT version_number, {LONG.replace('round(mean, 4)', 'round(mean, 7)')}, round(std_dev, 4) AS std_dev, CASE WHEN unique_count IS NULL THEN NULL ELSE true END AS distinct_within_error FROM daily", "daily"))
 def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of hours merged into days from stored sketches, next to those made from the data of whole days."""
     hourly = read(spark, sf_dir, "events").withColumns({"version_number": F.dayofmonth("ts"), "_hour": F.hour("ts")})
@@ -314,7 +315,9 @@ def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = daily_profiles(spark, sf_dir).select("version_number", "column", F.col("unique_count").alias("_exact"))
     rows = sketches.read(merged, ["version_number"]).join(exact, ["version_number", "column"])
     near = F.abs(F.col("unique_count") - F.col("_exact")) <= sketches.distinct_error() * F.col("_exact") + 1
-    return _long(rows.withColumn("distinct_within_error", near), "version_number", F.round("std_dev", 4).alias("std_dev"), "distinct_within_error")
+    rows = rows.withColumn("distinct_within_error", near).withColumn("_mean", F.round("mean", 7))
+    out = _long(rows, "version_number", F.round("std_dev", 4).alias("std_dev"), "distinct_within_error", "_mean")
+    return out.withColumn("mean", F.col("_mean")).drop("_mean")
 
 
 @query("profile_full", _profile_of("customer", f"{LONG}, unique_count, unique_fraction, round(std_dev, 4) AS std_dev"))
