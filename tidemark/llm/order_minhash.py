@@ -53,8 +53,8 @@ PICK, PICK_SHORT, SHORT = 6, 3, 32
 SMALL = 8
 GROWTH = 32
 ROWS_PER_FILE = 50_000
-#: Small sides of joins are broadcast up to so many narrow rows, and k-mers up to so many (16 MB).
-BROADCAST_ROWS, BROADCAST_KMERS = 100_000, 2_000_000
+#: Small sides of joins are broadcast up to so many narrow rows.
+BROADCAST_ROWS = 100_000
 #: Least room of the shorter text of a link, as a part of its k-mers.
 HUB_ROOM = 2 * SIMILARITY / (1 + SIMILARITY)
 MAP_BITS = 26
@@ -272,12 +272,12 @@ def _round_pairs(open_members: DataFrame, hubs: DataFrame, rows: int, turn: int)
     return pairs.selectExpr("least(x.row, y.row) AS a", "greatest(x.row, y.row) AS b").distinct()
 
 
-def _still_open(open_members: DataFrame, hubs: DataFrame, rows: int, comps: DataFrame | None, nodes: int) -> DataFrame:
+def _still_open(open_members: DataFrame, size: int, hubs: DataFrame, rows: int, comps: DataFrame | None, nodes: int) -> DataFrame:
     """Members that have not met all of their bucket, with their components: those of buckets with hubs that were none."""
     left = open_members.join(_near(hubs.select("band").distinct(), rows), "band", "left_semi").join(_near(hubs.selectExpr("band", "hub.row AS row"), rows), ["band", "row"], "left_anti")
     if comps is not None:
         left = left.drop("comp").join(_near(comps, nodes), F.col("row") == F.col("node"), "left").selectExpr("band", "row", "n", "coalesce(comp, row) AS comp", "room")
-    return _several(left)
+    return _several(_narrow(left, size))
 
 
 def _several(members: DataFrame) -> DataFrame:
@@ -340,8 +340,6 @@ class _Search:
     """The rounds of comparing candidates: components found so far, and pairs that need not be tested again."""
 
     def __init__(self, kmers: DataFrame):
-        size = kmers.agg(F.sum(F.size("kmers"))).first()[0] or 0
-        kmers = F.broadcast(kmers) if size <= BROADCAST_KMERS else kmers
         self.left, self.right = kmers.selectExpr("row AS a", "kmers AS ka"), kmers.selectExpr("row AS b", "kmers AS kb")
         self.comps: DataFrame | None = None
         self.nodes = 0
@@ -363,15 +361,20 @@ class _Search:
         fresh = _round_pairs(now, hubs, rows, turn)
         pairs = _narrow(fresh if self.tested is None else fresh.join(_near(self.tested, self.n_tested), ["a", "b"], "left_anti"), self.size)
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        self.n_tested += pairs.count()
-        scored = pairs.join(self.left, "a").join(self.right, "b").select("a", "b", similarity_udf()(F.col("ka"), F.col("kb")).alias("s"))
+        n_pairs = pairs.count()
+        self.n_tested += n_pairs
+        if n_pairs <= BROADCAST_ROWS:  # only k-mers of these pairs move
+            both = self.left.join(F.broadcast(pairs), "a").join(self.right.join(F.broadcast(pairs), "b"), ["a", "b"])
+        else:
+            both = pairs.join(self.left, "a").join(self.right, "b")
+        scored = both.select("a", "b", similarity_udf()(F.col("ka"), F.col("kb")).alias("s"))
         links = _narrow(scored.where(f"s >= {SIMILARITY}").select("a", "b"), self.size)
         found = links.count()
         if found:
             self.pending, self.n_pending = links if self.pending is None else self.pending.union(links), self.n_pending + found
         if found * 1000 >= self.size:
             self.bring_up_to_date()
-        return _still_open(now, hubs, rows, self.comps, self.nodes)
+        return _still_open(now, self.size, hubs, rows, self.comps, self.nodes)
 
     def bring_up_to_date(self) -> None:
         """Take the links found since the last time into the components."""
