@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -34,6 +35,17 @@ def pairs_of(texts):
     return [*enumerate(texts)]
 
 
+# Memory of workers
+
+
+def test_workers_are_sent_few_texts_at_once(spark):
+    @F.arrow_udf("int")
+    def size(values: pa.Array) -> pa.Array:
+        return pa.array([len(values)] * len(values), pa.int32())
+
+    assert spark.range(0, 3000, 1, 1).select(size("id").alias("n")).agg(F.max("n")).first()[0] <= 1000
+
+
 # Quality rules
 
 

@@ -8,11 +8,19 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a Python worker is sent at once. Spark's 10,000 are 30 MB or more of texts, held several times over by the task
+#: and its worker, and as much again for their k-mers; pairs with the k-mers of both are larger still.
+BATCH_ROWS = 1_000
+_BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application, wherever the driver was started."""
+    """Give the Python workers this package, once per application, wherever the driver was started, and send them texts in
+    batches of ``BATCH_ROWS`` unless the session has a batch size of its own."""
+    if spark.conf.get(_BATCH) == _SPARKS_OWN:
+        spark.conf.set(_BATCH, BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
