@@ -10,6 +10,7 @@ import random
 import re
 import sys
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import byte_bpe, quality_rules, secret_scan, token_counts, token_files
+from tidemark.llm.blocks import blocks
 from tidemark.llm.memo import Memo
 
 ALPHABET = [*"abAB01 '  \n\n\t.,!srtvelldméß中  \u0085\x1c😀́̈\x00", "<|endoftext|>", "'re", "'ll", " the", "ing", "AKIA"]
@@ -46,6 +48,18 @@ def test_workers_are_sent_few_texts_at_once(spark):
     assert spark.range(0, 3000, 1, 1).select(size("id").alias("n")).agg(F.max("n")).first()[0] <= 1000
 
 
+def test_measures_need_little_memory():
+    texts = pa.array(["Some words, and more of them. " * 100] * 1300)
+    tracemalloc.start()
+    try:
+        for _, _, data, at in blocks(texts):
+            quality_rules.measure_block(data, at)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 50_000_000
+
+
 # Quality rules
 
 

@@ -1,7 +1,7 @@
 """Texts as flat byte arrays: words, word hashes and k-grams of many documents at once, in numpy.
 
 An Arrow string column already holds all its texts as one run of bytes and an array of offsets. The helpers
-work on that run in blocks of a few megabytes, so the memory of a task is bounded by a block (or by the longest
+work on that run in blocks of half a megabyte, so the memory of a task is bounded by a block (or by the longest
 single text) and no Python object is made per document or word. Null texts count as empty.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 #: Words longer than this get the hash of their whole bytes instead of one step per byte.
 LONG_WORD = 64
 
