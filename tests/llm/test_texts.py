@@ -394,6 +394,18 @@ def test_scan_is_linear():
     assert [k for _, _, k in secret_scan.confirmed_spans(many + "-----BEGIN PRIVATE KEY-----" + base64.b64encode(rsa).decode() + "-----END PRIVATE KEY-----")] == ["pem"]
 
 
+def test_plain_texts_are_cut_into_pieces():
+    path, rng = public_tokenizers.path(token_files.VOCABULARY), random.Random(7)
+    own, whole = token_files.WordEncoder(path), Tokenizer.from_file(path)
+    texts = ["ward ward. (ward) WARD, ward's ward-ward\n\tward7 ñandú Ñandú! ſ ŉ ß", *("".join(chr(rng.choice([*range(9, 14), *range(32, 127), *range(161, 384)])) for _ in range(40)) for _ in range(500))]
+    texts += ["İ", "a\xa0b", "soft\xadness", "a <|endoftext|> b", "x\x1cy", "ab中", "e\u0301"]
+    for text in texts:
+        assert own.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    own = token_files.WordEncoder(path)
+    own.encode(texts[0])
+    assert len(own.words) == 0 and "ward" in own.pieces and "ward." not in own.pieces
+
+
 def test_memos_are_bound_by_bytes():
     memo = Memo(lambda t: t.encode(), 1_000_000)
     for i in range(30_000):

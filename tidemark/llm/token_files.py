@@ -45,8 +45,8 @@ from .memo import Memo
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 SHARD_IDS = 8_000_000
-#: Bytes that each generation of the memo of words may hold, and a quarter of it that of pieces.
-MEMO = 72_000_000
+#: Bytes that each generation of the memo of pieces may hold, and that of words.
+MEMO = 45_000_000
 EVERY = 512
 #: Shards are read by at most so many tasks, each one shard at a time.
 MOST_READERS = 20_000
@@ -56,11 +56,12 @@ _HEAD, _PART = struct.Struct("<8sIIQQq"), struct.Struct("<QQQQQ")
 #: White space as the vocabulary's normalizer knows it: Python's, but for U+001C to U+001F.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile(r"[\S\x1c-\x1f]+")
-#: The pre-tokenizer's matches in lower-cased printable text below U+0180, whose letters and numbers are listed.
-_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ſ0-9²³¹¼½¾]+")
-_BEYOND_LATIN = "\u0180"
-#: The one letter below U+0180 whose lower case is not a single letter.
-_DOTTED_I = "\u0130"
+#: The pre-tokenizer's matches in lower-cased plain text, whose letters and numbers are listed.
+_LATIN = re.compile(r"[a-zªµºß-öø-ſ]+|[0-9²³¹¼½¾]|'(?:[stmd]|re|ve|ll)|[^\sa-zªµºß-öø-ſ0-9²³¹¼½¾]+")
+#: Plain text holds white space and printable characters below U+0180, but for the one letter there whose lower case is not
+#: a single letter, and no special string.
+_NOT_PLAIN = re.compile("[^\t-\r -~¡-¬®-įı-ſ]")
+_SPECIAL = "<|"
 
 
 class EliasFano:
@@ -145,28 +146,38 @@ def write_shard(file, doc_ids: list[int | None], ids: list[np.ndarray], width: i
         file.write(x.astype(f"<u{width}").tobytes())
 
 
+def _is_plain(text: str) -> bool:
+    return _SPECIAL not in text and not _NOT_PLAIN.search(text)
+
+
 class WordEncoder:
-    """Ids of texts by a vocabulary that drops white space: words are encoded apart and kept in a bounded memo."""
+    """Ids of texts by a vocabulary that drops white space. Plain texts are cut into the pre-tokenizer's matches, others into
+    words; both are encoded apart and kept in bounded memos."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.characters = dict(enumerate(byte_characters()))
-        self.pieces, self.words = Memo(self._piece, MEMO // 4), Memo(self._word, MEMO)
+        self.pieces, self.words = Memo(self._piece, MEMO), Memo(self._word, MEMO)
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(self.characters)
         return array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
+    def _of_plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _LATIN.findall(text.lower())))
+
     def _word(self, word: str) -> bytes:
-        if max(word) < _BEYOND_LATIN and word.isprintable() and _DOTTED_I not in word and "<|" not in word:
-            return b"".join(map(self.pieces.__getitem__, _LATIN.findall(word.lower())))
+        if _is_plain(word):
+            return self._of_plain(word)
         return array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if text.isascii() and "<|" not in text:
+        if _is_plain(text):
+            return np.frombuffer(self._of_plain(text), np.int32)
+        if text.isascii() and _SPECIAL not in text:
             text = text.lower()  # as the normalizer does, so that fewer words are new
         words = _WORDS.findall(text) if _SEPARATORS.search(text) else text.split()
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
