@@ -294,6 +294,38 @@ def test_templates_do_not_meet(frame, monkeypatch):
     assert searches[0].tested.count() <= len(texts) + 200  # one hub met all; all pairs would be two million
 
 
+def test_open_members_are_stored_and_bounded(frame, monkeypatch, capsys):
+    """Copies of one text, more or less alike, in one bucket: those a round leaves are stored, and no more than each text's prefix."""
+    rng = np.random.default_rng(41)
+    texts = []
+    for i in range(60):
+        words = [f"w{i}" for i in range(60)]
+        for at in rng.integers(0, 60, int(rng.integers(1, 5))):
+            words[at] = f"v{rng.integers(0, 10**9)}"
+        texts.append((i, " ".join(words)))
+    left, plain = [], order_minhash._Search.round
+
+    def watched(self, now, turn):
+        out = plain(self, now, turn)
+        capsys.readouterr()
+        out.explain()
+        assert "Join" not in capsys.readouterr().out
+        left.append(out.count())
+        return out
+
+    monkeypatch.setattr(order_minhash._Search, "round", watched)
+    df = frame(texts)
+    rows = order_minhash.signed_rows(df, "doc_id", "text").withColumn("bands", F.array(F.lit(1).cast("bigint")))
+    _, comps = order_minhash.link_rows(df, "text", rows)
+    ids = {r.row: r.id for r in rows.collect()}
+    by = collections.defaultdict(list)
+    for r in comps.collect():
+        by[r.comp].append(ids[r.node])
+    want = [sorted(texts[n][0] for n in c) for c in brute_classes(texts)]
+    assert sorted(sorted(c) for c in by.values()) == sorted(c for c in want if len(c) > 1)
+    assert len(left) > 2 and max(left) <= len(texts) * (56 - 45 + 1)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100)], "a bigint, b bigint")
     got = {r.node: r.comp for r in order_minhash.components(links, links.count()).collect()}

@@ -272,23 +272,26 @@ def _round_pairs(open_members: DataFrame, hubs: DataFrame, rows: int, turn: int)
     return pairs.selectExpr("least(x.row, y.row) AS a", "greatest(x.row, y.row) AS b").distinct()
 
 
-def _still_open(open_members: DataFrame, size: int, hubs: DataFrame, rows: int, comps: DataFrame | None, nodes: int) -> DataFrame:
-    """Members that have not met all of their bucket, with their components: those of buckets with hubs that were none."""
-    left = open_members.join(_near(hubs.select("band").distinct(), rows), "band", "left_semi").join(_near(hubs.selectExpr("band", "hub.row AS row"), rows), ["band", "row"], "left_anti")
+def _still_open(open_members: DataFrame, size: int, hubs: DataFrame, rows: int, turn: int, comps: DataFrame | None, nodes: int) -> DataFrame:
+    """Stored: members that have not met all of their bucket, with their components: those of buckets with hubs that were none.
+
+    After the first turn all buckets have hubs, as ``_several`` leaves only those with a member that can be one.
+    """
+    left = open_members if turn else open_members.join(_near(hubs.select("band").distinct(), rows), "band", "left_semi")
+    left = left.join(_near(hubs.selectExpr("band", "hub.row AS row"), rows), ["band", "row"], "left_anti")
     if comps is not None:
         left = left.drop("comp").join(_near(comps, nodes), F.col("row") == F.col("node"), "left").selectExpr("band", "row", "n", "coalesce(comp, row) AS comp", "room")
-    return _several(_narrow(left, size))
+    return _several(_narrow(left, size), size)
 
 
-def _several(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components and a member that can be a hub."""
+def _several(members: DataFrame, size: int) -> DataFrame:
+    """Stored, as it is read more than once: members of buckets that hold several components and a member that can be a hub."""
     live = members.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.expr(f"bool_or({_CAN_BE_HUB})").alias("able"))
-    return members.join(live.where("lo <> hi AND able").select("band"), "band", "left_semi")
+    return _narrow(members.join(live.where("lo <> hi AND able").select("band"), "band", "left_semi"), size)
 
 
 def _prefix_members(open_members: DataFrame, kmers: DataFrame) -> DataFrame:
     """The open texts as members of new buckets, one for each k-mer of the prefixes of several texts."""
-    open_members = settle(open_members)
     own = _narrow(open_members.select("row", "n", "comp").distinct(), open_members.count())
     each = settle(kmers.join(_near(own, own.count()), "row").select("row", "n", "comp", F.explode("kmers").alias("band")))
     common = each.groupBy("band").agg(F.count("*").alias("seen")).where("seen > 1")
@@ -296,7 +299,8 @@ def _prefix_members(open_members: DataFrame, kmers: DataFrame) -> DataFrame:
     place = F.row_number().over(mine.orderBy("seen", "band")) + F.col("n") - F.count("*").over(mine)  # those of no other text come first
     ranked = each.join(common, "band").withColumn("place", place)
     front = ranked.where(f"place <= n - ceil({SIMILARITY} * n - 1e-9) + 1")
-    return _several(settle(front.selectExpr("band", "row", "n", "comp", "n - place + 1 AS room")))
+    members = settle(front.selectExpr("band", "row", "n", "comp", "n - place + 1 AS room"))
+    return _several(members, members.count())
 
 
 def _second_hash(text_col: str):
@@ -350,11 +354,10 @@ class _Search:
         self.size = 0
 
     def round(self, now: DataFrame, turn: int) -> DataFrame:
-        """Test the pairs of a round; the members that have not met all of their bucket.
+        """Test the pairs of a round; the members that have not met all of their bucket. ``now`` is stored, and so are they.
 
         Components only spare pairs, so a round that found links for few of its members leaves them for later.
         """
-        now = _narrow(now, self.size) if self.size else now
         self.size = now.count()
         hubs = _narrow(_hubs(now, turn), self.size)
         rows = hubs.count()
@@ -374,7 +377,7 @@ class _Search:
             self.pending, self.n_pending = links if self.pending is None else self.pending.union(links), self.n_pending + found
         if found * 1000 >= self.size:
             self.bring_up_to_date()
-        return _still_open(now, self.size, hubs, rows, self.comps, self.nodes)
+        return _still_open(now, self.size, hubs, rows, turn, self.comps, self.nodes)
 
     def bring_up_to_date(self) -> None:
         """Take the links found since the last time into the components."""
