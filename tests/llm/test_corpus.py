@@ -486,6 +486,27 @@ def test_pipeline_on_edges(spark, frame, edges, tmp_path):
     assert {r.doc_id for r in got} <= {i for i, _ in edges} and len(got) == 1
 
 
+def test_functions_whose_results_are_filtered_run_once(spark, frame, monkeypatch, capsys):
+    seen = []
+
+    def note(df):
+        df.explain()
+        seen.append(capsys.readouterr().out.count("ArrowEvalPython ["))
+        return df
+
+    for module in (order_minhash, decontaminate):
+        monkeypatch.setattr(module, "settle", lambda df, settle=module.settle: settle(note(df)))
+    words = [f"word{i}" for i in range(60)]
+    docs = frame([(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(reversed(words)))])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    items = spark.createDataFrame([("a", " ".join(words[50:39:-1]))], "item_id string, text string")
+    assert {r.doc_id for r in note(quality_rules.keep_good(docs, labels)).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in order_minhash.keep_one(docs).collect()} == {1, 3}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {1, 2}
+    # measures; signatures, k-mers, similarities; fingerprints of items and of texts
+    assert [n for n in seen if n] == [1] * 6
+
+
 @pytest.mark.parametrize("empty", ["documents", "benchmark"])
 def test_pipeline_on_empty_tables(spark, tmp_path, empty):
     for name in ("documents", "labels", "benchmark"):

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.shared import settle
 from .blocks import ALNUM, LOWER, blocks, counts, kgrams, mix, word_hashes, word_spans
-from .tables import free_name
+from .tables import free_name, once
 
 WINDOW = 10
 K = 5
@@ -95,6 +95,7 @@ def fingerprint_block(data: np.ndarray, offsets: np.ndarray, lengths: list[int]
 
 
 def _udf(lengths: list[int] | None, shared=None):
+    """Arrow UDF: text to its number of words and its fingerprints. See ``tables.once``."""
     kind = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("ctx", pa.list_(pa.string()))]))
 
     @F.arrow_udf(f"struct<n_words: bigint, prints: {_FINGERPRINTS}>")
@@ -107,7 +108,7 @@ def _udf(lengths: list[int] | None, shared=None):
             found += rows
         return pa.StructArray.from_arrays([pa.array(np.concatenate(words)), pa.array(found, kind)], names=["n_words", "prints"])
 
-    return prints
+    return once(prints)
 
 
 def item_prints(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.shared import settle
 from .blocks import ALNUM, blocks, counts, kgrams, mix, word_hashes, word_spans
-from .tables import free_name
+from .tables import free_name, once
 
 K = 5
 SIMILARITY = 0.8
@@ -152,7 +152,7 @@ def signature_udf():
 
 
 def kmers_udf(bitmap):
-    """Arrow UDF: text and its hash to its labelled k-mers, null for texts that are no candidates."""
+    """Arrow UDF: text and its hash to its labelled k-mers, null for texts that are no candidates. See ``tables.once``."""
 
     @F.arrow_udf("array<bigint>")
     def kmers(texts: pa.Array, hashes: pa.Array) -> pa.Array:
@@ -167,7 +167,7 @@ def kmers_udf(bitmap):
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).view(np.int64)), mask=pa.array(~wanted))
 
-    return kmers
+    return once(kmers)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.shared import settle
 from .blocks import ALNUM, NOT_BLANK, blocks, byte_table, counts, kgrams, mix, word_hashes, word_spans
 from .labelled import teaching_labels
-from .tables import free_name
+from .tables import free_name, once
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -105,7 +105,7 @@ def measure_block(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def measure_udf() -> Column:
-    """Arrow UDF: text to the five measures and the array of signals."""
+    """Arrow UDF: text to the five measures and the array of signals. See ``tables.once``."""
 
     @F.arrow_udf("struct<" + ", ".join(f"{m}: bigint" for m in MEASURES) + ", signals: array<double>>")
     def measure(texts: pa.Array) -> pa.Array:
@@ -116,7 +116,7 @@ def measure_udf() -> Column:
         columns = [pa.array(np.ascontiguousarray(measures[:, i])) for i in range(len(MEASURES))]
         return pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(at, pa.array(signals.ravel()))], names=[*MEASURES, "signals"])
 
-    return measure
+    return once(measure)
 
 
 def base_failed(m: str) -> Column:

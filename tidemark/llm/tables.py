@@ -41,6 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def once(function):
+    """A Python function that Spark evaluates once a row, also where its result is filtered.
+
+    Otherwise Spark moves the filter below the projection with a copy of the function, so a task sends each text twice, to
+    two workers at once, and the executor keeps both. What is named nondeterministic isn't copied; results are the same.
+    """
+    return function.asNondeterministic()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or it with underscores added until the table has no such column (in either case)."""
     taken = {c.lower() for c in df.columns}
